@@ -30,6 +30,8 @@ from stemma.llm.common import col, held_out, map_rows
 #: Byte classes; rarer bytes beyond these share the last one.
 CLASSES = 64
 ORDER = 3
+#: Parts of a bit that code lengths are kept in, and how often a context of the highest order must occur to be kept.
+PARTS, SEEN = 2048, 2
 #: Bound of the training sample: documents of each language, bytes of a document, languages.
 DOCS_A_LANGUAGE, BYTES_A_DOC, LANGUAGES = 400, 1 << 16, 256
 UNKNOWN = "und"
@@ -80,12 +82,12 @@ class Model:
     languages: list[str]
     classes: np.ndarray
     rows: np.ndarray  # context -> row of bits
-    bits: np.ndarray  # (row * CLASSES + class, language)
+    parts: np.ndarray  # code lengths in parts of a bit: (row * CLASSES + class, language)
 
     def code_lengths(self, data: bytes) -> np.ndarray:
         """Bits that the text takes in each language."""
         at, x = contexts(self.classes[np.frombuffer(data, np.uint8)].astype(np.int64))
-        return self.bits[self.rows[at].astype(np.int64) * CLASSES + x].sum(0, dtype=np.float64)
+        return self.parts[self.rows[at].astype(np.int64) * CLASSES + x].sum(0, dtype=np.int64) / PARTS
 
     def predict(self, data: bytes) -> tuple[str, float]:
         if not self.languages or not has_letter(data):
@@ -102,20 +104,22 @@ def train(texts: dict[str, list[bytes]]) -> Model:
     for lang in languages:
         parts = [contexts(classes[np.frombuffer(t, np.uint8)].astype(np.int64)) for t in texts[lang] if t]
         grams[lang] = np.concatenate([a * CLASSES + x for a, x in parts]) if parts else np.zeros(0, np.int64)
-    known = np.unique(np.concatenate([np.unique(g // CLASSES) for g in grams.values()] or [np.zeros(0, np.int64)]))
+    often = sum((np.bincount(g // CLASSES, minlength=CLASSES**3) for g in grams.values()), np.zeros(CLASSES**3, np.int64))
+    known = np.flatnonzero(often >= SEEN)
     rows = (len(known) + np.arange(CLASSES**3) % CLASSES**2).astype(np.int32)
     rows[known] = np.arange(len(known))
-    bits = np.zeros(((len(known) + CLASSES**2) * CLASSES, len(languages)), np.float32)
+    parts = np.zeros(((len(known) + CLASSES**2) * CLASSES, len(languages)), np.uint16)
     for j, lang in enumerate(languages):
         g = grams[lang]
         count = lambda k: np.bincount(g % CLASSES ** (k + 1), minlength=CLASSES ** (k + 1)).reshape(-1, CLASSES)  # noqa: B023, E731
         p = mixed(count(0), np.full((1, CLASSES), 1 / CLASSES))
         for k in (1, 2):
             p = mixed(count(k), np.tile(p, (CLASSES, 1)))
+        g = g[often[g // CLASSES] >= SEEN]
         third = np.bincount(rows[g // CLASSES].astype(np.int64) * CLASSES + g % CLASSES, minlength=len(known) * CLASSES).reshape(-1, CLASSES)
         full = mixed(third, p[known % CLASSES**2])
-        bits[:, j] = -np.log2(np.maximum(np.concatenate((full, p)), 1e-30)).reshape(-1)
-    return Model(languages, classes, rows, bits)
+        parts[:, j] = np.rint(np.minimum(-np.log2(np.maximum(np.concatenate((full, p)), 1e-30)), 31) * PARTS).reshape(-1)
+    return Model(languages, classes, rows, parts)
 
 
 def fit(docs: DataFrame) -> Model:
