@@ -218,7 +218,7 @@ def _spread(rows: DataFrame, level: int) -> DataFrame:
 
 def _bucket_links(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[list[np.ndarray]] = []
         rows = 0
 
         def out(key, fp, rep):
@@ -226,22 +226,17 @@ def _bucket_links(radius: int):
             moved = np.flatnonzero(rep[to] != rep)
             return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[to[moved]])], ["a", "b"])
 
-        def joined():
-            t = pa.Table.from_batches(held)
-            return [t.column(i).to_numpy() for i in range(3)]
-
         for batch in batches:
-            held.append(batch)
+            held.append([batch.column(i).to_numpy() for i in range(3)])
             rows += batch.num_rows
             if rows >= 1 << 17:
-                key, fp, rep = joined()
-                cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+                key, fp, rep = map(np.concatenate, zip(*held))
+                cut = int(np.argmax(key == key[-1]))  # the last bucket may go on
                 if cut:
                     yield out(key[:cut], fp[:cut], rep[:cut])
-                    held = [pa.RecordBatch.from_arrays([pa.array(x[cut:]) for x in (key, fp, rep)], batch.schema.names)]
-                    rows = len(key) - cut
+                held, rows = [[x[cut:] for x in (key, fp, rep)]], len(key) - cut
         if rows:
-            yield out(*joined())
+            yield out(*map(np.concatenate, zip(*held)))
 
     return run
 
