@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm import tokens
-from stemma.llm.common import map_rows
+from stemma.llm.common import map_rows, shared_checkpoint
 
 #: Lengths in a range.
 RANGE = 1024
@@ -48,6 +48,8 @@ def context_limits(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     quantile: share of documents of at most that length.
     """
     hist = lengths.groupBy(F.col(length).cast("long").alias("length")).agg(F.count("*").alias("n_docs"))
+    # read twice below; written once so that the texts are encoded once
+    hist = shared_checkpoint(hist)
     hist = hist.withColumn("part", F.floor(F.col("length") / RANGE)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
     down = Window.partitionBy("part").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     parts = hist.groupBy("part").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
