@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.llm.common import col, connected_components, map_rows, shared_checkpoint
+from stemma.llm.common import col, connected_components, map_rows, shared_checkpoint, shared_table
 from stemma.llm.simhash import fingerprint_links
 
-#: Brightness step of a corner, scales, half a patch, bits that may differ.
-STEP, SCALES, HALF, RADIUS = 30, 3, 6, 3
+#: Brightness step of a corner, scales, half a patch, pixels around in which a corner is the strongest, bits that may differ.
+STEP, SCALES, HALF, AROUND, RADIUS = 30, 3, 6, 5, 3
 #: Votes that make a link, and the least share of the smaller image's features.
 VOTES, SHARE = 6, 0.2
 #: Images before it that an image of the same word is held against, and ids in a block of them.
@@ -124,20 +124,21 @@ _BLOCK = re.compile(r"(?i)</?(?:p|div|h\d|li|ul|br|article|nav|footer|header|tab
 _TAG = re.compile(r"<[^>]*>")
 _INK = (np.arange(256) * 97 % 200).astype(np.uint16)
 _INK[32] = 255
-WIDTH = 64
+#: Pixels across a drawn page, and bytes of text a pixel.
+WIDTH, BYTES = 64, 4
 
 
 def draw_page(text: str) -> bytes:
-    """A page's visible text, a pixel for two bytes, a row for each 128 bytes of a block."""
+    """A page's visible text, a pixel for four bytes, a row for each 256 bytes of a block."""
     plain = entities.unescape(_TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("", text))))
     rows = []
     for line in plain.split("\n"):
         b = " ".join(line.split()).encode()
-        rows += [b[i : i + 2 * WIDTH].ljust(2 * WIDTH) for i in range(0, len(b), 2 * WIDTH)]
+        rows += [b[i : i + BYTES * WIDTH].ljust(BYTES * WIDTH) for i in range(0, len(b), BYTES * WIDTH)]
     if not rows:
         return b""
     ink = _INK[np.frombuffer(b"".join(rows), np.uint8)]
-    return encode(((ink[::2] + ink[1::2]) >> 1).astype(np.uint8).reshape(-1, WIDTH))
+    return encode((ink.reshape(-1, BYTES).sum(1) // BYTES).astype(np.uint8).reshape(-1, WIDTH))
 
 
 def rendered(pages: DataFrame, page_id: str, html: str) -> DataFrame:
@@ -198,13 +199,13 @@ def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         down |= (d < -STEP).astype(np.uint16) << k
         strength += np.abs(d) >> 4
     ys, xs = np.nonzero(_ARC[up] | _ARC[down])
-    near = np.pad(np.where(_ARC[up] | _ARC[down], strength, 0), 2)
+    near = np.pad(np.where(_ARC[up] | _ARC[down], strength, 0), AROUND)
     s, best = strength[ys, xs], np.ones(len(ys), bool)
-    for dy in range(5):
-        for dx in range(5):
-            if (dy, dx) != (2, 2):
+    for dy in range(2 * AROUND + 1):
+        for dx in range(2 * AROUND + 1):
+            if (dy, dx) != (AROUND, AROUND):
                 other = near[ys + dy, xs + dx]
-                best &= (s > other) | (s == other) & ((dy, dx) > (2, 2))
+                best &= (s > other) | (s == other) & ((dy, dx) > (AROUND, AROUND))
     return ys[best] + b, xs[best] + b
 
 
@@ -257,8 +258,8 @@ def _shrunk(x: np.ndarray, level: int) -> np.ndarray:
 
 
 def with_features(images: DataFrame, image_id: str) -> DataFrame:
-    """(id, n_features, features): each image's corners on all scales, an array of (x, y, level, bits)."""
-    kind = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32()), ("level", pa.int32()), ("bits", pa.int64())]))
+    """(id, n_features, xs, ys, levels, bits): each image's corners on all scales, as arrays of equal lengths."""
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
 
     def make():
         def fn(data: pa.Array):
@@ -273,24 +274,31 @@ def with_features(images: DataFrame, image_id: str) -> DataFrame:
                 got += features(own[at:to])
                 at = to
             counts = np.array([len(g[0]) for g in got], np.int32)
-            flat = [np.concatenate([g[k] for g in got]) if got else np.zeros(0) for k in range(4)]
-            values = pa.StructArray.from_arrays([pa.array(flat[k].astype(np.int32 if k < 3 else np.int64)) for k in range(4)], ["x", "y", "level", "bits"])
-            return counts, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values).cast(kind)
+            starts = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            flat = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate([g[k] for g in got]), kinds[k])) for k in range(4)]
+            return counts, *flat
 
         return fn
 
-    item = T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("bits", T.LongType())])
-    return map_rows(images, {"image": F.col("image")}, [T.StructField("n_features", T.IntegerType()), T.StructField("features", T.ArrayType(item))], make, [image_id])
+    arrays = [T.StructField(n, T.ArrayType(t)) for n, t in (("xs", T.IntegerType()), ("ys", T.IntegerType()), ("levels", T.IntegerType()), ("bits", T.LongType()))]
+    return map_rows(images, {"image": F.col("image")}, [T.StructField("n_features", T.IntegerType()), *arrays], make, [image_id, "key"])
 
 
 # ---------------------------------------------------------------- matching
 
 
 def visual_words(places: DataFrame) -> DataFrame:
-    """The places (id, x, y, level, bits) with ``word``: one for all descriptors joined by tables within RADIUS bits."""
-    kinds = shared_checkpoint(places.groupBy("bits").agg(F.count("*").alias("n")).select(F.col("bits").alias("fp"), F.col("bits").alias("rep")))
-    parts = connected_components(fingerprint_links(kinds, RADIUS))
-    return places.join(parts.where("node <> root").withColumnRenamed("node", "bits"), "bits", "left").select(*places.columns, F.coalesce("root", "bits").alias("word"))
+    """(word, id, x, y, level) for the descriptors that others equal or come within RADIUS bits of.
+
+    A word is a descriptor to which a block table joins its near ones; a
+    descriptor has a word for each of the tables' joins it is part of, so two
+    near descriptors have one in common.
+    """
+    kinds = shared_checkpoint(places.groupBy("bits").agg((F.count("*") > 1).alias("more")))
+    links = shared_checkpoint(fingerprint_links(kinds.select(F.col("bits").alias("fp"), F.col("bits").alias("rep")), RADIUS).distinct())
+    same = kinds.where("more").select("bits", F.col("bits").alias("word"))
+    words = links.select(F.col("a").alias("bits"), F.col("b").alias("word")).unionByName(links.select(F.col("b").alias("bits"), F.col("b").alias("word"))).unionByName(same)
+    return places.join(words.distinct(), "bits").select("word", "id", "x", "y", "level")
 
 
 def _votes(a: Column, b: Column) -> list[Column]:
@@ -302,10 +310,10 @@ def _votes(a: Column, b: Column) -> list[Column]:
 
 def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(a, b, votes): images that a common word brought together and that agree on one shift and scale."""
-    words = visual_words(places)
-    first = words.groupBy("word", "id").agg(F.min(F.struct("level", "y", "x")).alias("p"))
+    first = visual_words(places).groupBy("word", "id").agg(F.min(F.struct("level", "y", "x")).alias("p"))
+    first = shared_table(first)
     stats = first.groupBy("word").agg(F.count("*").alias("df"), F.min(F.struct("id", "p")).alias("hub")).where("df > 1")
-    rows = shared_checkpoint(first.join(stats, "word"))
+    rows = shared_table(first.join(stats, "word"))
     to_hub = rows.where("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("p").alias("pa"), F.col("hub.p").alias("pb"))
     block = F.when(F.col("df") <= IDS, F.lit(0)).otherwise(F.floor(F.col("id") / IDS))
     order = Window.partitionBy("word", block).orderBy("id")
@@ -313,7 +321,8 @@ def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share:
     near = back.withColumn("q", F.explode(F.filter("near", lambda q: q.isNotNull()))).where("q.id <> hub_id")
     to_near = near.select(F.col("id").alias("a"), F.col("q.id").alias("b"), F.col("p").alias("pa"), F.col("q.p").alias("pb"))
     pairs = to_hub.unionByName(to_near)
-    agreed = pairs.select("a", "b", *_votes(F.col("pa"), F.col("pb"))).groupBy("a", "b", "up", "dx", "dy").count().where(F.col("count") >= votes)
+    # two places may have come together by more than one word
+    agreed = pairs.select("a", "b", "pa", *_votes(F.col("pa"), F.col("pb"))).distinct().groupBy("a", "b", "up", "dx", "dy").count().where(F.col("count") >= votes)
     best = agreed.groupBy("a", "b").agg(F.max("count").alias("votes"))
     n = lambda k: counts.select(F.col("id").alias(k), F.col("n_features").alias(f"n_{k}"))
     sized = best.join(n("a"), "a").join(n("b"), "b")
@@ -322,15 +331,13 @@ def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share:
 
 def find_copies(images: DataFrame, image_id: str, votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(id, n_features, n_links, component_id) of each image; n_links counts its direct links between different images."""
-    rows = images.select(col(image_id).alias("id"), "image")
-    key = F.coalesce(F.sha2("image", 256), F.lit("null"))
-    found = shared_checkpoint(with_features(rows.withColumn("key", key).select("id", "image", "key").withColumn("id", F.struct("id", "key")), "id"))
-    found = found.select(F.col("id.id").alias("id"), F.col("id.key").alias("key"), "n_features", "features")
+    rows = images.select(col(image_id).alias("id"), "image", F.coalesce(F.sha2("image", 256), F.lit("null")).alias("key"))
+    found = shared_table(with_features(rows, "id"))
     equal = shared_checkpoint(found.where("id is not null").groupBy("key").agg(F.min("id").alias("rep")))
     ones = found.join(equal.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    ones = shared_checkpoint(ones.select("id", "n_features", "features"))
-    places = ones.select("id", F.explode("features").alias("f")).select("id", "f.*")
-    links = shared_checkpoint(copy_links(places, ones, votes, share))
+    places = ones.select("id", F.explode(F.arrays_zip("xs", "ys", "levels", "bits")).alias("f"))
+    places = shared_table(places.select("id", F.col("f.xs").alias("x"), F.col("f.ys").alias("y"), F.col("f.levels").alias("level"), F.col("f.bits").alias("bits")))
+    links = shared_checkpoint(copy_links(places, found.select("id", "n_features").dropDuplicates(["id"]), votes, share))
     parts = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     of = equal.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("component_id"))
