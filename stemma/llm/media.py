@@ -40,7 +40,7 @@ VOTES, SHARE = 6, 0.2
 #: Images before it that an image of the same word is held against, and ids in a block of them.
 BACK, IDS = 3, 1024
 #: Pixels described at once.
-PIXELS = 1 << 20
+PIXELS = 1 << 17
 _ANGLES, _TESTS = 16, 64
 
 
@@ -134,7 +134,8 @@ def draw_page(text: str) -> bytes:
     rows = []
     for line in plain.split("\n"):
         b = " ".join(line.split()).encode()
-        rows += [b[i : i + BYTES * WIDTH].ljust(BYTES * WIDTH) for i in range(0, len(b), BYTES * WIDTH)]
+        # a short row is filled with its own text, so that no two pages share blank corners
+        rows += [(r * (BYTES * WIDTH // len(r) + 1))[: BYTES * WIDTH] for i in range(0, len(b), BYTES * WIDTH) if (r := b[i : i + BYTES * WIDTH] + b" ")]
     if not rows:
         return b""
     ink = _INK[np.frombuffer(b"".join(rows), np.uint8)]
@@ -235,7 +236,7 @@ def features(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, ...]]:
             if x is not None and min(x.shape) >> level >= 4:
                 by.setdefault(x.shape[1], []).append(i)
         for own in by.values():
-            tall = np.concatenate([np.pad(_shrunk(images[i], level), pad, constant_values=255) for i in own])
+            tall = np.concatenate([np.pad(_shrunk(images[i], level), pad, "symmetric") for i in own])
             ends = np.cumsum([(images[i].shape[0] >> level) + 2 * pad for i in own])
             ys, xs = _corners(tall)
             inside = ys - np.concatenate(([0], ends[:-1]))[which := np.searchsorted(ends, ys, "right")]
@@ -288,41 +289,46 @@ def with_features(images: DataFrame, image_id: str) -> DataFrame:
 
 
 def visual_words(places: DataFrame) -> DataFrame:
-    """(word, id, x, y, level) for the descriptors that others equal or come within RADIUS bits of.
+    """(word, id, place) for the descriptors that others equal or come within RADIUS bits of.
 
-    A word is a descriptor to which a block table joins its near ones; a
-    descriptor has a word for each of the tables' joins it is part of, so two
-    near descriptors have one in common.
+    A word is the smallest descriptor to which a block table joins its near ones.
     """
     kinds = shared_checkpoint(places.groupBy("bits").agg((F.count("*") > 1).alias("more")))
-    links = shared_checkpoint(fingerprint_links(kinds.select(F.col("bits").alias("fp"), F.col("bits").alias("rep")), RADIUS).distinct())
+    links = shared_checkpoint(fingerprint_links(kinds.select(F.col("bits").alias("fp"), F.col("bits").alias("rep")), RADIUS))
     same = kinds.where("more").select("bits", F.col("bits").alias("word"))
     words = links.select(F.col("a").alias("bits"), F.col("b").alias("word")).unionByName(links.select(F.col("b").alias("bits"), F.col("b").alias("word"))).unionByName(same)
-    return places.join(words.distinct(), "bits").select("word", "id", "x", "y", "level")
+    return places.join(words.groupBy("bits").agg(F.min("word").alias("word")), "bits").select("word", "id", "place")
+
+
+#: A place as one number: level, row and column.
+ROW, LEVEL = 1 << 24, 1 << 48
+
+
+def placed(x: Column, y: Column, level: Column) -> Column:
+    return level.cast("long") * LEVEL + y * ROW + x
 
 
 def _votes(a: Column, b: Column) -> list[Column]:
-    """Scale and shift that bring b's place onto a's, in steps of 4 pixels."""
-    up = a["level"] - b["level"]
+    """Scale and shift that bring place b onto place a, in steps of 4 pixels."""
+    level, y, x = (lambda p: F.floor(p / LEVEL)), (lambda p: F.floor(p / ROW) % (LEVEL // ROW)), (lambda p: p % ROW)
+    up = level(a) - level(b)
     scale = F.pow(F.lit(2.0), up)
-    return [up.alias("up"), F.round((a["x"] - b["x"] * scale) / 4).cast("int").alias("dx"), F.round((a["y"] - b["y"] * scale) / 4).cast("int").alias("dy")]
+    return [up.cast("int").alias("up"), F.round((x(a) - x(b) * scale) / 4).cast("int").alias("dx"), F.round((y(a) - y(b) * scale) / 4).cast("int").alias("dy")]
 
 
 def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(a, b, votes): images that a common word brought together and that agree on one shift and scale."""
-    first = visual_words(places).groupBy("word", "id").agg(F.min(F.struct("level", "y", "x")).alias("p"))
-    first = shared_table(first)
+    first = shared_table(visual_words(places).groupBy("word", "id").agg(F.min("place").alias("p")))
     stats = first.groupBy("word").agg(F.count("*").alias("df"), F.min(F.struct("id", "p")).alias("hub")).where("df > 1")
-    rows = shared_table(first.join(stats, "word"))
-    to_hub = rows.where("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("p").alias("pa"), F.col("hub.p").alias("pb"))
+    rows = shared_table(first.join(stats, "word").select("word", "id", "p", "df", F.col("hub.id").alias("hub"), F.col("hub.p").alias("hub_p")))
+    to_hub = rows.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("p").alias("pa"), F.col("hub_p").alias("pb"))
     block = F.when(F.col("df") <= IDS, F.lit(0)).otherwise(F.floor(F.col("id") / IDS))
     order = Window.partitionBy("word", block).orderBy("id")
-    back = rows.select("id", "p", F.col("hub.id").alias("hub_id"), F.array(*[F.lag(F.struct("id", "p"), k).over(order) for k in range(1, BACK + 1)]).alias("near"))
-    near = back.withColumn("q", F.explode(F.filter("near", lambda q: q.isNotNull()))).where("q.id <> hub_id")
+    back = rows.select("id", "p", "hub", F.array(*[F.lag(F.struct("id", "p"), k).over(order) for k in range(1, BACK + 1)]).alias("near"))
+    near = back.withColumn("q", F.explode(F.filter("near", lambda q: q.isNotNull()))).where("q.id <> hub")
     to_near = near.select(F.col("id").alias("a"), F.col("q.id").alias("b"), F.col("p").alias("pa"), F.col("q.p").alias("pb"))
     pairs = to_hub.unionByName(to_near)
-    # two places may have come together by more than one word
-    agreed = pairs.select("a", "b", "pa", *_votes(F.col("pa"), F.col("pb"))).distinct().groupBy("a", "b", "up", "dx", "dy").count().where(F.col("count") >= votes)
+    agreed = pairs.select("a", "b", *_votes(F.col("pa"), F.col("pb"))).groupBy("a", "b", "up", "dx", "dy").count().where(F.col("count") >= votes)
     best = agreed.groupBy("a", "b").agg(F.max("count").alias("votes"))
     n = lambda k: counts.select(F.col("id").alias(k), F.col("n_features").alias(f"n_{k}"))
     sized = best.join(n("a"), "a").join(n("b"), "b")
@@ -336,7 +342,7 @@ def find_copies(images: DataFrame, image_id: str, votes: int = VOTES, share: flo
     equal = shared_checkpoint(found.where("id is not null").groupBy("key").agg(F.min("id").alias("rep")))
     ones = found.join(equal.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     places = ones.select("id", F.explode(F.arrays_zip("xs", "ys", "levels", "bits")).alias("f"))
-    places = shared_table(places.select("id", F.col("f.xs").alias("x"), F.col("f.ys").alias("y"), F.col("f.levels").alias("level"), F.col("f.bits").alias("bits")))
+    places = shared_table(places.select("id", placed(F.col("f.xs"), F.col("f.ys"), F.col("f.levels")).alias("place"), F.col("f.bits").alias("bits")))
     links = shared_checkpoint(copy_links(places, found.select("id", "n_features").dropDuplicates(["id"]), votes, share))
     parts = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
