@@ -305,7 +305,7 @@ ROW, LEVEL = 1 << 24, 1 << 48
 
 
 def placed(x: Column, y: Column, level: Column) -> Column:
-    return level.cast("long") * LEVEL + y * ROW + x
+    return level.cast("long") * LEVEL + y.cast("long") * ROW + x
 
 
 def _votes(a: Column, b: Column) -> list[Column]:
