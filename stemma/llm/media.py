@@ -5,15 +5,15 @@ are found on three scales; each is described by 64 binary brightness tests in
 its patch, turned by the patch's own orientation. Descriptors within three bits
 of each other, found through tables of their blocks, are one visual word. Words
 bring images together: each image votes with the word's first image and with
-the three before it, for the shift and scale at which the word stands in both;
+the seven before it, for the shift and scale at which the word stands in both;
 two images with enough votes for one shift are copies, whole, cropped or edited.
 Groups are the connected components of such links. So a word in a third of all
-images gives four votes an image, not all pairs.
+images gives eight votes an image, not all pairs.
 
 Defined results: null, empty and unreadable images have no features and a group
 of their own, unless another has the same bytes; images of equal bytes are one
 before anything is compared; a descriptor that repeats in an image votes from
-its first place; null ids belong to no group; repeated rows count once; an
+its first and its last place; null ids belong to no group; repeated rows count once; an
 empty table gives no rows.
 """
 
@@ -38,7 +38,7 @@ STEP, SCALES, HALF, AROUND, RADIUS = 30, 3, 6, 5, 3
 #: Votes that make a link, and the least share of the smaller image's features.
 VOTES, SHARE = 6, 0.2
 #: Images before it that an image of the same word is held against, and ids in a block of them.
-BACK, IDS = 3, 1024
+BACK, IDS = 7, 1024
 #: Pixels described at once.
 PIXELS = 1 << 17
 _ANGLES, _TESTS = 16, 64
@@ -184,8 +184,8 @@ def _tests() -> np.ndarray:
 _TEST = _tests()
 
 
-def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the corners; x has a border of at least HALF + 2."""
+def _corners(x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the corners in the rows inside images; x has a border of HALF + 2."""
     b = HALF + 2
     h, w = x.shape[0] - 2 * b, x.shape[1] - 2 * b
     if h <= 0 or w <= 0:
@@ -199,8 +199,9 @@ def _corners(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         up |= (d > STEP).astype(np.uint16) << k
         down |= (d < -STEP).astype(np.uint16) << k
         strength += np.abs(d) >> 4
-    ys, xs = np.nonzero(_ARC[up] | _ARC[down])
-    near = np.pad(np.where(_ARC[up] | _ARC[down], strength, 0), AROUND)
+    corner = (_ARC[up] | _ARC[down]) & inside[b : b + h, None]
+    ys, xs = np.nonzero(corner)
+    near = np.pad(np.where(corner, strength, 0), AROUND)
     s, best = strength[ys, xs], np.ones(len(ys), bool)
     for dy in range(2 * AROUND + 1):
         for dx in range(2 * AROUND + 1):
@@ -238,15 +239,16 @@ def features(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, ...]]:
         for own in by.values():
             tall = np.concatenate([np.pad(_shrunk(images[i], level), pad, "symmetric") for i in own])
             ends = np.cumsum([(images[i].shape[0] >> level) + 2 * pad for i in own])
-            ys, xs = _corners(tall)
-            inside = ys - np.concatenate(([0], ends[:-1]))[which := np.searchsorted(ends, ys, "right")]
-            ok = (inside >= pad) & (inside < np.diff(np.concatenate(([0], ends)))[which] - pad)
-            ys, xs, inside, which = ys[ok], xs[ok], inside[ok], which[ok]
+            starts = np.concatenate(([0], ends[:-1]))
+            image = np.repeat(np.arange(len(own)), ends - starts)
+            row = np.arange(len(tall)) - starts[image] - pad
+            ys, xs = _corners(tall, (row >= 0) & (row < (ends - starts)[image] - 2 * pad))
+            which, inside = image[ys], row[ys]
             bits = _bits(tall, ys, xs).view(np.int64)
             at = np.searchsorted(which, np.arange(len(own) + 1))
             for j, i in enumerate(own):
                 s = slice(at[j], at[j + 1])
-                out[i].append(((xs[s] - pad) << level, (inside[s] - pad) << level, np.full(at[j + 1] - at[j], level), bits[s]))
+                out[i].append(((xs[s] - pad) << level, inside[s] << level, np.full(at[j + 1] - at[j], level), bits[s]))
     return [tuple(np.concatenate(c) for c in zip(*o)) if o else none for o in out]
 
 
@@ -318,17 +320,21 @@ def _votes(a: Column, b: Column) -> list[Column]:
 
 def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(a, b, votes): images that a common word brought together and that agree on one shift and scale."""
-    first = shared_table(visual_words(places).groupBy("word", "id").agg(F.min("place").alias("p")))
+    # (first, last): a descriptor that repeats in an image stands for its first and its last place
+    ends = F.struct(F.min("place").alias("first"), F.max("place").alias("last"))
+    first = shared_table(visual_words(places).groupBy("word", "id").agg(ends.alias("p")))
     stats = first.groupBy("word").agg(F.count("*").alias("df"), F.min(F.struct("id", "p")).alias("hub")).where("df > 1")
-    rows = shared_table(first.join(stats, "word").select("word", "id", "p", "df", F.col("hub.id").alias("hub"), F.col("hub.p").alias("hub_p")))
-    to_hub = rows.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"), F.col("p").alias("pa"), F.col("hub_p").alias("pb"))
+    rows = shared_table(first.join(stats, "word").select("word", "id", "p", "df", "hub"))
+    to_hub = rows.where("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("p").alias("pa"), F.col("hub.p").alias("pb"))
     block = F.when(F.col("df") <= IDS, F.lit(0)).otherwise(F.floor(F.col("id") / IDS))
     order = Window.partitionBy("word", block).orderBy("id")
-    back = rows.select("id", "p", "hub", F.array(*[F.lag(F.struct("id", "p"), k).over(order) for k in range(1, BACK + 1)]).alias("near"))
+    back = rows.select("id", "p", F.col("hub.id").alias("hub"), F.array(*[F.lag(F.struct("id", "p"), k).over(order) for k in range(1, BACK + 1)]).alias("near"))
     near = back.withColumn("q", F.explode(F.filter("near", lambda q: q.isNotNull()))).where("q.id <> hub")
     to_near = near.select(F.col("id").alias("a"), F.col("q.id").alias("b"), F.col("p").alias("pa"), F.col("q.p").alias("pb"))
     pairs = to_hub.unionByName(to_near)
-    agreed = pairs.select("a", "b", *_votes(F.col("pa"), F.col("pb"))).groupBy("a", "b", "up", "dx", "dy").count().where(F.col("count") >= votes)
+    both = F.array_distinct(F.array(*[F.struct(F.col(f"pa.{k}").alias("pa"), F.col(f"pb.{k}").alias("pb")) for k in ("first", "last")]))
+    pairs = pairs.select("a", "b", F.explode(both).alias("at"))
+    agreed = pairs.select("a", "b", *_votes(F.col("at.pa"), F.col("at.pb"))).groupBy("a", "b", "up", "dx", "dy").count().where(F.col("count") >= votes)
     best = agreed.groupBy("a", "b").agg(F.max("count").alias("votes"))
     n = lambda k: counts.select(F.col("id").alias(k), F.col("n_features").alias(f"n_{k}"))
     sized = best.join(n("a"), "a").join(n("b"), "b")
