@@ -59,10 +59,11 @@ def map_rows(
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = without(df, [f.name for f in outputs if f.name != where]) if keep is None else list(keep)
-    names = [f"__in_{k}" for k in inputs]
-    src = df.select(*[col(c) for c in kept], *[x.alias(n) for n, x in zip(names, inputs.values(), strict=True)])
+    names = [f"i{n}" for n in range(len(inputs))]
+    # plain names inside: mapInArrow looks columns up by name, and theirs may hold dots
+    src = df.select(*[col(c).alias(f"k{n}") for n, c in enumerate(kept)], *[x.alias(n) for n, x in zip(names, inputs.values(), strict=True)])
     shown = [f for f in outputs if f.name != where]
-    schema = T.StructType([src.schema[c] for c in kept] + shown)
+    inner = T.StructType([src.schema[f"k{n}"] for n in range(len(kept))] + [T.StructField(f"o{n}", f.dataType, f.nullable) for n, f in enumerate(shown)])
     n_kept = len(kept)
     order = [f.name for f in outputs]
 
@@ -76,12 +77,12 @@ def map_rows(
                 continue
             new = dict(zip(order, fn(*[batch.column(n_kept + i) for i in range(len(names))]), strict=True))
             arrays = [batch.column(i) for i in range(n_kept)] + [pa.array(new[f.name], kinds[f.name]) for f in shown]
-            out = pa.RecordBatch.from_arrays(arrays, kept + [f.name for f in shown])
+            out = pa.RecordBatch.from_arrays(arrays, inner.names)
             if where:
                 out = out.filter(pa.array(new[where], pa.bool_()))
             yield out
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, inner).toDF(*kept, *[f.name for f in shown])
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.llm.common import shared_checkpoint, without
+from stemma.llm.common import col, shared_checkpoint, without
 
 MARGINS = ("source", "lang", "topic")
 #: Target shares are the margins' own shares to these powers: below 1 lifts the rare.
@@ -91,36 +91,34 @@ def probabilities(cells: DataFrame, budget: float = BUDGET, fits: int = FITS) ->
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
+    """Each document as one struct, ``row``, beside what mixing goes by; so no name can clash."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("?"))
     return docs.select(
-        *[F.col(c) for c in docs.columns], blank("source").alias("__source"), blank("lang").alias("__lang"), topic_of(F.col("text")).alias("__topic"),
-        token_estimate(F.col("text")).alias("__tokens"), draw(F.col("doc_id"), F.col("text")).alias("__draw"),
+        F.struct(*[col(c) for c in docs.columns]).alias("row"), blank("source").alias("source"), blank("lang").alias("lang"), topic_of(F.col("text")).alias("topic"),
+        token_estimate(F.col("text")).alias("tokens"), draw(F.col("doc_id"), F.col("text")).alias("draw"),
     )
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """All documents with ``topic``, ``tokens``, ``probability`` and ``kept``; columns of these names give way."""
-    rows = with_cells(docs.select(*without(docs, ["topic", "tokens", "probability", "kept"])))
-    cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
-    cells = shared_checkpoint(probabilities(rake(shared_checkpoint(cells), powers=powers, targets=targets), budget))
-    cells = cells.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), "probability")
-    n = cells.count()
+def sampled(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(row, topic, tokens, probability, kept) of every document."""
+    rows = with_cells(docs)
+    cells = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
+    cells = shared_checkpoint(probabilities(rake(shared_checkpoint(cells), powers=powers, targets=targets), budget)).select(*MARGINS, "probability")
     # categories that occur: documents stay in place up to this many cells, else both sides are shuffled
-    joined = rows.join(F.broadcast(cells) if n <= 200_000 else cells, ["__source", "__lang", "__topic"])
-    shown = [c for c in rows.columns if not c.startswith("__")]
-    return joined.select(*shown, F.col("__topic").alias("topic"), F.col("__tokens").cast("long").alias("tokens"), F.round("probability", 9).alias("probability"), (F.col("__draw") < F.round("probability", 9)).alias("kept"))
+    joined = rows.join(F.broadcast(cells) if cells.count() <= 200_000 else cells, list(MARGINS))
+    p = F.round("probability", 9)
+    return joined.select("row", "topic", F.col("tokens").cast("long").alias("tokens"), p.alias("probability"), (F.col("draw") < p).alias("kept"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """All documents with ``topic``, ``tokens``, ``probability`` and ``kept``; columns of these names give way."""
+    names = ["topic", "tokens", "probability", "kept"]
+    return sampled(docs, **options).select(*[F.col("row").getField(c).alias(c) for c in without(docs, names)], *names)
 
 
 def keep_sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, with their own columns only."""
-    names = {c.lower(): f"__own_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("topic", "tokens", "probability", "kept")}
-    safe = docs.select(*[F.col(f"`{c}`").alias(names.get(c.lower(), c)) for c in docs.columns])
-    # names of our own that start with two underscores would be dropped, so they pass as a struct
-    hidden = [c for c in safe.columns if c.startswith("__")]
-    if hidden:
-        safe = safe.withColumn("own_hidden", F.struct(*[F.col(f"`{c}`") for c in hidden])).drop(*hidden)
-    got = mix(safe, **options).where("kept")
-    return got.select(*[(F.col(f"own_hidden.`{n}`") if (n := names.get(c.lower(), c)) in hidden else F.col(f"`{n}`")).alias(c) for c in docs.columns])
+    return sampled(docs, **options).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def sql(margins: Sequence[str] = MARGINS, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, fits: int = FITS, budget: float = BUDGET) -> str:

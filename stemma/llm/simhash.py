@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.llm.common import connected_components, map_rows, shared_checkpoint, text_bytes
+from stemma.llm.common import col, connected_components, map_rows, shared_checkpoint, text_bytes
 
 #: Block widths by level; each level has four blocks of what the levels above left of 64 bits.
 LEVELS = (16, 12, 9, 6)
@@ -279,4 +279,4 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """One document of each group stays: the one with the smallest id (documents without an id stay)."""
     chosen = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return kept.select(*[col(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

@@ -1,0 +1,105 @@
+"""Nulls in any column, empty and long texts, repeated rows, empty tables, clashing names."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from stemma.llm import binary, language, lengths, licenses, media, merkle, mixing, packing, quality, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, FP string, kept int, topic string, next string, lang_pred string, `a.b` int, __range int, n_tokens string"
+LONG = "una frase lunga con parole diverse\n" * 12000
+
+
+def rows():
+    extra = ("s", "f", 1, "t", "n", "l", 7, 8, "k")
+    base = [
+        (1, "The cat sat on the mat and looked at the moon.", "en", "a", 5),
+        (2, None, None, None, None),
+        (3, "", "en", None, 0),
+        (4, "Der Hund lief schnell durch den Wald und kam nicht heim.", "de", "b", 5),
+        (5, LONG, "it", "a", len(LONG)),
+        (6, "12 34 ... !!", "en", "b", 3),
+        (None, "The dog has no id at all but a text.", "en", "a", 1),
+        (7, "All rights reserved. Released under the MIT License.", "en", "b", 1),
+        (7, "All rights reserved. Released under the MIT License.", "en", "b", 1),
+        (8, "x", None, "a", None),
+        (9, "\U0001f600 émoji ñandú", "es", "c", 2),
+    ]
+    return [r + extra for r in base]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (4, 0, 0), (5, 1, None), (6, None, 0), (None, 1, 0), (7, 0, 1), (7, 0, 1)], "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "simhash": lambda d, l: simhash.near_duplicates(d),
+    "mix": lambda d, l: mixing.mix(d),
+    "scan": lambda d, l: licenses.scan(d),
+    "matrices": lambda d, l: binary.packed_rows(d),
+    "merkle": lambda d, l: merkle.fingerprints_with_edits(d),
+    "language": lambda d, l: language.identify(d),
+    "pack": lambda d, l: packing.pack(d),
+    "lengths": lambda d, l: lengths.context_limits(lengths.token_lengths(d)),
+    "quality": lambda d, l: quality.classify(d, l),
+}
+STAGES = {
+    "quality": lambda d, l: quality.keep_good(d, l),
+    "language": lambda d, l: language.keep_known(d),
+    "near": lambda d, l: simhash.keep_one_each(d),
+    "mix": lambda d, l: mixing.keep_sample(d),
+}
+PER_ROW = {"simhash", "mix", "scan", "merkle", "language", "quality"}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows(docs, labels, name):
+    got = OPERATORS[name](docs, labels).collect()
+    assert got
+    if name in PER_ROW:
+        assert len(got) == len(rows())
+        assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows())
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(docs, labels, name):
+    assert OPERATORS[name](docs.limit(0), labels.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_columns(docs, labels, name):
+    out = STAGES[name](docs, labels)
+    assert out.columns == docs.columns
+    assert [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    kept = {tuple(r) for r in out.collect()}
+    assert kept <= {tuple(r) for r in docs.collect()} and kept
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_on_nothing(docs, labels, name):
+    assert STAGES[name](docs.limit(0), labels).collect() == []
+
+
+@pytest.mark.parametrize("name", ["language", "quality", "mix", "scan"])
+def test_all_null(spark, labels, name):
+    d = spark.createDataFrame([(None, None, None, None, None)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(OPERATORS[name](d, labels).collect()) == 3
+
+
+def test_single_document_is_its_own_next(spark):
+    d = spark.createDataFrame([(5, "abcd efgh")], "doc_id long, text string")
+    r = merkle.fingerprints_with_edits(d).first()
+    assert r["near_next"] == 1.0 and r["n_chars"] == 9
+
+
+def test_images_odd_rows(spark):
+    x = media.encode(__import__("numpy").zeros((20, 20), "uint8"))
+    d = spark.createDataFrame([(1, None), (2, b""), (3, b"junk"), (4, x), (5, x), (5, x), (None, x)], "id long, image binary").withColumn("key", F.lit("own"))
+    got = {(r["id"], r["component_id"]) for r in media.find_copies(d, "id").collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None)}
+    assert media.find_copies(d.limit(0), "id").collect() == []

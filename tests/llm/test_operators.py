@@ -1,0 +1,428 @@
+"""Each operator against a brute-force version, an exact round trip, SQL or held-out accuracy."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from stemma.llm import binary, language, lengths, licenses, media, merkle, mixing, packing, quality, queries, simhash, tokens
+from stemma.llm.common import connected_components
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+
+
+def components(n, pairs):
+    label = list(range(n))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+# ------------------------------------------------------------ simhash
+
+
+def brute_print(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+    s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def test_simhash_groups(spark, texts):
+    got = {r["doc_id"]: r for r in queries.op2_simhash_groups(spark, SF).collect()}
+    ids = sorted(texts)
+    fps = [brute_print(texts[i]) for i in ids]
+    assert [got[i]["fingerprint"] for i in ids] == [f"{x:016x}" for x in fps]
+    own = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    assert [got[i]["component_id"] for i in ids] == [ids[k] for k in own]
+
+
+@pytest.mark.parametrize("bucket", [1 << 15, 6])
+def test_hamming_links(spark, bucket):
+    rng = np.random.default_rng(bucket)
+    fps = set()
+    for c in rng.integers(0, 1 << 63, 40, np.uint64):
+        for _ in range(rng.integers(1, 25)):
+            x = int(c)
+            for b in rng.integers(0, 64, rng.integers(0, 4)):
+                x ^= 1 << int(b)
+            fps.add(x)
+    fps = sorted(fps)
+    rows = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)), i) for i, x in enumerate(fps)], "fp long, rep long")
+    parts = {r["node"]: r["root"] for r in connected_components(simhash.fingerprint_links(rows, 3, bucket)).collect()}
+    own = components(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    assert [parts.get(i, i) for i in range(len(fps))] == own
+
+
+def test_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+# ------------------------------------------------------------ learned
+
+
+def brute_bits(model_texts, classes, data, lang):
+    """PPM by counting dictionaries, for one language."""
+    s = [0, 0, 0, *[int(classes[b]) for b in data]]
+    counts: dict = {}
+    everywhere: Counter = Counter()
+    for name, ts in model_texts.items():
+        for t in ts:
+            z = [0, 0, 0, *[int(classes[b]) for b in t]]
+            for i in range(3, len(z)):
+                everywhere[tuple(z[i - 3 : i])] += 1
+    for t in model_texts[lang]:
+        z = [0, 0, 0, *[int(classes[b]) for b in t]]
+        for i in range(3, len(z)):
+            for k in range(4):
+                c = tuple(z[i - k : i])
+                if k < 3 or everywhere[c] >= language.SEEN:
+                    counts.setdefault(c, Counter())[z[i]] += 1
+
+    def p(context, order):
+        low = np.full(language.CLASSES, 1 / language.CLASSES) if order == 0 else p(context[1:], order - 1)
+        c = counts.get(tuple(context), Counter())
+        if not c:
+            return low
+        n = np.array([c[x] for x in range(language.CLASSES)], float)
+        left = low[n == 0].sum()
+        escape = (n > 0).sum() if left > 0 else 0
+        return np.where(n > 0, n, escape * low / (left or 1)) / (n.sum() + escape)
+
+    return sum(-np.log2(p(s[i - 3 : i], 3)[s[i]]) for i in range(3, len(s)))
+
+
+def test_code_lengths():
+    texts = {"en": [b"the cat and the dog and the end", b"a cat"], "de": [b"der hund und die katze und das ende"]}
+    m = language.train(texts)
+    for data in (b"the dog", b"die katze und der hund", "Über x".encode()):
+        for j, lang in enumerate(m.languages):
+            assert m.code_lengths(data)[j] == pytest.approx(brute_bits(texts, m.classes, data, lang), abs=0.01)
+
+
+def test_language_held_out(spark, docs):
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    got = queries.op7_language_id(spark, SF).collect()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1
+    out = [r for r in got if r["held_out"]]
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in out) >= 0.95 * len(out)
+
+
+def test_quality_held_out(spark):
+    sf = SF.replace("0.001", "0.01")
+    y = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [r for r in queries.op10_quality_scores(spark, sf).collect()]
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    out = [(r["score"], y[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in y]
+    good, bad = [s for s, q in out if q], [s for s, q in out if not q]
+    assert np.mean([a > b for a in good for b in bad]) > 0.85
+    assert np.mean([s >= 0.3 for s in good]) > 0.95
+
+
+def test_held_out_labels_are_not_read(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = quality.classify(docs, labels), quality.classify(docs, turned)
+    assert {tuple(r) for r in a.collect()} == {tuple(r) for r in b.collect()}
+
+
+# ------------------------------------------------------------ tokens
+
+
+def test_encoder_is_the_tokenizer(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.public_path())
+    e = tokens.Encoder(tokens.public_path())
+    assert e.fast is not None
+    odd = ["", " ", "a  b\n\n\tc", "it's  WE'LL 123 x", "\U0001f600‍", "x" * 5000, "a<|endoftext|>b", "\r\n \r\n", "日本語テキスト", "é"]
+    for x in [*list(texts.values())[:120], *odd]:
+        assert list(e.ids(x)) == t.encode(x, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 4096, 5000])
+def test_cuts(n):
+    got = list(tokens.cuts(n, 2048))
+    assert got[0][0] == 0 and got[-1][1] == n and all(b - a == 2048 for a, b in got[1:])
+    assert all(x[1] == y[0] for x, y in zip(got, got[1:]))
+
+
+def ids_of(texts):
+    e = tokens.Encoder(tokens.public_path())
+    return {i: np.array([*e.ids(t), 0], "<u4") for i, t in texts.items()}
+
+
+def test_packing(spark, texts):
+    want = ids_of(texts)
+    got = queries.op8_best_fit_packing(spark, SF).collect()
+    by: dict = {}
+    for r in got:
+        own = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(own) == r["length"] <= 2048 and zlib.crc32(own.tobytes()) == r["ids_crc32"]
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"]) for r in got} == {(i, k): (a, b - a) for i, x in want.items() for k, (a, b) in enumerate(tokens.cuts(len(x), 2048))}
+    for x in by.values():
+        at = 0
+        for offset, length in sorted(x):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by) <= 1.02 * sum(len(x) for x in want.values()) / 2048 + 2
+
+
+def test_blocks_bound_memory(spark, docs, texts):
+    a = packing.pack(docs, block=1 << 14)
+    assert sum(r["length"] for r in a.collect()) == sum(len(x) for x in ids_of(texts).values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packers(seed):
+    rng = np.random.default_rng(seed)
+    sizes = (rng.integers(1, 2049, 700) if seed % 2 else np.minimum(2048, rng.lognormal(6, 1, 700).astype(int) + 1)).astype(np.int64)
+    least = sizes.sum() / 2048
+    for packer in (packing.linear_grouping, binary.best_fit_decreasing):
+        bins = packer(sizes, 2048)
+        assert np.bincount(bins, weights=sizes).max() <= 2048 and (bins >= 0).all()
+        assert len(set(bins)) <= 1.06 * least + 2
+    # best fit by hand
+    room, out = [], []
+    for s in sorted(sizes, reverse=True):
+        fit = [r for r in room if r >= s]
+        if fit:
+            room.remove(min(fit))
+            room.append(min(fit) - s)
+        else:
+            room.append(2048 - s)
+    assert len(set(binary.best_fit_decreasing(sizes, 2048))) == len(room)
+
+
+def test_matrices_round_trip(spark, docs, texts, tmp_path):
+    binary.write(docs, str(tmp_path / "m"))
+    rows = spark.read.parquet(str(tmp_path / "m"))
+    got: dict = {}
+    for r in binary.unpack(rows).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+    want = ids_of(texts)
+    assert {i: b"".join(x for _, x in sorted(p)) for i, p in got.items()} == {i: x.tobytes() for i, x in want.items()}
+    for r in rows.collect():
+        pos, cu = np.frombuffer(r["positions"], "<u4"), r["cu_seqlens"]
+        assert len(r["ids"]) == 4 * 2048 and cu[-1] == r["n_tokens"]
+        for a, b in zip(cu, cu[1:]):
+            assert (pos[a:b] == np.arange(b - a)).all()
+
+
+def test_token_counts(spark, texts):
+    e = tokens.Encoder(tokens.public_path())
+    n = np.array([len(e.ids(t)) for t in texts.values()])
+    got = {r["length"]: r for r in queries.op9_token_counts(spark, SF).collect()}
+    assert set(got) == set(n.tolist())
+    for length, r in got.items():
+        assert (r["n_docs"], r["docs_from"], r["tokens_from"]) == ((n == length).sum(), (n >= length).sum(), n[n >= length].sum())
+        assert (r["kept_tokens"], r["total_tokens"]) == (np.minimum(n, length).sum(), n.sum())
+        assert r["quantile"] == pytest.approx((n <= length).mean())
+    asked = [0, 100, 777, 10**6]
+    limits = {r["limit"]: r["kept_tokens"] for r in lengths.at_limits(queries.op9_token_counts(spark, SF), asked).collect()}
+    assert limits == {x: np.minimum(n, x).sum() for x in asked}
+
+
+# ------------------------------------------------------------ licences
+
+
+def brute_base(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found = [(i, label) for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")) for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    return len(w), found
+
+
+def test_license_scan(spark, texts):
+    for r in queries.op4_license_scan(spark, SF).collect():
+        n, found = brute_base(texts[r["doc_id"]])
+        at = [i for i, _ in found]
+        labels = {x for _, x in found}
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (n, len(found), min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted(labels)) and labels <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1
+
+
+def test_license_votes(spark):
+    rows = [
+        (1, "intro words\nReleased under the MIT License. more"),
+        (2, "Redistribution and use in source and binary formats, with or without any modification, are permitted provided that the following conditions are met"),
+        (3, "cc by cc by CC-BY"),
+        (4, "the source and the binary of this word"),
+        (5, "licensed " * 40 + "under the apache license version 2 0"),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {1: "mit", 2: "bsd", 3: "cc-by", 4: "", 5: "apache-2.0"}
+    assert got[3]["n_base"] == 3 and got[3]["score"] == 1 and 0.8 <= got[2]["score"] < 1 and got[4]["score"] == 0
+
+
+# ------------------------------------------------------------ fingerprints
+
+
+def run_sql(name, sf):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con.sql(queries.ORACLE_SQL[name])
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_sql(spark, name):
+    rel = run_sql(name, SF)
+    want = sorted(rel.fetchall(), key=str)
+    assert sorted((tuple(r) for r in queries.QUERIES[name](spark, SF).select(*rel.columns).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("per", [1, 7, 10**6])
+def test_next_document(spark, per):
+    ids = [i * i * 10**13 - 5 for i in range(60)]
+    d = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["next"]["text"] for r in merkle.with_next(d, ["text"], per).collect()}
+    assert got == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1])}
+
+
+def test_edited_texts(spark, texts):
+    ids = sorted(texts)
+    got = {r["doc_id"]: r for r in queries.op6_merkle_fingerprints(spark, SF).collect()}
+    for a, b in zip(ids, ids[1:] + ids[:1]):
+        q = len(texts[a]) // 4
+        edited = texts[a][: len(texts[a]) - q] + texts[b][:q]
+        assert got[a]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[a]["n_chars"] == len(texts[a])
+    same = {}
+    for i in ids:
+        same.setdefault(got[i]["fingerprint"], set()).add(texts[i])
+    assert all(len(x) == 1 for x in same.values())
+    assert np.mean([r["near_edited"] for r in got.values()]) > 0.6 > 0.1 > np.mean([r["near_next"] for r in got.values()])
+
+
+def test_changed_branches(spark):
+    a = spark.createDataFrame([(1, "one\ntwo\n\nthree\nfour")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "one\ntwo\n\nthree\nfive")], "doc_id long, text string")
+    got = merkle.changed_branches(a, b).collect()
+    assert sorted((r["side"]) for r in got) == ["after", "before"]
+    assert merkle.changed_branches(a, a).count() == 0
+
+
+# ------------------------------------------------------------ mixing
+
+
+def test_margins(spark):
+    cells = spark.createDataFrame([(s, la, t, float(10 + 7 * i + 3 * j + k)) for i, s in enumerate("abc") for j, la in enumerate("xy") for k, t in enumerate("pq")], "source string, lang string, topic string, tokens double")
+    goal = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.7, "y": 0.3}, "topic": {"p": 0.4, "q": 0.6}}
+    x = mixing.rake(cells, targets=goal, rounds=24).toPandas()
+    x["w"] = x.tokens * x.factor
+    for m, shares in goal.items():
+        got = x.groupby(m).w.sum()
+        assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in shares.items())
+
+
+def test_sample_meets_budget(spark):
+    p = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    assert (p.tokens * p.probability).sum() / p.tokens.sum() == pytest.approx(mixing.BUDGET, abs=0.01)
+
+
+# ------------------------------------------------------------ images
+
+
+def test_crops_and_edits(spark):
+    rng = np.random.default_rng(3)
+    picture = lambda: np.kron(rng.integers(0, 256, (40, 40)), np.ones((3, 3))).astype(np.uint8)
+    base, other = picture(), picture()
+    edited = base.copy()
+    edited[40:60, 40:60] = 0
+    images = {1: base, 2: base[11:, 7:], 3: edited, 4: other, 5: picture(), 6: other[:70, 20:]}
+    d = spark.createDataFrame([(i, media.encode(x)) for i, x in images.items()], "id long, image binary")
+    got = {r["id"]: r["component_id"] for r in media.find_copies(d, "id").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 4}
+
+
+def test_large_group_of_copies(spark):
+    rng = np.random.default_rng(4)
+    base = np.kron(rng.integers(0, 256, (30, 30)), np.ones((3, 3))).astype(np.uint8)
+
+    def near(i):
+        x = base.copy()
+        x[i % 80 : i % 80 + 8, (i * 7) % 80 : (i * 7) % 80 + 8] = i
+        return media.encode(x)
+
+    d = spark.createDataFrame([(i, near(i)) for i in range(150)], "id long, image binary")
+    assert {r["component_id"] for r in media.find_copies(d, "id").collect()} == {0}
+
+
+def test_features_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(5)
+    xs = [rng.integers(0, 256, (30 + 5 * i, 64)).astype(np.uint8) for i in range(5)]
+    for x, together in zip(xs, media.features(xs)):
+        assert all((a == b).all() for a, b in zip(media.features([x])[0], together))
+
+
+def test_decoders():
+    import struct
+
+    x = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    assert (media.decode(media.encode(x)) == x).all()
+    raw = b"".join(b"\x02" + bytes((x[y] - (x[y - 1] if y else 0)).astype(np.uint8)) for y in range(3))
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 3, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert (media.decode(png) == x).all()
+    assert media.decode(png[:40]) is None and media.decode(b"P5 9 9 255\nshort") is None
+
+
+# ------------------------------------------------------------ pipeline
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    kept = []
+    at = docs
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, at, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        kept.append({r["doc_id"] for r in rows})
+        at = spark.createDataFrame(rows, docs.schema)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r["doc_id"] for r in quality.classify(docs, labels).where("predicted = 1").collect()}
+    assert kept[0] == good and 0.7 * len(text) < len(good) <= len(text)
+    assert kept[1] <= kept[0] and len(kept[1]) > 0.97 * len(kept[0])
+    ids = sorted(kept[1])
+    fps = [brute_print(text[i]) for i in ids]
+    own = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    assert kept[2] == {ids[k] for k in own}
+    assert kept[3] < kept[2]
+    packed = cp.run(spark, SF).collect()
+    assert {r["doc_id"] for r in packed} == kept[3]
+    want = ids_of({i: text[i] for i in kept[3]})
+    assert sum(r["length"] for r in packed) == sum(len(x) for x in want.values())
