@@ -4,7 +4,7 @@ Every word (letters, digits or signs in a row, case folded) has a sparse random
 index vector; its word vector is the sum of the index vectors of the words
 around it in the training texts, beside a share of its own. A document is the
 mean of its words' vectors, with the mean shape of its words (case and length),
-the logarithm of its length and how varied its words are. A network with one
+the logarithm of its length and how varied and repetitive its words are. A network with one
 hidden layer gives a logit, divided by a temperature that is fitted on a tenth
 of the training rows kept apart.
 
@@ -28,7 +28,7 @@ from stemma.llm.words import run_hashes, runs
 
 #: Bound of the training sample: labelled rows, and bytes of a text.
 ROWS, BYTES_A_DOC = 8000, 1 << 16
-BUCKETS, SIZE, NEAR, SHAPES, HIDDEN = 1 << 16, 64, 2, 24, 32
+BUCKETS, SIZE, NEAR, SHAPES, MORE, HIDDEN = 1 << 16, 64, 2, 24, 4, 32
 THRESHOLD = 0.3
 SEED = 7
 
@@ -97,13 +97,13 @@ class Model:
 def features(vectors: np.ndarray, data: bytes) -> np.ndarray:
     ids, shape = words(data)
     n = len(ids)
-    out = np.zeros(SIZE + SHAPES + 3, np.float32)
+    out = np.zeros(SIZE + SHAPES + MORE, np.float32)
     if n:
         many = np.bincount(ids, minlength=1)
         seen = np.flatnonzero(many)
         out[:SIZE] = many[seen].astype(np.float32) @ vectors[seen] / n
         out[SIZE : SIZE + SHAPES] = np.bincount(shape, minlength=SHAPES)[:SHAPES] / n
-        out[-3:] = np.log1p(n), len(seen) / n, many.max() / n
+        out[-MORE:] = np.log1p(n), len(seen) / n, many.max() / n, (ids[1:] == ids[:-1]).sum() / n
     return out
 
 
@@ -144,7 +144,7 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
 def train(texts: list[bytes], labels: np.ndarray) -> Model:
     y = np.asarray(labels, np.float64)
     if not len(y):
-        d = SIZE + SHAPES + 3
+        d = SIZE + SHAPES + MORE
         return Model(index_vectors(), np.zeros(d), np.ones(d), [np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())])
     vectors = word_vectors([words(t)[0] for t in texts])
     x = np.array([features(vectors, t) for t in texts], np.float64)
