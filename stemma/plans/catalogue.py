@@ -485,7 +485,7 @@ def _graded(spark, sf_dir):
 
 COMPLETE = """a AS (SELECT qid, count(*) FILTER (grade > 0) AS hits, count(*) AS n, sum((pow(2.0, grade) - 1) / log2(rank + 1)) AS dcg FROM g WHERE rank <= 10 GROUP BY qid), f AS (SELECT qid, min(rank) AS first FROM g WHERE grade > 0 GROUP BY qid),
 i AS (SELECT qid, count(*) AS wanted, sum(CASE WHEN r <= 10 THEN (pow(2.0, grade) - 1) / log2(r + 1) END) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC) AS r FROM c) GROUP BY qid),
-m AS (SELECT qid, round(coalesce(hits / n, 0), 4) AS precision, round(coalesce(least(hits, wanted) / wanted, 0), 4) AS recall, round(coalesce(1 / first, 0), 4) AS mrr, round(coalesce(dcg / ideal, 0), 4) AS ndcg FROM i LEFT JOIN a USING (qid) LEFT JOIN f USING (qid))"""
+m AS (SELECT qid, round(coalesce(hits / n, 0), 4) AS precision, round(least(coalesce(hits, 0), wanted) / wanted, 4) AS recall, round(coalesce(1 / first, 0), 4) AS mrr, round(coalesce(dcg / ideal, 0), 4) AS ndcg FROM i LEFT JOIN a USING (qid) LEFT JOIN f USING (qid))"""
 ABLATION = """a AS (SELECT qid, count(*) FILTER (grade >= 1 AND rank <= 10) AS hits, min(CASE WHEN grade >= 1 THEN rank END) AS first, sum(CASE WHEN rank <= 10 THEN (pow(2.0, grade) - 1) / log2(rank + 1) END) AS dcg, sum(CASE WHEN r <= 10 THEN (pow(2.0, grade) - 1) / log2(r + 1) END) AS ideal
   FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC) AS r FROM g) GROUP BY qid), w AS (SELECT qid, greatest(count(*) FILTER (grade = 3), 1) AS wanted FROM c GROUP BY qid),
 m AS (SELECT qid, round(coalesce(hits / 10, 0), 4) AS precision, round(coalesce(hits / wanted, 0), 4) AS recall, round(coalesce(1 / first, 0), 4) AS mrr, round(coalesce(CASE WHEN ideal > 0 THEN dcg / ideal END, 0), 4) AS ndcg FROM w LEFT JOIN a USING (qid))"""
@@ -501,7 +501,7 @@ def metrics_ablation(spark, sf_dir):
     return metrics.ablation(*_graded(spark, sf_dir), 10)
 
 
-@query(f"WITH {GRADES}, {COMPLETE} SELECT qid % 300 AS category, count(*) AS questions, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg FROM m GROUP BY ALL")
+@query(f"WITH {GRADES}, {COMPLETE} SELECT qid % 300 AS category, count(*) AS questions, round(avg(precision) + 1e-9, 4) AS precision, round(avg(recall) + 1e-9, 4) AS recall, round(avg(mrr) + 1e-9, 4) AS mrr, round(avg(ndcg) + 1e-9, 4) AS ndcg FROM m GROUP BY ALL")
 def metrics_by_category(spark, sf_dir):
     m = metrics.complete(*_graded(spark, sf_dir), 10).withColumn("category", F.col("qid") % 300)
     return metrics.averaged(m, ["category"])

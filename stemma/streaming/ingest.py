@@ -32,14 +32,15 @@ def add_batch(batch: DataFrame, all_path: str, current_path: str) -> None:
     have = _there(spark, all_path)
     if have is not None:
         docs = docs.join(have.select("versione_id"), "versione_id", "left_anti")
+    # the full table last: ids that it holds are done, and a batch that stops before is made up for by the next attempt
     docs = docs.persist()
     try:
-        docs.write.mode("append").parquet(all_path)
         now = docs.where("is_current")
         held = _there(spark, current_path)
         if held is not None:
             now = now.join(held.select("versione_id"), "versione_id", "left_anti")
         now.write.mode("append").parquet(current_path)
+        docs.write.mode("append").parquet(all_path)
     finally:
         docs.unpersist()
 
