@@ -130,14 +130,18 @@ def fit(docs: DataFrame) -> Model:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "lang").where("doc_id is not null and lang is not null").where(~held_out())
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    # a first cut by hash to some eight times the sample, so that no task gathers a large language's ids
+    share = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 8 * DOCS_A_LANGUAGE / n))] or [F.lit(""), F.lit(1.0)])
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin(top)).withColumn("n", F.row_number().over(by)).where(F.col("n") <= DOCS_A_LANGUAGE)
+    few = rows.where(F.col("lang").isin(list(top))).where(drawn <= F.try_element_at(share, F.col("lang")))
+    picked = few.withColumn("n", F.row_number().over(by)).where(F.col("n") <= DOCS_A_LANGUAGE)
     ids = [r["doc_id"] for r in picked.select("doc_id").collect()]  # LANGUAGES * DOCS_A_LANGUAGE at most
     texts: dict[str, list[bytes]] = {}
     if ids:
         few = spark.createDataFrame([(x,) for x in ids], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
-        mine = docs.where(F.col("lang").isin(top) & (F.octet_length("text") <= BYTES_A_DOC)).select("doc_id", "lang", F.col("text").cast("binary").alias("t"))
+        mine = docs.where(F.col("lang").isin(list(top)) & (F.octet_length("text") <= BYTES_A_DOC)).select("doc_id", "lang", F.col("text").cast("binary").alias("t"))
         for r in mine.join(F.broadcast(few.distinct()), "doc_id", "left_semi").orderBy("doc_id").collect():
             texts.setdefault(r["lang"], []).append(bytes(r["t"]))
     return train(texts)

@@ -28,7 +28,7 @@ from stemma.llm.words import run_hashes, runs
 
 #: Bound of the training sample: labelled rows, and bytes of a text.
 ROWS, BYTES_A_DOC = 8000, 1 << 16
-BUCKETS, SIZE, NEAR, SHAPES, MORE, HIDDEN = 1 << 16, 64, 2, 24, 4, 32
+BUCKETS, SIZE, NEAR, SHAPES, MORE, HIDDEN = 1 << 15, 64, 2, 24, 4, 32
 THRESHOLD = 0.3
 SEED = 7
 
