@@ -32,7 +32,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, boost: float = 1.0) -
     stats = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     vocabulary = terms.select("term").distinct()
     postings = split.select("doc_id", "dl", F.explode("w").alias("term")).join(vocabulary, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # asking for tf keeps both branches on one exchange, so the texts are split once for them
+    df = postings.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = postings.join(df, "term").join(F.broadcast(stats)).select("term", "doc_id", part.alias("part"))  # one row
