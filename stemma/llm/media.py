@@ -295,7 +295,7 @@ def visual_words(places: DataFrame) -> DataFrame:
 
     A word is the smallest descriptor to which a block table joins its near ones.
     """
-    kinds = shared_checkpoint(places.groupBy("bits").agg((F.count("*") > 1).alias("more")))
+    kinds = shared_table(places.groupBy("bits").agg((F.count("*") > 1).alias("more")))
     links = shared_checkpoint(fingerprint_links(kinds.select(F.col("bits").alias("fp"), F.col("bits").alias("rep")), RADIUS))
     same = kinds.where("more").select("bits", F.col("bits").alias("word"))
     words = links.select(F.col("a").alias("bits"), F.col("b").alias("word")).unionByName(links.select(F.col("b").alias("bits"), F.col("b").alias("word"))).unionByName(same)
@@ -310,12 +310,13 @@ def placed(x: Column, y: Column, level: Column) -> Column:
     return level.cast("long") * LEVEL + y.cast("long") * ROW + x
 
 
-def _votes(a: Column, b: Column) -> list[Column]:
-    """Scale and shift that bring place b onto place a, in steps of 4 pixels."""
+def _shift(a: Column, b: Column) -> Column:
+    """Scale and shift that bring place b onto place a, in steps of 4 pixels, as one number."""
     level, y, x = (lambda p: F.floor(p / LEVEL)), (lambda p: F.floor(p / ROW) % (LEVEL // ROW)), (lambda p: p % ROW)
     up = level(a) - level(b)
     scale = F.pow(F.lit(2.0), up)
-    return [up.cast("int").alias("up"), F.round((x(a) - x(b) * scale) / 4).cast("int").alias("dx"), F.round((y(a) - y(b) * scale) / 4).cast("int").alias("dy")]
+    steps = lambda of: F.round((of(a) - of(b) * scale) / 4).cast("long") + ROW // 2
+    return (up.cast("long") + SCALES) * LEVEL + steps(y) * ROW + steps(x)
 
 
 def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
@@ -324,17 +325,15 @@ def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share:
     ends = F.struct(F.min("place").alias("first"), F.max("place").alias("last"))
     first = shared_table(visual_words(places).groupBy("word", "id").agg(ends.alias("p")))
     stats = first.groupBy("word").agg(F.count("*").alias("df"), F.min(F.struct("id", "p")).alias("hub")).where("df > 1")
-    rows = shared_table(first.join(stats, "word").select("word", "id", "p", "df", "hub"))
-    to_hub = rows.where("id <> hub.id").select(F.col("id").alias("a"), F.col("hub.id").alias("b"), F.col("p").alias("pa"), F.col("hub.p").alias("pb"))
     block = F.when(F.col("df") <= IDS, F.lit(0)).otherwise(F.floor(F.col("id") / IDS))
     order = Window.partitionBy("word", block).orderBy("id")
-    back = rows.select("id", "p", F.col("hub.id").alias("hub"), F.array(*[F.lag(F.struct("id", "p"), k).over(order) for k in range(1, BACK + 1)]).alias("near"))
-    near = back.withColumn("q", F.explode(F.filter("near", lambda q: q.isNotNull()))).where("q.id <> hub")
-    to_near = near.select(F.col("id").alias("a"), F.col("q.id").alias("b"), F.col("p").alias("pa"), F.col("q.p").alias("pb"))
-    pairs = to_hub.unionByName(to_near)
-    both = F.array_distinct(F.array(*[F.struct(F.col(f"pa.{k}").alias("pa"), F.col(f"pb.{k}").alias("pb")) for k in ("first", "last")]))
-    pairs = pairs.select("a", "b", F.explode(both).alias("at"))
-    agreed = pairs.select("a", "b", *_votes(F.col("at.pa"), F.col("at.pb"))).groupBy("a", "b", "up", "dx", "dy").count().where(F.col("count") >= votes)
+    met = F.array(F.col("hub"), *[F.lag(F.struct("id", "p"), k).over(order) for k in range(1, BACK + 1)])
+    pairs = first.join(stats, "word").select("id", "p", "hub.id", met.alias("met")).toDF("a", "pa", "hub", "met")
+    others = F.filter("met", lambda q, i: q.isNotNull() & (q["id"] != F.col("a")) & ((i == 0) | (q["id"] != F.col("hub"))))
+    pairs = pairs.select("a", "pa", F.explode(others).alias("q"))
+    both = F.array_distinct(F.array(*[F.struct(F.col(f"pa.{k}").alias("pa"), F.col(f"q.p.{k}").alias("pb")) for k in ("first", "last")]))
+    pairs = pairs.select("a", F.col("q.id").alias("b"), F.explode(both).alias("at"))
+    agreed = pairs.select("a", "b", _shift(F.col("at.pa"), F.col("at.pb")).alias("shift")).groupBy("a", "b", "shift").count().where(F.col("count") >= votes)
     best = agreed.groupBy("a", "b").agg(F.max("count").alias("votes"))
     n = lambda k: counts.select(F.col("id").alias(k), F.col("n_features").alias(f"n_{k}"))
     sized = best.join(n("a"), "a").join(n("b"), "b")
