@@ -296,7 +296,7 @@ def visual_words(places: DataFrame) -> DataFrame:
     A word is the smallest descriptor to which a block table joins its near ones.
     """
     kinds = shared_table(places.groupBy("bits").agg((F.count("*") > 1).alias("more")))
-    links = shared_checkpoint(fingerprint_links(kinds.select(F.col("bits").alias("fp"), F.col("bits").alias("rep")), RADIUS))
+    links = shared_checkpoint(fingerprint_links(kinds.select(F.col("bits").alias("fp")), RADIUS))
     same = kinds.where("more").select("bits", F.col("bits").alias("word"))
     words = links.select(F.col("a").alias("bits"), F.col("b").alias("word")).unionByName(links.select(F.col("b").alias("bits"), F.col("b").alias("word"))).unionByName(same)
     return places.join(words.groupBy("bits").agg(F.min("word").alias("word")), "bits").select("word", "id", "place")

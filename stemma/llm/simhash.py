@@ -213,7 +213,7 @@ def _spread(rows: DataFrame, level: int) -> DataFrame:
         )
         for p in range(4)
     ]
-    return rows.withColumn("to", F.explode(F.array(*blocks))).select("fp", "rep", F.col("to.key").alias("key"), F.col("to.rest").alias("rest"))
+    return rows.withColumn("to", F.explode(F.array(*blocks))).select(*[c for c in rows.columns if c in ("fp", "rep")], F.col("to.key").alias("key"), F.col("to.rest").alias("rest"))
 
 
 def _bucket_links(radius: int):
@@ -227,7 +227,8 @@ def _bucket_links(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[to[moved]])], ["a", "b"])
 
         for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(3)])
+            own = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+            held.append(own if len(own) == 3 else [*own, own[1]])
             rows += batch.num_rows
             if rows >= 1 << 17:
                 key, fp, rep = map(np.concatenate, zip(*held))
@@ -242,11 +243,12 @@ def _bucket_links(radius: int):
 
 
 def fingerprint_links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between the ``rep`` ids of distinct fingerprints (``fp``, ``rep``) that join all that lie within the radius, directly or over others."""
+    """(a, b): links that join all distinct fingerprints (``fp``) within the radius, directly or over others; by their ``rep`` ids, or themselves if they have none."""
     if radius > 3:
         raise ValueError("four blocks prove a radius of 3 at most")
     spark = nodes.sparkSession
-    rows = nodes.where("rep is not null").select("fp", "rep", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
+    names = [c for c in ("fp", "rep") if c in nodes.columns]
+    rows = nodes.where(f"{names[-1]} is not null").select(*names, F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
     found: list[DataFrame] = []
     for level in range(len(LEVELS)):
         rows = _spread(rows, level)
@@ -256,7 +258,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -
             last, large = True, None
         here = rows if large is None else rows.join(large, "key", "left_anti")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-        found.append(here.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius), "a long, b long"))
+        found.append(here.select("key", *names).repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius), "a long, b long"))
         if last:
             break
         rows = rows.join(large, "key", "left_semi")
