@@ -34,7 +34,7 @@ from stemma.llm.common import col, connected_components, map_rows, shared_checkp
 from stemma.llm.simhash import fingerprint_links
 
 #: Brightness step of a corner, scales, half a patch, pixels around in which a corner is the strongest, bits that may differ.
-STEP, SCALES, HALF, AROUND, RADIUS = 30, 3, 6, 5, 3
+STEP, SCALES, HALF, AROUND, RADIUS = 30, 3, 6, 2, 3
 #: Votes that make a link, and the least share of the smaller image's features.
 VOTES, SHARE = 6, 0.2
 #: Images before it that an image of the same word is held against, and ids in a block of them.
@@ -125,11 +125,11 @@ _TAG = re.compile(r"<[^>]*>")
 _INK = (np.arange(256) * 97 % 200).astype(np.uint16)
 _INK[32] = 255
 #: Pixels across a drawn page, and bytes of text a pixel.
-WIDTH, BYTES = 64, 4
+WIDTH, BYTES = 64, 2
 
 
 def draw_page(text: str) -> bytes:
-    """A page's visible text, a pixel for four bytes, a row for each 256 bytes of a block."""
+    """A page's visible text, a pixel for two bytes, a row for each 128 bytes of a block."""
     plain = entities.unescape(_TAG.sub("", _BLOCK.sub("\n", _HIDDEN.sub("", text))))
     rows = []
     for line in plain.split("\n"):
