@@ -30,8 +30,8 @@ from stemma.llm.common import col, held_out, map_rows
 #: Byte classes; rarer bytes beyond these share the last one.
 CLASSES = 64
 ORDER = 3
-#: Parts of a bit that code lengths are kept in, and how often a context of the highest order must occur to be kept.
-PARTS, SEEN = 2048, 2
+#: Parts of a bit that code lengths are kept in.
+PARTS = 2048
 #: Bound of the training sample: documents of each language, bytes of a document, languages.
 DOCS_A_LANGUAGE, BYTES_A_DOC, LANGUAGES = 400, 1 << 16, 256
 UNKNOWN = "und"
@@ -105,7 +105,7 @@ def train(texts: dict[str, list[bytes]]) -> Model:
         parts = [contexts(classes[np.frombuffer(t, np.uint8)].astype(np.int64)) for t in texts[lang] if t]
         grams[lang] = np.concatenate([a * CLASSES + x for a, x in parts]) if parts else np.zeros(0, np.int64)
     often = sum((np.bincount(g // CLASSES, minlength=CLASSES**3) for g in grams.values()), np.zeros(CLASSES**3, np.int64))
-    known = np.flatnonzero(often >= SEEN)
+    known = np.flatnonzero(often)
     rows = (len(known) + np.arange(CLASSES**3) % CLASSES**2).astype(np.int32)
     rows[known] = np.arange(len(known))
     parts = np.zeros(((len(known) + CLASSES**2) * CLASSES, len(languages)), np.uint16)
@@ -115,7 +115,6 @@ def train(texts: dict[str, list[bytes]]) -> Model:
         p = mixed(count(0), np.full((1, CLASSES), 1 / CLASSES))
         for k in (1, 2):
             p = mixed(count(k), np.tile(p, (CLASSES, 1)))
-        g = g[often[g // CLASSES] >= SEEN]
         third = np.bincount(rows[g // CLASSES].astype(np.int64) * CLASSES + g % CLASSES, minlength=len(known) * CLASSES).reshape(-1, CLASSES)
         full = mixed(third, p[known % CLASSES**2])
         parts[:, j] = np.rint(np.minimum(-np.log2(np.maximum(np.concatenate((full, p)), 1e-30)), 31) * PARTS).reshape(-1)

@@ -92,19 +92,11 @@ def brute_bits(model_texts, classes, data, lang):
     """PPM by counting dictionaries, for one language."""
     s = [0, 0, 0, *[int(classes[b]) for b in data]]
     counts: dict = {}
-    everywhere: Counter = Counter()
-    for name, ts in model_texts.items():
-        for t in ts:
-            z = [0, 0, 0, *[int(classes[b]) for b in t]]
-            for i in range(3, len(z)):
-                everywhere[tuple(z[i - 3 : i])] += 1
     for t in model_texts[lang]:
         z = [0, 0, 0, *[int(classes[b]) for b in t]]
         for i in range(3, len(z)):
             for k in range(4):
-                c = tuple(z[i - k : i])
-                if k < 3 or everywhere[c] >= language.SEEN:
-                    counts.setdefault(c, Counter())[z[i]] += 1
+                counts.setdefault(tuple(z[i - k : i]), Counter())[z[i]] += 1
 
     def p(context, order):
         low = np.full(language.CLASSES, 1 / language.CLASSES) if order == 0 else p(context[1:], order - 1)
