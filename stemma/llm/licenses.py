@@ -120,9 +120,10 @@ def base_places(own: list[bytes]) -> list[tuple[int, str]]:
     joined = b" " + b" ".join(own) + b" "
     for phrase, label in PHRASES:
         p = b" " + phrase.encode() + b" "
-        at = joined.find(p)
+        place, before, at = 0, 0, joined.find(p)
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            place, before = place + joined.count(b" ", before, at), at
+            found.append((place, label))
             at = joined.find(p, at + 1)
     return found
 
