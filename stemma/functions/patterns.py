@@ -276,3 +276,10 @@ CODE_NAME = r"(?i)\bcodice\s+\w+(?:\s+(?:civile|penale|procedura|strada|navigazi
 def code_patterns() -> list[tuple[str, str]]:
     """All names of codes as patterns without look-around, in order."""
     return [(rf"(?:^|[^\w]){p}(?:$|[^\w])", code) for p, code in ABBREVIATIONS] + list(NAMES)
+
+# Parts of annexes by their ids, and kinds of modification.
+ANNEX_PART = r"_(art|art\.|preambolo|par|sez|comma)_"
+ANNEX_PART_TAIL = r"_(art|art\.|preambolo|par|sez|comma)_?[0-9a-zA-Z._-]+$"
+MODIFICATION_KINDS = (("insertion", "inserimento"), ("substitution", "sostituzione"), ("repeal", "abrogazione"))
+RECEIVED_WORDS = (("abrogat", "abrogazione"), ("soppresso", "soppressione"))
+MADE_WORDS = (*RECEIVED_WORDS, ("sostituito", "sostituzione"), ("aggiunto", "inserimento"))

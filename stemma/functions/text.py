@@ -169,8 +169,44 @@ def node_id(e_id: Column, opening: Column) -> Column:
     )
 
 
+def _id_part(x: Column) -> Column:
+    return F.lower(F.regexp_replace(x, r"[\s-]+", "_"))
+
+
 def annex_id(name: Column) -> Column:
-    return F.substring(F.concat(F.lit("all_"), F.lower(F.regexp_replace(name, r"[\s-]+", "_"))), 1, 60)
+    """``all_`` and the first 60 characters of the name."""
+    return F.concat(F.lit("all_"), F.substring(_id_part(first_filled(name, F.lit("allegato"))), 1, 60))
+
+
+def annex_label(name: Column) -> Column:
+    return F.initcap(F.substring(squish(first_filled(name, F.lit("all_generico"))), 1, 80))
+
+
+def annex_parent(id_: Column) -> Column:
+    """The annex that an annex part's id belongs to; null for a whole annex."""
+    return F.when(id_.rlike(P.ANNEX_PART), F.regexp_replace(id_, P.ANNEX_PART_TAIL, ""))
+
+
+def paragraph_id(e_id: Column, pos: Column) -> Column:
+    """The id of a loose paragraph; without one of its own, by its place in the file (from 1)."""
+    return F.concat(F.lit("par_"), _id_part(_paragraph(e_id, pos)))
+
+
+def _paragraph(e_id: Column, pos: Column) -> Column:
+    return first_filled(e_id, F.concat(F.lit("par_"), pos.cast("string")))
+
+
+def paragraph_label(e_id: Column, pos: Column) -> Column:
+    return F.concat(F.lit("Par. "), _paragraph(e_id, pos))
+
+
+def modification(kind: Column, new_text: Column, by_text: tuple[tuple[str, str], ...]) -> Column:
+    """What a modification does: by its declared kind, else by words of the new text, else ``modifica``."""
+    out = F.when(F.lit(False), "")
+    for x, rules in ((kind, P.MODIFICATION_KINDS), (new_text, by_text)):
+        for word, what in rules:
+            out = out.when(F.contains(F.lower(F.coalesce(x, F.lit(""))), F.lit(word)), what)
+    return out.otherwise("modifica")
 
 
 # texts

@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from stemma.sources import acts, akn, index
+from stemma.operators import ask
+from stemma.sources import acts, akn, index, reports
 from stemma.streaming import ingest
 
 XML = """<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act><meta><identification><FRBRWork><FRBRalias name="urn:nir" value="urn:nir:stato:legge:1990-08-07;241"/>
@@ -79,3 +80,51 @@ def test_stream_resumes(spark, tmp_path):
     assert spark.read.parquet(paths[1]).count() == 3 + 3
     again, now = ingest.refreshed(spark.read.parquet(paths[0]).withColumn("stato_vigenza", F.lit("STORICO")))
     assert now.count() == 0 and again.count() == 9
+
+
+MODS = """<act xmlns="x"><meta><identification><FRBRWork><FRBRalias name="urn:nir" value="urn:nir:stato:legge:2000-01-01;1"/></FRBRWork></identification>
+<lifecycle><eventRef date="2000-01-01"/><eventRef date="2003-04-05"/></lifecycle>
+<activeModifications><textualMod type="repeal"><source href="#eventRef_1"/><destination href="urn:nir:stato:legge:1990-08-07;241#art_2"/><new>via</new></textualMod>
+<textualMod><destination href="#qui"/></textualMod><textualMod><destination href="urn:nir:stato:legge:1990-08-07;241"/><new>comma aggiunto</new></textualMod></activeModifications>
+<passiveModifications><textualMod eId="pm_1" type="x"><new>articolo soppresso</new></textualMod><textualMod><new>no</new></textualMod></passiveModifications></meta>
+<body><mainBody><paragraph eId="P 1"><content><p>Un comma sciolto.</p></content></paragraph><paragraph><content><p>Un altro comma.</p></content></paragraph></mainBody></body></act>"""
+
+
+def test_modifications_and_loose_paragraphs(spark, tmp_path):
+    (tmp_path / "1.xml").write_text(MODS)
+    (tmp_path / "2.xml").write_text("<act/>")
+    p = akn.parsed(akn.read_files(spark, str(tmp_path))).cache()
+    made = [tuple(r) for r in akn.made_modifications(p).select("law", "what", "text", "published").orderBy("what").collect()]
+    assert made == [("urn:nir:stato:legge:1990-08-07;241", "abrogazione", "via", 20030405), ("urn:nir:stato:legge:1990-08-07;241", "inserimento", "comma aggiunto", None)]
+    assert [tuple(r) for r in akn.received_modifications(p).select("what", "text", "published").collect()] == [("soppressione", "articolo soppresso", 20030405)]
+    got = [tuple(r) for r in akn.partitions(akn.nodes(p)).orderBy("pos").select("partition_id", "number", "type", "label").collect()]
+    urn = "urn:nir:stato:legge:2000-01-01;1#"
+    assert got == [(urn + "par_p_1", "Par. P 1", "paragrafo", "Norma;Paragrafo"), (urn + "par_par_2", "Par. par_2", "paragrafo", "Norma;Paragrafo")]
+
+
+def test_annex_parents(spark):
+    rows = [("u", 0, "allegato", "Allegato 1-art. 5", "t"), ("u", 1, "allegato", "Allegato 1_art_6", "t"), ("u", 2, "allegato", "Allegato 2", "t"), ("u", 3, "allegato", "Allegato 2_par_1", "t"), ("u", 4, "articolo", "art_1", "t")]
+    parts = akn.partitions(spark.createDataFrame(rows, "urn string, pos int, kind string, e_id string, text string"))
+    got = {r["pos"]: (r["partition_id"], r["type"], r["parent_id"]) for r in parts.collect()}
+    assert got[1] == ("u#all_allegato_1_art_6", "articolo", "u#all_allegato_1") and got[2] == ("u#all_allegato_2", "allegato", None) and got[4] == ("u#art_1", "articolo", None)
+    assert [tuple(r)[:2] for r in akn.annex_parents(parts).orderBy("partition_id").collect()] == [("u#all_allegato_1", "ALLEGATO 1")]
+    assert ("u#all_allegato_2_par_1", "u#all_allegato_2") in {tuple(r) for r in akn.part_of_edges(parts).collect()}
+
+
+def test_reports(spark, tmp_path):
+    q = spark.createDataFrame([("a", 1, "q1", 0.5), ("b", 1, "q1", 1.0)], "config string, category int, question string, mrr double")
+    s = q.groupBy("config", "category").agg(F.avg("mrr").alias("MRR"))
+    reports.write_reports(q, s, str(tmp_path / "r"), ["config", "category"], ["MRR"])
+    assert spark.read.json(str(tmp_path / "r/questions")).count() == 2 and spark.read.option("header", True).csv(str(tmp_path / "r/summary_csv")).count() == 2
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "r/summary_txt")).collect()]
+    assert len(lines) == 4 and lines[0].startswith("config") and lines[2].split() == ["a", "1", "0.5000"]
+
+
+def test_ask(spark):
+    rows = [record(i, versione_id=f"u#art_{i}_V{v}", numero=f"Art. {i}", num_versione=str(v), stato_vigenza="VIGENTE" if v else "STORICO", valido_dal="20100101" if v else "20000101", valido_al="99991231" if v else "20091231", testo_puro=f"la locazione del fondo numero {i} versione {v}", stato_norma="ATTIVO", tipo_modifica="sostituzione" if v else "originale") for i in (10, 11) for v in (0, 1)]
+    docs = index.documents(spark.createDataFrame(rows)).cache()
+    qs = spark.createDataFrame([(1, "Cosa dice il testo dell'articolo 10 del codice civile?"), (2, "Come è cambiato nel tempo l'articolo 11 del codice civile?"), (3, "zzz qqq")], "qid int, question string")
+    got = {r["qid"]: r for r in ask.ask(qs, docs, 20240101).collect()}
+    assert got[1]["mode"] == "text" and "numero 10 versione" in got[1]["answer"] and "numero 11" not in got[1]["answer"]
+    assert got[2]["mode"] == "history" and "versione 0" in got[2]["answer"] and "versione 1" in got[2]["answer"] and "numero 10" not in got[2]["answer"]
+    assert got[3]["mode"] == "none"
