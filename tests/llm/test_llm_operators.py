@@ -418,3 +418,36 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed} == kept[3]
     want = ids_of({i: text[i] for i in kept[3]})
     assert sum(r["length"] for r in packed) == sum(len(x) for x in want.values())
+
+
+def brute_image_links(images):
+    """Pairs of images of different bytes that enough of all their descriptors' pairs (within RADIUS bits) bring together by one shift and scale."""
+    own = media.features([media.decode(x) for x in images])
+    xs, ys, level, bits = (np.concatenate([f[k] for f in own]) for k in range(4))
+    n = np.array([len(f[0]) for f in own])
+    image = np.repeat(np.arange(len(images)), n)
+    votes: dict = {}
+    steps = lambda v: np.sign(v) * np.floor(np.abs(v) / 4 + 0.5)
+    for i in range(len(bits)):
+        j = np.flatnonzero(np.bitwise_count((bits[i] ^ bits[i + 1 :]).view(np.uint64)) <= media.RADIUS) + i + 1
+        j = j[image[j] != image[i]]
+        # both ways round, as a scale's rounding differs
+        for a, b in ((np.full(len(j), i), j), (j, np.full(len(j), i))):
+            up = level[a] - level[b]
+            scale = 2.0**up
+            for key in zip(image[a].tolist(), image[b].tolist(), up.tolist(), steps(xs[a] - xs[b] * scale).tolist(), steps(ys[a] - ys[b] * scale).tolist(), bits[a].tolist()):
+                votes.setdefault(key[:5], set()).add(key[5])
+    return {(min(a, b), max(a, b)) for (a, b, *_), v in votes.items() if len(v) >= max(media.VOTES, media.SHARE * min(n[a], n[b])) and images[a] != images[b]}
+
+
+def image_recall(spark, sf):
+    """(links of brute force, of them within one group)."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").where("html is not null").orderBy("page_id").collect()
+    group = {r["page_id"]: r["component_id"] for r in queries.op1_image_copies(spark, sf).collect()}
+    links = brute_image_links([media.draw_page(r["html"]) for r in pages])
+    return len(links), sum(group[pages[a]["page_id"]] == group[pages[b]["page_id"]] for a, b in links)
+
+
+def test_image_links_against_brute_force(spark):
+    n, kept = image_recall(spark, SF)
+    assert n and kept >= 0.9 * n
