@@ -4,7 +4,8 @@ Every run of K words of every document is hashed; a Spark join with the
 templates' run hashes gives places where they agree. A document place less a
 template place is a diagonal; votes are summed by diagonal, neighbouring
 diagonals (words put in or left out) are merged, and each merged span is
-verified word by word against its template. The templates are constants of
+verified word by word against its template. Where sister licences share most of
+their notice, the one that the words fit best stays. The templates are constants of
 this file, so their table has a fixed size and is broadcast.
 
 Defined results: null and empty texts have no words, no labels and score 0;
@@ -49,6 +50,11 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under CC BY 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa", "CC BY-SA"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc", "CC BY-NC"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nd", "CC BY-ND"),
 )
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -114,6 +120,19 @@ def verified(own: list[bytes], template: list[bytes], first: int, last: int) ->
     return best
 
 
+def outdone(spans: list[dict]) -> list[dict]:
+    """The spans but those of which at least half lies in a span of another label with a larger share."""
+
+    def within(s: dict, o: dict) -> bool:
+        return 2 * (min(s["last"], o["last"]) - max(s["first"], o["first"])) >= s["last"] - s["first"]
+
+    best: list[dict] = []
+    for s in sorted(spans, key=lambda s: (-s["share"], s["first"], s["label"])):
+        if not any(o["label"] != s["label"] and o["share"] > s["share"] and (within(s, o) or within(o, s)) for o in best):
+            best.append(s)
+    return best
+
+
 def base_places(own: list[bytes]) -> list[tuple[int, str]]:
     """(place, label) of each phrase, wherever it stands."""
     found = []
@@ -153,6 +172,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
                     share = verified(own, parts[s["template"]], s["first"], s["last"])
                     if share >= SAME:
                         kept.append({"label": names[s["template"]], "first": s["first"], "last": s["last"], "share": share})
+                kept = outdone(kept)
                 places, labels = [p for p, _ in base], {x for _, x in base}
                 every = sorted(labels | {s["label"] for s in kept})
                 score = 1.0 if base else max((s["share"] for s in kept), default=0.0)

@@ -277,6 +277,19 @@ def test_license_votes(spark):
     assert got[3]["n_base"] == 3 and got[3]["score"] == 1 and 0.8 <= got[2]["score"] < 1 and got[4]["score"] == 0
 
 
+def test_sister_licenses(spark):
+    rows = [
+        (1, "Licensed under CC BY-NC 4.0"),
+        (2, "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+        (3, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+        (4, "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+        (5, "Licensed under CC BY 4.0. " + "plain words " * 30 + "Released under the MIT License"),
+        (6, "CC BY-SA, CC BY-ND"),
+    ]
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "cc-by,cc-by-nc", 2: "cc-by", 3: "cc-by-sa", 4: "gpl,lgpl", 5: "cc-by,mit", 6: "cc-by,cc-by-nd,cc-by-sa"}
+
+
 # ------------------------------------------------------------ fingerprints
 
 
