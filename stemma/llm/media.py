@@ -291,15 +291,17 @@ def with_features(images: DataFrame, image_id: str) -> DataFrame:
 
 
 def visual_words(places: DataFrame) -> DataFrame:
-    """(word, id, place) for the descriptors that others equal or come within RADIUS bits of.
+    """(word, id, bits, place) for the descriptors that others equal or come within RADIUS bits of.
 
-    A word is the smallest descriptor to which a block table joins its near ones.
+    A word is a descriptor to which a block table joins its near ones; a
+    descriptor has each word that it is joined to, so two near descriptors have
+    one in common.
     """
     kinds = shared_table(places.groupBy("bits").agg((F.count("*") > 1).alias("more")))
     links = shared_checkpoint(fingerprint_links(kinds.select(F.col("bits").alias("fp")), RADIUS))
     same = kinds.where("more").select("bits", F.col("bits").alias("word"))
     words = links.select(F.col("a").alias("bits"), F.col("b").alias("word")).unionByName(links.select(F.col("b").alias("bits"), F.col("b").alias("word"))).unionByName(same)
-    return places.join(words.groupBy("bits").agg(F.min("word").alias("word")), "bits").select("word", "id", "place")
+    return places.join(words.distinct(), "bits").select("word", "id", "bits", "place")
 
 
 #: A place as one number: level, row and column.
@@ -323,7 +325,9 @@ def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share:
     """(a, b, votes): images that a common word brought together and that agree on one shift and scale."""
     # (first, last): a descriptor that repeats in an image stands for its first and its last place
     ends = F.struct(F.min("place").alias("first"), F.max("place").alias("last"))
-    first = shared_table(visual_words(places).groupBy("word", "id").agg(ends.alias("p")))
+    first = shared_table(visual_words(places).groupBy("word", "id", "bits").agg(ends.alias("p")))
+    # an image's descriptors of a word
+    first = first.groupBy("word", "id").agg(F.collect_list(F.struct("bits", "p")).alias("p"))
     stats = first.groupBy("word").agg(F.count("*").alias("df"), F.min(F.struct("id", "p")).alias("hub")).where("df > 1")
     block = F.when(F.col("df") <= IDS, F.lit(0)).otherwise(F.floor(F.col("id") / IDS))
     order = Window.partitionBy("word", block).orderBy("id")
@@ -331,9 +335,13 @@ def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share:
     pairs = first.join(stats, "word").select("id", "p", "hub.id", met.alias("met")).toDF("a", "pa", "hub", "met")
     others = F.filter("met", lambda q, i: q.isNotNull() & (q["id"] != F.col("a")) & ((i == 0) | (q["id"] != F.col("hub"))))
     pairs = pairs.select("a", "pa", F.explode(others).alias("q"))
-    both = F.array_distinct(F.array(*[F.struct(F.col(f"pa.{k}").alias("pa"), F.col(f"q.p.{k}").alias("pb")) for k in ("first", "last")]))
-    pairs = pairs.select("a", F.col("q.id").alias("b"), F.explode(both).alias("at"))
-    agreed = pairs.select("a", "b", _shift(F.col("at.pa"), F.col("at.pb")).alias("shift")).groupBy("a", "b", "shift").count().where(F.col("count") >= votes)
+    pairs = pairs.select("a", F.col("q.id").alias("b"), F.explode("pa").alias("x"), F.col("q.p").alias("q"))
+    pairs = pairs.select("a", "b", "x", F.explode("q").alias("y")).where(F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= RADIUS)
+    both = F.array_distinct(F.array(*[F.struct(F.col(f"x.p.{k}").alias("pa"), F.col(f"y.p.{k}").alias("pb")) for k in ("first", "last")]))
+    pairs = pairs.select("a", "b", F.col("x.bits").alias("bits"), F.explode(both).alias("at"))
+    # two descriptors may have come together by several words: each votes once
+    voted = pairs.select("a", "b", _shift(F.col("at.pa"), F.col("at.pb")).alias("shift"), "bits").repartition("a", "b").distinct()
+    agreed = voted.groupBy("a", "b", "shift").count().where(F.col("count") >= votes)
     best = agreed.groupBy("a", "b").agg(F.max("count").alias("votes"))
     n = lambda k: counts.select(F.col("id").alias(k), F.col("n_features").alias(f"n_{k}"))
     sized = best.join(n("a"), "a").join(n("b"), "b")

@@ -464,3 +464,19 @@ def image_recall(spark, sf):
 def test_image_links_against_brute_force(spark):
     n, kept = image_recall(spark, SF)
     assert n and kept >= 0.9 * n
+
+
+def places_of(spark, rows):
+    """Places of (image, descriptor, x, y) on the first scale, and how many each image has."""
+    d = spark.createDataFrame(rows, "id long, bits long, x int, y int")
+    return d.select("id", "bits", media.placed(F.col("x"), F.col("y"), F.lit(0)).alias("place")), d.groupBy("id").agg(F.count("*").cast("int").alias("n_features"))
+
+
+def test_near_descriptors_have_a_word_in_common(spark):
+    rows = []
+    # x meets y in one block table and z in another, and no table joins all three
+    for k, x in enumerate(np.random.default_rng(7).integers(1 << 61, 1 << 62, 8).tolist()):
+        y, z = x ^ (1 << 48 | 1 << 32 | 1 << 16), x ^ (1 << 1 | 1 << 33 | 1 << 17)
+        rows += [(1, x, 9 * k, 5), (2, y, 9 * k + 40, 5), (3, z, 9 * k + 80, 5)]
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"]), r["votes"]) for r in media.copy_links(*places_of(spark, rows)).collect()}
+    assert got == {(1, 2, 8), (1, 3, 8)}
