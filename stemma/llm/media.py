@@ -2,13 +2,12 @@
 
 Corners (segment test on a circle of 16 pixels, strongest of their surrounding)
 are found on three scales; each is described by 64 binary brightness tests in
-its patch, turned by the patch's own orientation. Descriptors within three bits
-of each other, found through tables of their blocks, are one visual word. Words
-bring images together: each image votes with the word's first image and with
-the seven before it, for the shift and scale at which the word stands in both;
-two images with enough votes for one shift are copies, whole, cropped or edited.
-Groups are the connected components of such links. So a word in a third of all
-images gives eight votes an image, not all pairs.
+its patch, turned by the patch's own orientation. Any two descriptors within
+three bits of each other, found through tables of their blocks, are a word. Words
+bring images together: any two images that share a word vote for the shift and
+scale at which it stands in both; two images with enough votes for one shift are
+copies, whole, cropped or edited. Groups are the connected components of such
+links. All pairs are compared: a word in n images gives n (n - 1) / 2 of them.
 
 Defined results: null, empty and unreadable images have no features and a group
 of their own, unless another has the same bytes; images of equal bytes are one
@@ -26,7 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +36,6 @@ from stemma.llm.simhash import fingerprint_links
 STEP, SCALES, HALF, AROUND, RADIUS = 30, 3, 6, 2, 3
 #: Votes that make a link, and the least share of the smaller image's features.
 VOTES, SHARE = 6, 0.2
-#: Images before it that an image of the same word is held against, and ids in a block of them.
-BACK, IDS = 7, 1024
 #: Pixels described at once.
 PIXELS = 1 << 17
 _ANGLES, _TESTS = 16, 64
@@ -290,18 +287,12 @@ def with_features(images: DataFrame, image_id: str) -> DataFrame:
 # ---------------------------------------------------------------- matching
 
 
-def visual_words(places: DataFrame) -> DataFrame:
-    """(word, id, bits, place) for the descriptors that others equal or come within RADIUS bits of.
-
-    A word is a descriptor to which a block table joins its near ones; a
-    descriptor has each word that it is joined to, so two near descriptors have
-    one in common.
-    """
+def near_descriptors(places: DataFrame) -> DataFrame:
+    """(x, y): the pairs of descriptors within RADIUS bits, x <= y; equal ones only if several places have them."""
     kinds = shared_table(places.groupBy("bits").agg((F.count("*") > 1).alias("more")))
-    links = shared_checkpoint(fingerprint_links(kinds.select(F.col("bits").alias("fp")), RADIUS))
-    same = kinds.where("more").select("bits", F.col("bits").alias("word"))
-    words = links.select(F.col("a").alias("bits"), F.col("b").alias("word")).unionByName(links.select(F.col("b").alias("bits"), F.col("b").alias("word"))).unionByName(same)
-    return places.join(words.distinct(), "bits").select("word", "id", "bits", "place")
+    links = fingerprint_links(kinds.select(F.col("bits").alias("fp")), RADIUS, every=True)
+    near = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    return shared_table(near.unionByName(kinds.where("more").select(F.col("bits").alias("x"), F.col("bits").alias("y"))))
 
 
 #: A place as one number: level, row and column.
@@ -322,26 +313,25 @@ def _shift(a: Column, b: Column) -> Column:
 
 
 def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
-    """(a, b, votes): images that a common word brought together and that agree on one shift and scale."""
+    """(a, b, votes): images that have near descriptors and agree on one shift and scale, brought onto either of them."""
     # (first, last): a descriptor that repeats in an image stands for its first and its last place
     ends = F.struct(F.min("place").alias("first"), F.max("place").alias("last"))
-    first = shared_table(visual_words(places).groupBy("word", "id", "bits").agg(ends.alias("p")))
-    # an image's descriptors of a word
-    first = first.groupBy("word", "id").agg(F.collect_list(F.struct("bits", "p")).alias("p"))
-    stats = first.groupBy("word").agg(F.count("*").alias("df"), F.min(F.struct("id", "p")).alias("hub")).where("df > 1")
-    block = F.when(F.col("df") <= IDS, F.lit(0)).otherwise(F.floor(F.col("id") / IDS))
-    order = Window.partitionBy("word", block).orderBy("id")
-    met = F.array(F.col("hub"), *[F.lag(F.struct("id", "p"), k).over(order) for k in range(1, BACK + 1)])
-    pairs = first.join(stats, "word").select("id", "p", "hub.id", met.alias("met")).toDF("a", "pa", "hub", "met")
-    others = F.filter("met", lambda q, i: q.isNotNull() & (q["id"] != F.col("a")) & ((i == 0) | (q["id"] != F.col("hub"))))
-    pairs = pairs.select("a", "pa", F.explode(others).alias("q"))
-    pairs = pairs.select("a", F.col("q.id").alias("b"), F.explode("pa").alias("x"), F.col("q.p").alias("q"))
-    pairs = pairs.select("a", "b", "x", F.explode("q").alias("y")).where(F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) <= RADIUS)
-    both = F.array_distinct(F.array(*[F.struct(F.col(f"x.p.{k}").alias("pa"), F.col(f"y.p.{k}").alias("pb")) for k in ("first", "last")]))
-    pairs = pairs.select("a", "b", F.col("x.bits").alias("bits"), F.explode(both).alias("at"))
-    # two descriptors may have come together by several words: each votes once
-    voted = pairs.select("a", "b", _shift(F.col("at.pa"), F.col("at.pb")).alias("shift"), "bits").repartition("a", "b").distinct()
-    agreed = voted.groupBy("a", "b", "shift").count().where(F.col("count") >= votes)
+    own = places.groupBy("bits", "id").agg(ends.alias("p"))
+    near = near_descriptors(places)
+    used = near.select(F.explode(F.array("x", "y")).alias("bits")).distinct()
+    own = shared_table(own.join(used, "bits", "left_semi"))
+    of = lambda bits, id, p: own.select(F.col("bits").alias(bits), F.col("id").alias(id), F.col("p").alias(p))
+    met = near.join(of("x", "a", "pa"), "x").join(of("y", "b", "pb"), "y").where("a < b or a > b and x < y")
+    both = F.array_distinct(F.array(*[F.struct(F.col(f"pa.{k}").alias("pa"), F.col(f"pb.{k}").alias("pb")) for k in ("first", "last")]))
+    met = met.select("a", "b", "x", "y", F.explode(both).alias("at"))
+    # from here on all of a pair of images is in one place; each descriptor of the one votes once for a shift
+    met = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "a", "x", "y", "at").repartition("u", "v")
+    onto = F.array(
+        F.struct((F.col("a") == F.col("u")).alias("first"), F.col("x").alias("bits"), _shift(F.col("at.pa"), F.col("at.pb")).alias("shift")),
+        F.struct((F.col("a") != F.col("u")).alias("first"), F.col("y").alias("bits"), _shift(F.col("at.pb"), F.col("at.pa")).alias("shift")),
+    )
+    voted = met.select("u", "v", F.explode(onto).alias("o")).select(F.col("u").alias("a"), F.col("v").alias("b"), "o.first", "o.shift", "o.bits").distinct()
+    agreed = voted.groupBy("a", "b", "first", "shift").count().where(F.col("count") >= votes)
     best = agreed.groupBy("a", "b").agg(F.max("count").alias("votes"))
     n = lambda k: counts.select(F.col("id").alias(k), F.col("n_features").alias(f"n_{k}"))
     sized = best.join(n("a"), "a").join(n("b"), "b")

@@ -135,34 +135,44 @@ class GrayIndex:
             self.root = bucket
             self.size = np.bincount(bucket)[bucket]
 
+    def _slices(self, n: int):
+        """Slices of queries whose searches stay within FRONT pairs."""
+        work = np.cumsum(np.maximum(self.size // FAN, FAN))
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + FRONT, "right")))
+            yield np.arange(at, to)
+            at = to
+
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each pair of rows (as given) of a bucket within the radius, once, by slices."""
+        for q in self._slices(len(self.fps)) if len(self.fps) else ():
+            x, y = self._search(q, radius, None)
+            yield self.order[x], self.order[y]
+
     def links(self, radius: int) -> np.ndarray:
         """For each row (as given) the row with the smallest place it is joined to within its bucket."""
         n = len(self.fps)
         label = np.arange(n)
         if not n:
             return label
-        # a slice of queries whose searches stay within FRONT pairs
-        work = np.cumsum(np.maximum(self.size // FAN, FAN))
-        at = 0
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + FRONT, "right")))
-            pairs = self._search(np.arange(at, to), radius, label)
-            label = _merge(label, *pairs)
-            at = to
+        for q in self._slices(n):
+            label = _merge(label, *self._search(q, radius, label))
         out = np.empty(n, np.int64)
         out[self.order] = self.order[label]
         return out
 
-    def _search(self, q: np.ndarray, radius: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, radius: int, label: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         top = len(self.levels) - 1
         node = self.root[q]
         acc = np.zeros(len(q), np.int64)
-        uniform = self._uniform(label)
+        uniform = None if label is None else self._uniform(label)
         for d in range(top, -1, -1):
             pat, _, first, width, last, _ = self.levels[d]
             acc = acc + np.bitwise_count((self.fps[q] ^ pat[node]) & self.own[d][node])
             live = (acc <= radius) & (last[node] > q)
-            live &= uniform[d][node] != label[q]  # all below are joined to it already
+            if uniform is not None:
+                live &= uniform[d][node] != label[q]  # all below are joined to it already
             q, node, acc = q[live], node[live], acc[live]
             if not d:
                 return q, node
@@ -216,15 +226,20 @@ def _spread(rows: DataFrame, level: int) -> DataFrame:
     return rows.withColumn("to", F.explode(F.array(*blocks))).select(*[c for c in rows.columns if c in ("fp", "rep")], F.col("to.key").alias("key"), F.col("to.rest").alias("rest"))
 
 
-def _bucket_links(radius: int):
+def _bucket_links(radius: int, every: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
 
         def out(key, fp, rep):
-            to = GrayIndex(key, fp.view(np.uint64)).links(radius)
+            index = GrayIndex(key, fp.view(np.uint64))
+            if every:
+                for x, y in index.pairs(radius):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(rep[y])], ["a", "b"])
+                return
+            to = index.links(radius)
             moved = np.flatnonzero(rep[to] != rep)
-            return pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[to[moved]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(rep[to[moved]])], ["a", "b"])
 
         for batch in batches:
             own = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
@@ -234,16 +249,19 @@ def _bucket_links(radius: int):
                 key, fp, rep = map(np.concatenate, zip(*held))
                 cut = int(np.argmax(key == key[-1]))  # the last bucket may go on
                 if cut:
-                    yield out(key[:cut], fp[:cut], rep[:cut])
+                    yield from out(key[:cut], fp[:cut], rep[:cut])
                 held, rows = [[x[cut:] for x in (key, fp, rep)]], len(key) - cut
         if rows:
-            yield out(*map(np.concatenate, zip(*held)))
+            yield from out(*map(np.concatenate, zip(*held)))
 
     return run
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links that join all distinct fingerprints (``fp``) within the radius, directly or over others; by their ``rep`` ids, or themselves if they have none."""
+def fingerprint_links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET, every: bool = False) -> DataFrame:
+    """(a, b): links that join all distinct fingerprints (``fp``) within the radius, directly or over others; by their ``rep`` ids, or themselves if they have none.
+
+    With ``every`` each pair within the radius is a link of its own, once for each block table that has it, either way round.
+    """
     if radius > 3:
         raise ValueError("four blocks prove a radius of 3 at most")
     spark = nodes.sparkSession
@@ -258,7 +276,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET) -
             last, large = True, None
         here = rows if large is None else rows.join(large, "key", "left_anti")
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-        found.append(here.select("key", *names).repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius), "a long, b long"))
+        found.append(here.select("key", *names).repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius, every), "a long, b long"))
         if last:
             break
         rows = rows.join(large, "key", "left_semi")

@@ -480,3 +480,32 @@ def test_near_descriptors_have_a_word_in_common(spark):
         rows += [(1, x, 9 * k, 5), (2, y, 9 * k + 40, 5), (3, z, 9 * k + 80, 5)]
     got = {(min(r["a"], r["b"]), max(r["a"], r["b"]), r["votes"]) for r in media.copy_links(*places_of(spark, rows)).collect()}
     assert got == {(1, 2, 8), (1, 3, 8)}
+
+
+def test_every_pair_of_copies_is_a_link(spark):
+    n = 40
+    rows = [(i, 1 << 62 | 7919**4 * k, 9 * k + i, 5) for i in range(n) for k in range(10)]
+    links = media.copy_links(*places_of(spark, rows)).collect()
+    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in links} == {(a, b) for b in range(n) for a in range(b)} and len(links) == n * (n - 1) // 2
+
+
+@pytest.mark.parametrize("bucket", [1 << 15, 6])
+def test_every_near_pair(spark, bucket):
+    rng = np.random.default_rng(bucket)
+    fps = {int(c) ^ 1 << int(b) for c in rng.integers(0, 1 << 62, 30) for b in rng.integers(0, 62, 12)}
+    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 3, bucket, every=True).collect()
+    assert {frozenset(r) for r in links} == {frozenset((x, y)) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 3}
+
+
+def test_image_links_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    base = np.kron(rng.integers(0, 256, (30, 30)), np.ones((3, 3))).astype(np.uint8)
+    # a group of edited copies in which each stands 7 and more from others, and one at half the size
+    images = [base.copy() for _ in range(12)]
+    for i, x in enumerate(images):
+        x[6 * i : 6 * i + 15, 30:70] ^= 77
+    images = [media.encode(x) for x in (*images, base[:40], base[::2, ::2])]
+    want = brute_image_links(images)
+    degree = Counter(i for pair in want for i in pair)
+    got = media.find_copies(spark.createDataFrame(list(enumerate(images)), "id long, image binary"), "id").collect()
+    assert len(want) > 60 and {r["id"]: r["n_links"] for r in got} == {i: degree[i] for i in range(len(images))}
