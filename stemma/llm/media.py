@@ -12,7 +12,7 @@ links. All pairs are compared: a word in n images gives n (n - 1) / 2 of them.
 Defined results: null, empty and unreadable images have no features and a group
 of their own, unless another has the same bytes; images of equal bytes are one
 before anything is compared; a descriptor that repeats in an image votes from
-its first and its last place; null ids belong to no group; repeated rows count once; an
+all its places, once for a shift; null ids belong to no group; repeated rows count once; an
 empty table gives no rows.
 """
 
@@ -314,21 +314,19 @@ def _shift(a: Column, b: Column) -> Column:
 
 def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(a, b, votes): images that have near descriptors and agree on one shift and scale, brought onto either of them."""
-    # (first, last): a descriptor that repeats in an image stands for its first and its last place
-    ends = F.struct(F.min("place").alias("first"), F.max("place").alias("last"))
-    own = places.groupBy("bits", "id").agg(ends.alias("p"))
+    own = places.groupBy("bits", "id").agg(F.collect_list("place").alias("p"))
     near = near_descriptors(places)
     used = near.select(F.explode(F.array("x", "y")).alias("bits")).distinct()
     own = shared_table(own.join(used, "bits", "left_semi"))
     of = lambda bits, id, p: own.select(F.col("bits").alias(bits), F.col("id").alias(id), F.col("p").alias(p))
     met = near.join(of("x", "a", "pa"), "x").join(of("y", "b", "pb"), "y").where("a < b or a > b and x < y")
-    both = F.array_distinct(F.array(*[F.struct(F.col(f"pa.{k}").alias("pa"), F.col(f"pb.{k}").alias("pb")) for k in ("first", "last")]))
-    met = met.select("a", "b", "x", "y", F.explode(both).alias("at"))
-    # from here on all of a pair of images is in one place; each descriptor of the one votes once for a shift
-    met = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "a", "x", "y", "at").repartition("u", "v")
+    # from here on all of a pair of images is in one place: each place of the one with each of the other, one by one;
+    # a descriptor votes once for a shift
+    met = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "a", "x", "y", "pa", "pb").repartition("u", "v")
+    met = met.withColumn("pa", F.explode("pa")).withColumn("pb", F.explode("pb"))
     onto = F.array(
-        F.struct((F.col("a") == F.col("u")).alias("first"), F.col("x").alias("bits"), _shift(F.col("at.pa"), F.col("at.pb")).alias("shift")),
-        F.struct((F.col("a") != F.col("u")).alias("first"), F.col("y").alias("bits"), _shift(F.col("at.pb"), F.col("at.pa")).alias("shift")),
+        F.struct((F.col("a") == F.col("u")).alias("first"), F.col("x").alias("bits"), _shift(F.col("pa"), F.col("pb")).alias("shift")),
+        F.struct((F.col("a") != F.col("u")).alias("first"), F.col("y").alias("bits"), _shift(F.col("pb"), F.col("pa")).alias("shift")),
     )
     voted = met.select("u", "v", F.explode(onto).alias("o")).select(F.col("u").alias("a"), F.col("v").alias("b"), "o.first", "o.shift", "o.bits").distinct()
     agreed = voted.groupBy("a", "b", "first", "shift").count().where(F.col("count") >= votes)

@@ -509,3 +509,13 @@ def test_image_links_are_those_of_brute_force(spark):
     degree = Counter(i for pair in want for i in pair)
     got = media.find_copies(spark.createDataFrame(list(enumerate(images)), "id long, image binary"), "id").collect()
     assert len(want) > 60 and {r["id"]: r["n_links"] for r in got} == {i: degree[i] for i in range(len(images))}
+
+
+def test_middle_places_vote(spark):
+    """A crop without the first and last place of each descriptor."""
+    rows = []
+    for k in range(8):
+        bits = 1 << 62 | 7919**4 * k
+        whole = [20 * k, 500 + 37 * k * k, 3000 + 53 * k, 9000 - 71 * k * k]
+        rows += [(1, bits, x, 5) for x in whole] + [(2, bits, x - 400, 5) for x in whole[1:3]]
+    assert [(r["a"], r["b"], r["votes"]) for r in media.copy_links(*places_of(spark, rows)).collect()] == [(1, 2, 8)]
