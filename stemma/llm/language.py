@@ -124,11 +124,12 @@ def train(texts: dict[str, list[bytes]]) -> Model:
 def fit(docs: DataFrame) -> Model:
     """Train on a bounded sample of the documents outside the held-out fold that have a language.
 
-    At most DOCS_A_LANGUAGE documents a language, by the hash of their ids, of
-    at most BYTES_A_DOC bytes each, for the LANGUAGES most frequent languages.
+    At most DOCS_A_LANGUAGE documents with text a language, by the hash of their
+    ids, for the LANGUAGES most frequent languages; of each text its first
+    BYTES_A_DOC bytes.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "lang").where("doc_id is not null and lang is not null").where(~held_out())
+    rows = docs.where("doc_id is not null and lang is not null and text <> ''").where(~held_out()).select("doc_id", "lang")
     top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     # a first cut by hash to some eight times the sample, so that no task gathers a large language's ids
     share = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 8 * DOCS_A_LANGUAGE / n))] or [F.lit(""), F.lit(1.0)])
@@ -140,7 +141,7 @@ def fit(docs: DataFrame) -> Model:
     texts: dict[str, list[bytes]] = {}
     if ids:
         few = spark.createDataFrame([(x,) for x in ids], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
-        mine = docs.where(F.col("lang").isin(list(top)) & (F.octet_length("text") <= BYTES_A_DOC)).select("doc_id", "lang", F.col("text").cast("binary").alias("t"))
+        mine = docs.where(F.col("lang").isin(list(top)) & (F.col("text") != "")).select("doc_id", "lang", F.substring(F.col("text").cast("binary"), 1, BYTES_A_DOC).alias("t"))
         for r in mine.join(F.broadcast(few.distinct()), "doc_id", "left_semi").orderBy("doc_id").collect():
             texts.setdefault(r["lang"], []).append(bytes(r["t"]))
     return train(texts)

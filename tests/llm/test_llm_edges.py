@@ -103,3 +103,15 @@ def test_images_odd_rows(spark):
     got = {(r["id"], r["component_id"]) for r in media.find_copies(d, "id").collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None)}
     assert media.find_copies(d.limit(0), "id").collect() == []
+
+
+def test_long_and_null_texts_leave_no_language_out(spark):
+    en, xx, yy = "the cat sat on the mat and saw the moon ", "zlorp qwiv drakk zuvv qwop ", "huumi oolai aaleu iouma "
+    rows = [(i, "en", en * 3) for i in range(40)] + [(i, "xx", xx * 4000) for i in range(100, 112)]
+    rows += [(i, "yy", None) for i in range(1000, 5000)] + [(i, "yy", yy * 3) for i in range(5000, 5006)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert language.fit(docs).languages == ["en", "xx", "yy"]
+    got = {r["lang"]: set() for r in docs.select("lang").distinct().collect()}
+    for r in language.predict(docs.where("text is not null"), language.fit(docs)).collect():
+        got[r["lang"]].add(r["lang_pred"])
+    assert got == {"en": {"en"}, "xx": {"xx"}, "yy": {"yy"}}
