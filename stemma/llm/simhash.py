@@ -11,7 +11,7 @@ the sum passes the radius.
 Defined results: null and empty texts have fingerprint 0 and link like any
 other; repeated rows and equal fingerprints fall together before the search; a
 null id stays in the result, its component is its fingerprint's (null if no
-document with an id shares or neighbours it); an empty table gives no rows;
+document with an id is in its group); an empty table gives no rows;
 further input columns don't matter.
 """
 
@@ -288,15 +288,26 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET, e
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable over links of at most ``radius`` differing bits."""
-    prints = shared_checkpoint(with_fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]))
+    return _grouped(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], radius, bucket).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, keep: list[str], radius: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """The kept columns, fp, root (the smallest fingerprint that fp is linked to) and component_id (the smallest id of that group)."""
+    prints = shared_checkpoint(with_fingerprints(docs, keep=keep))
     nodes = shared_checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = connected_components(fingerprint_links(nodes, radius, bucket))
-    of = nodes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    # fingerprints stand for themselves, so that those of rows without an id are links of a chain too
+    parts = connected_components(fingerprint_links(nodes.select("fp"), radius, bucket))
+    of = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    of = shared_checkpoint(of)
+    least = of.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return prints.join(of.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the smallest id (documents without an id stay)."""
-    chosen = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays: the one with the smallest id, of several with that id the one whose row has the smallest hash (documents without an id stay)."""
+    plain = [col(f.name) for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    keyed = docs.withColumn("__key", F.xxhash64(*plain))
+    first = _grouped(keyed.select("doc_id", "text", "__key"), ["doc_id", "__key"]).where("doc_id = component_id")
+    chosen = first.groupBy("root").agg(F.min(F.struct("doc_id", "__key")).alias("s")).select("s.*").distinct()
+    kept = keyed.where("doc_id is not null").join(chosen, ["doc_id", "__key"], "left_semi").dropDuplicates(["doc_id", "__key"])
     return kept.select(*[col(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

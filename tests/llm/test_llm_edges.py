@@ -115,3 +115,19 @@ def test_long_and_null_texts_leave_no_language_out(spark):
     for r in language.predict(docs.where("text is not null"), language.fit(docs)).collect():
         got[r["lang"]].add(r["lang_pred"])
     assert got == {"en": {"en"}, "xx": {"xx"}, "yy": {"yy"}}
+
+
+def test_rows_of_one_id_stay_for_each_of_their_groups(spark):
+    a, b = "one clean text about the moon and stars", "another text entirely, on boats and harbours"
+    docs = spark.createDataFrame([(3, b), (7, b), (7, a), (9, a), (7, a), (None, a)], "doc_id long, text string")
+    for n in (1, 2, 5):
+        got = sorted(simhash.keep_one_each(docs.repartition(n)).collect(), key=str)
+        assert [tuple(r) for r in got] == [(3, b), (7, a), (None, a)]
+
+
+def test_chain_over_a_row_without_id(spark, monkeypatch):
+    prints = {"x": 0, "y": 0b111, "z": 0b111111, "far": 1 << 60 | 0b1010101010101 << 20}
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, keep: docs.select(*keep, F.coalesce(*[F.when(F.col("text") == t, F.lit(x)) for t, x in prints.items()]).cast("long").alias("fp")))
+    docs = spark.createDataFrame([(1, "x"), (None, "y"), (2, "z"), (None, "far")], "doc_id long, text string")
+    got = {(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, prints["far"], None)}
