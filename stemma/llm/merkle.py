@@ -16,8 +16,8 @@ the range looks one row ahead.
 
 Defined results: a null text counts as empty, and its tree has one empty
 paragraph; rows of equal ids follow one another by text; rows with a null id
-come first in their range, and each is likened to the row after it; a single
-row is its own next document; an empty table gives no rows.
+come first in their range, and each is likened to the row after it; without any
+id all rows are one range and follow one another by text; a single row is its own next document; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -130,7 +130,9 @@ def with_next(rows: DataFrame, columns: list[str], per: int = RANGE_DOCS, most:
     """
     starts = _starts(rows, per, most)
     if not starts:
-        return rows.withColumn("next", F.lead(F.struct(*columns)).over(Window.orderBy(F.lit(0)))).limit(0)
+        # no row has an id: one range, by text
+        order, own = Window.partitionBy(F.lit(0)).orderBy("text"), F.struct(*columns)
+        return rows.withColumn("next", F.coalesce(F.lead(own).over(order), F.first(own).over(order)))
     before = F.lit(None).cast("int")
     own = _range_of(col("doc_id"), starts)
     is_start = col("doc_id") == F.element_at(F.array(*[F.lit(s) for s in starts]), own + 1)

@@ -131,3 +131,10 @@ def test_chain_over_a_row_without_id(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x"), (None, "y"), (2, "z"), (None, "far")], "doc_id long, text string")
     got = {(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert got == {(1, 0, 1), (None, 7, 1), (2, 63, 1), (None, prints["far"], None)}
+
+
+def test_next_without_any_id(spark):
+    d = spark.createDataFrame([(None, t) for t in ("b", "c", "a", None)], "doc_id long, text string").repartition(3)
+    rows = merkle.with_next(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"]).collect()
+    assert {r["text"]: r["next"]["text"] for r in rows} == {"": "a", "a": "b", "b": "c", "c": ""}
+    assert len(merkle.fingerprints_with_edits(d).collect()) == 4
