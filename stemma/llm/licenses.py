@@ -1,6 +1,7 @@
 """License scan by diagonal voting.
 
-Every run of K words of every document is hashed; a Spark join with the
+Every run of K words of every document is hashed (a span with SAME
+of a template's words in order can't be parted between all of them, so it has one); a Spark join with the
 templates' run hashes gives places where they agree. A document place less a
 template place is a diagonal; votes are summed by diagonal, neighbouring
 diagonals (words put in or left out) are merged, and each merged span is
@@ -27,7 +28,7 @@ from stemma.llm.common import map_rows, shared_checkpoint, text_bytes
 from stemma.llm.words import run_hashes, runs
 
 #: Words of a run, diagonals that may lie between two that are merged, and the share of a template's words that a span must have.
-K, GAP, SAME = 3, 4, 0.8
+K, GAP, SAME = 2, 4, 0.8
 #: Spans up to which the candidates are broadcast (24 bytes each); beyond it both sides are shuffled.
 BROADCAST_SPANS = 1_000_000
 #: Phrases that count wherever their words stand together.
@@ -89,6 +90,12 @@ def template_table(spark, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(rows, "h long, template int, at int")
 
 
+def least_hits(n: int) -> tuple[int, int]:
+    """The fewest runs of two words that a span with SAME of a template's n words shares with it, and the most words between the first and the last."""
+    fewest = min(m - (n - m) - m // 4 - 1 for m in range(1, n + 1) if m >= SAME * n - 1e-9)
+    return max(1, fewest), n + n // 4 + 1
+
+
 def candidate_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(doc_id, spans): for each document the merged diagonals (template, first, last word)."""
 
@@ -98,6 +105,12 @@ def candidate_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     grams = map_rows(docs, {"text": text_bytes()}, [T.StructField("grams", T.ArrayType(T.LongType(), False))], make, ["doc_id"])
     places = grams.select("doc_id", F.posexplode("grams").alias("place", "h"))
     hits = places.join(F.broadcast(template_table(docs.sparkSession, templates)), "h")
+    # an accepted span holds so many hits within so many words; other documents have none
+    limits = [least_hits(len(words(text.encode()))) for _, text in templates]
+    need, reach = (F.element_at(F.array(*[F.lit(x[k]) for x in limits]), F.col("template") + 1) for k in (0, 1))
+    hits = hits.groupBy("doc_id", "template").agg(F.array_sort(F.collect_list(F.struct("place", "at"))).alias("own"))
+    near = F.exists(F.sequence(F.lit(1), F.size("own") - need + 1), lambda i: F.element_at("own", (i + need - 1).cast("int"))["place"] - F.element_at("own", i)["place"] <= reach)
+    hits = hits.where(F.when(F.size("own") >= need, near).otherwise(False)).select("doc_id", "template", F.inline("own"))
     votes = hits.groupBy("doc_id", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("votes"))
     order = Window.partitionBy("doc_id", "template").orderBy("diagonal")
     new = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= GAP, 0).otherwise(1)
@@ -107,12 +120,16 @@ def candidate_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def verified(own: list[bytes], template: list[bytes], first: int, last: int) -> float:
-    """The best share of the template's words that the span has in order, against the longer of both."""
+    """The best share of the template's words that the span has in order, against the longer of both; 0 if it can't be SAME."""
     n = len(template)
     best = 0.0
     # a merged span of a template that stands several times over is taken piece by piece
-    for a in range(max(0, first - n // 3), last, max(1, n // 3)):
-        part = own[a : min(a + n + n // 3 + 1, last + n // 3)]
+    # and a run may stand at either end of the template
+    need, known = SAME * n, set(template)
+    for a in range(max(0, first - n), last, max(1, n // 3)):
+        part = own[a : min(a + n + n // 3 + 1, last + n)]
+        if sum(w in known for w in part) < need:
+            continue
         blocks = [b for b in SequenceMatcher(None, part, template, False).get_matching_blocks() if b.size]
         if blocks:
             length = blocks[-1].a + blocks[-1].size - blocks[0].a

@@ -519,3 +519,25 @@ def test_middle_places_vote(spark):
         whole = [20 * k, 500 + 37 * k * k, 3000 + 53 * k, 9000 - 71 * k * k]
         rows += [(1, bits, x, 5) for x in whole] + [(2, bits, x - 400, 5) for x in whole[1:3]]
     assert [(r["a"], r["b"], r["votes"]) for r in media.copy_links(*places_of(spark, rows)).collect()] == [(1, 2, 8)]
+
+
+def test_short_notice_with_a_changed_word(spark):
+    rows = [(1, "Some words. Released under an MIT License, and more"), (2, "code is licensed under an MIT license"), (3, "under the terms of the contract, the word of the law"), (4, "plain words " * 9 + "is licensed under the new Apache License, Version of 2.0")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 0.8), 2: ("mit", 0.8), 3: ("", 0.0), 4: ("apache-2.0", 0.8)}
+
+
+def test_few_candidates_without_a_notice(spark):
+    rows = [(1, "in accordance with the law of the land and to the end of the word, subject to this and by the sea of the moon " * 5), (2, "This Source Form is subject to the new terms of the Mozilla Public License, v. 2.0")]
+    got = licenses.candidate_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {2}
+    rng = np.random.default_rng(9)
+    template = list(range(20))
+    for _ in range(2000):
+        own = [w for w in template if rng.random() > 0.12]
+        for at in sorted(rng.integers(0, len(own) + 1, rng.integers(0, 5)).tolist(), reverse=True):
+            own.insert(at, -1)
+        if licenses.verified(own, template, 0, len(own)) >= licenses.SAME:
+            hits = [i for i in range(len(own) - 1) if own[i] >= 0 and own[i + 1] == own[i] + 1]
+            need, reach = licenses.least_hits(len(template))
+            assert any(hits[i + need - 1] - hits[i] <= reach for i in range(len(hits) - need + 1))
