@@ -7,6 +7,7 @@ aside) gives way to it.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Documents a batch that goes to Python; keeps batches of long texts small.
+#: Rows that are worked on at once in Python; Spark's own batches may hold more of them.
 BATCH_ROWS = 1000
+#: Links of a node beyond which it is a hub, and the share of all ends of links that makes one: there are under 1 / HUB_SHARE hubs.
+HUB_LINKS, HUB_SHARE = 10_000, 1e-3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,13 @@ def without(df: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows, without empty ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(
     df: DataFrame,
     inputs: dict[str, Column],
@@ -57,7 +67,6 @@ def map_rows(
     arrays to one sequence an output column. ``where`` names a boolean output
     that filters the rows and isn't returned itself.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kept = without(df, [f.name for f in outputs if f.name != where]) if keep is None else list(keep)
     names = [f"i{n}" for n in range(len(inputs))]
     # plain names inside: mapInArrow looks columns up by name, and theirs may hold dots
@@ -72,9 +81,7 @@ def map_rows(
 
         fn = make()
         kinds = {f.name: to_arrow_type(f.dataType) for f in outputs}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             new = dict(zip(order, fn(*[batch.column(n_kept + i) for i in range(len(names))]), strict=True))
             arrays = [batch.column(i) for i in range(n_kept)] + [pa.array(new[f.name], kinds[f.name]) for f in shown]
             out = pa.RecordBatch.from_arrays(arrays, inner.names)
@@ -85,31 +92,65 @@ def map_rows(
     return src.mapInArrow(run, inner).toDF(*kept, *[f.name for f in shown])
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests) a folder of our own is used.
+    Only a local master may leave it unset; then it is a folder of our own.
     """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/checkpoints").rstrip("/")
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a copy in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(f"{folder}/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table in that folder: smaller than a checkpoint, for wide rows."""
-    conf = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{conf.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def shared_table(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """The same as a Parquet table in that folder: smaller than a checkpoint, for wide rows.
+
+    The shuffles that made the table are removed as soon as it stands.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with _without_old_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table of ``shared_table`` that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
+@contextlib.contextmanager
+def _without_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hub_links: int = HUB_LINKS) -> DataFrame:
     """(node, root): for each node of a link its component's smallest node.
 
-    Alternates large-star and small-star steps until nothing changes, so a hub
-    never gathers its neighbours in one place and rounds stay logarithmic.
+    Alternates large-star and small-star steps until nothing changes, so rounds
+    stay logarithmic. A hub never gathers its links in one place: its smallest
+    neighbour is found by partial minima and goes to its links by broadcast
+    (hubs have at least HUB_SHARE of all ends of links each, so there are few).
     Links with a null end or to themselves are left out.
     """
     x, y = col(a), col(b)
@@ -118,11 +159,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     sign = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = sign(star)
     while before[0]:
+        most = max(hub_links, int(2 * before[0] * HUB_SHARE))
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(lowest, "u")
+        large = _with_least(both, most).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        near = _with_least(large, most)
         small = near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         star = shared_checkpoint(small.where("u != v").distinct())
         now = sign(star)
@@ -131,3 +171,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = now
     roots = star.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(star.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _with_least(links: DataFrame, most: int) -> DataFrame:
+    """The links (u, v) with ``m``, the smallest v of each u; those of hubs stay where they are."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
+    marked = links.join(hubs.withColumnRenamed("m", "hub"), "u", "left")
+    rest = marked.where("hub is null").select("u", "v").join(least.where(F.col("n") <= most).select("u", "m"), "u")
+    return marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(rest)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm import tokens
-from stemma.llm.common import BATCH_ROWS, col
+from stemma.llm.common import BATCH_ROWS, col, sliced
 
 LENGTH = 2048
 #: Tokens that a task packs at once.
@@ -205,7 +205,7 @@ def packed_blocks(batches: Iterator[pa.RecordBatch], path: str, most: int, block
         held, n = ([], [], [], []), 0
         return out
 
-    for batch in batches:
+    for batch in sliced(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = tokens.document(enc, text)
             for k, (a, b) in enumerate(tokens.cuts(len(ids), most)):
@@ -219,7 +219,6 @@ def packed_blocks(batches: Iterator[pa.RecordBatch], path: str, most: int, block
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(col("doc_id"), F.coalesce(col("text"), F.lit("")).alias("text"))
 
 

@@ -264,7 +264,6 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET, e
     """
     if radius > 3:
         raise ValueError("four blocks prove a radius of 3 at most")
-    spark = nodes.sparkSession
     names = [c for c in ("fp", "rep") if c in nodes.columns]
     rows = nodes.where(f"{names[-1]} is not null").select(*names, F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"))
     found: list[DataFrame] = []
@@ -275,7 +274,6 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, bucket: int = BUCKET, e
         if large is not None and large.isEmpty():
             last, large = True, None
         here = rows if large is None else rows.join(large, "key", "left_anti")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
         found.append(here.select("key", *names).repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_links(radius, every), "a long, b long"))
         if last:
             break
