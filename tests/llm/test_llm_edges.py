@@ -138,3 +138,40 @@ def test_next_without_any_id(spark):
     rows = merkle.with_next(d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["text"]).collect()
     assert {r["text"]: r["next"]["text"] for r in rows} == {"": "a", "a": "b", "b": "c", "c": ""}
     assert len(merkle.fingerprints_with_edits(d).collect()) == 4
+
+
+def test_next_with_many_null_ids(spark):
+    rows = [(i if i % 3 else None, f"text {i}") for i in range(300)]
+    got = merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), ["doc_id"], per=20).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t in rows)
+    ids = sorted(i for i, _ in rows if i is not None)
+    assert {r["doc_id"]: r["next"]["doc_id"] for r in got if r["doc_id"] in ids[:-1]}.keys() == set(ids[:-1])
+
+
+def test_star_of_many_links(spark):
+    from stemma.llm.common import connected_components
+
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    more = spark.createDataFrame([(100_000, 200_000), (300_001, 300_000)], "a long, b long")
+    got = connected_components(star.unionByName(more)).groupBy("root").count().collect()
+    assert {tuple(r) for r in got} == {(0, 100_002), (300_000, 2)}
+
+
+def test_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from stemma.llm.common import shared_folder
+
+    conf = lambda x: SimpleNamespace(get=lambda k: x)
+    of = lambda master, x: SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf(x)))
+    assert shared_folder(of("spark://h:1", "hdfs://n/ck/")) == "hdfs://n/ck"
+    assert shared_folder(of("local[2]", None))
+    with pytest.raises(ValueError):
+        shared_folder(of("spark://h:1", None))
+
+
+def test_session_settings_stay(spark, docs):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")}
+    simhash.near_duplicates(docs).collect()
+    packing.pack(docs).collect()
+    assert before == {k: spark.conf.get(k) for k in before}

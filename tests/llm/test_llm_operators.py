@@ -335,6 +335,27 @@ def test_changed_branches(spark):
     got = merkle.changed_branches(a, b).collect()
     assert sorted((r["side"]) for r in got) == ["after", "before"]
     assert merkle.changed_branches(a, a).count() == 0
+    assert {r["side"]: r["leaf"] for r in got} == {"before": hashlib.md5(b"four").hexdigest()[:8], "after": hashlib.md5(b"five").hexdigest()[:8]}
+
+
+def test_likeness_is_the_share_of_unchanged_leaves(spark, texts):
+    ids = sorted(texts)[:80]
+    after = {a: texts[a][: len(texts[a]) * 3 // 4] + texts[b][:200] for a, b in zip(ids, ids[1:] + ids[:1])}
+    own = lambda d: spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    a, b = own({i: texts[i] for i in ids}), own(after)
+    changed = Counter(r["doc_id"] for r in merkle.changed_branches(a, b).collect())
+    prints = merkle.with_fingerprint(a, F.col("text"), "fa").join(merkle.with_fingerprint(b, F.col("text"), "fb").drop("text"), "doc_id")
+    n = F.size("fa_leaves") + F.size("fb_leaves")
+    for r in prints.select("doc_id", merkle.likeness(F.col("fa"), F.col("fb")).alias("like"), n.alias("n")).collect():
+        assert r["like"] == pytest.approx(1 - changed[r["doc_id"]] / r["n"], abs=1e-5)
+
+
+def test_an_insertion_changes_few_leaves(spark, texts):
+    rows = [(i, t, "xy" + t) for i, t in texts.items() if len(t) > 400 and i % 3 == 0]
+    d = spark.createDataFrame(rows, "doc_id long, a string, b string")
+    d = merkle.with_fingerprint(merkle.with_fingerprint(d, F.col("a"), "fa"), F.col("b"), "fb")
+    like = [r[0] for r in d.select(merkle.likeness(F.col("fa"), F.col("fb"))).collect()]
+    assert np.median(like) > 0.9 and np.mean([x < 0.5 for x in like]) < 0.05
 
 
 # ------------------------------------------------------------ mixing
