@@ -1,17 +1,20 @@
 """Language identification by prediction by partial matching (PPM).
 
-A tree of byte contexts of orders 0 to 3 is counted for each language. A byte's
-probability comes from the longest context that the language knows, by escape
-method C with exclusion: a context with T bytes of D kinds gives n / (T + D) to
-a byte seen n times and hands D / (T + D) to the next shorter context, over the
-bytes it hasn't seen itself. The counts are frozen, so a byte's code length only
-depends on it and the three before; all are worked out once, and a text's exact
-code length in each language is a sum of look-ups over all its bytes.
+A tree of byte contexts of orders 0 to 3 is counted for each language, over all
+256 bytes (A-Z count as a-z). A byte's probability comes from the longest context
+that the language knows, by escape method C with exclusion: a context with T
+bytes of D kinds gives n / (T + D) to a byte seen n times and hands D / (T + D)
+to the next shorter context, over the bytes it hasn't seen itself. The counts
+are frozen, so a byte's code length only depends on it and the three before. The
+tree is sparse: what stands in it is looked up, and for any other byte the code
+lengths of the escapes are added to that of the shorter context. A text's code
+length in each language is the sum over all its bytes, in double precision.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 of equal code lengths the language first in the alphabet wins; without any
 labelled document all are ``und``; null ids are predicted and never trained on;
-repeated rows are predicted alike.
+repeated rows are predicted alike, and rows of one id and language are one
+training text, the smallest; very long texts are read whole, in parts.
 """
 
 from __future__ import annotations
@@ -27,67 +30,161 @@ from pyspark.sql import types as T
 
 from stemma.llm.common import col, held_out, map_rows
 
-#: Byte classes; rarer bytes beyond these share the last one.
-CLASSES = 64
 ORDER = 3
-#: Parts of a bit that code lengths are kept in.
-PARTS = 2048
-#: Bound of the training sample: documents of each language, bytes of a document, languages.
-DOCS_A_LANGUAGE, BYTES_A_DOC, LANGUAGES = 400, 1 << 16, 256
+#: Bound of the training sample: documents of each language, bytes of a document, bytes of all languages (in equal parts), and
+#: languages, of which there are fewer in ISO 639-3.
+DOCS_A_LANGUAGE, BYTES_A_DOC, TRAIN_BYTES, LANGUAGES = 400, 1 << 16, 1 << 23, 8192
+#: Languages whose trees are looked up together, and bytes of a text at once.
+GROUP, PART = 8, 1 << 16
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
+_FOLD = np.arange(256, dtype=np.uint32)
+_FOLD[65:91] += 32
 
 
 def has_letter(data: bytes) -> bool:
     return bool(_ASCII_LETTER.search(data)) or any(map(str.isalpha, data.decode("utf-8", "replace")))
 
 
-def byte_classes(texts: list[bytes]) -> np.ndarray:
-    """A class for each byte value: lower-cased letters, one each for white space, digits and signs, then the most frequent other bytes."""
-    seen = np.zeros(256, np.int64)
-    for t in texts:
-        seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    to = np.full(256, CLASSES - 1, np.uint8)
-    to[:128] = 2
-    for b in b"\t\n\v\f\r ":
-        to[b] = 0
-    for b in b"0123456789":
-        to[b] = 1
-    for i in range(26):
-        to[ord("a") + i] = to[ord("A") + i] = 3 + i
-    high = 128 + np.argsort(-seen[128:], kind="stable")[: CLASSES - 1 - 29]
-    for i, b in enumerate(sorted(high[seen[high] > 0])):
-        to[b] = 29 + i
-    return to
-
-
-def contexts(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the three classes before each class (spaces before the first), and the classes."""
-    s = np.concatenate((np.zeros(ORDER, np.int64), symbols))
-    return (s[:-3] * CLASSES + s[1:-2]) * CLASSES + s[2:-1], s[3:]
-
-
-def mixed(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Probabilities of a context's symbols (rows) from its counts and those of the shorter context."""
+def grams(data: bytes) -> np.ndarray:
+    """Each byte with the three before it (spaces before the first) as one number, the byte last."""
+    s = np.concatenate((np.full(ORDER, 32, np.uint32), _FOLD[np.frombuffer(data, np.uint8)]))
+    return s[:-3] << 24 | s[1:-2] << 16 | s[2:-1] << 8 | s[3:]
+
+
+def mixed(counts: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of contexts' bytes (rows) from their counts and those of the shorter contexts; and the bits that an escape adds."""
     seen = counts > 0
     total, kinds = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
     left = np.where(seen, 0, shorter).sum(1, keepdims=True)
     escape = np.where(left > 0, kinds, 0)
-    p = np.where(seen, counts, escape * shorter / np.where(left > 0, left, 1)) / np.maximum(total + escape, 1)
-    return np.where(total > 0, p, shorter)
+    handed = np.where(total > 0, escape / np.where(left > 0, left, 1) / np.maximum(total + escape, 1), 1.0)
+    p = np.where(seen, counts / np.maximum(total + escape, 1), handed * shorter)
+    return p, -np.log2(np.where(handed > 0, handed, 1.0))[:, 0]
+
+
+class Index:
+    """Rows of distinct 32-bit keys, by hash tables each of which holds what found no place in the one before."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint32(0))
+        self.tables: list[tuple[np.uint32, np.uint32, np.ndarray]] = []
+        left, factor = np.arange(len(keys), dtype=np.int32), 0x9E3779B1
+        while len(left) or not self.tables:
+            bits = max(4, int(len(left)).bit_length() + 2)
+            table = np.full(1 << bits, -1, np.int32)
+            shift = np.uint32(32 - bits)
+            at = keys[left] * np.uint32(factor) >> shift
+            table[at[::-1]] = left[::-1]
+            self.tables.append((np.uint32(factor), shift, table))
+            left, factor = left[table[at] != left], (factor * 0x85EBCA6B + 2) & 0xFFFFFFFF | 1
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """The row of each key asked for, -1 if it isn't there."""
+        factor, shift, table = self.tables[0]
+        out = table[asked * factor >> shift]
+        # an empty place says that the key is in no later table either
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != asked))
+        for factor, shift, table in self.tables[1:]:
+            if not len(todo):
+                return out
+            own = asked[todo]
+            out[todo] = got = table[own * factor >> shift]
+            todo = todo[(got >= 0) & (self.keys[got] != own)]
+        out[todo] = -1
+        return out
+
+
+class Tree:
+    """One language's contexts: code lengths of what was seen, and of the escapes."""
+
+    def __init__(self, texts: list[bytes], step: int = 1 << 12):
+        g = np.concatenate([grams(t) for t in texts if t] or [np.zeros(0, np.uint32)])
+        first, _ = mixed(np.bincount(g & 0xFF, minlength=1 << 8)[None], np.full((1, 256), 1 / 256))
+        second, _ = mixed(np.bincount(g & 0xFFFF, minlength=1 << 16).reshape(256, 256), np.tile(first, (256, 1)))
+        self.second = -np.log2(second).reshape(-1)
+        self.third, self.third_bits, contexts, escapes, rows = self._order(g & 0xFFFFFF, lambda c: second[c & 0xFF], step, keep=True)
+        self.escape2 = np.zeros(1 << 16)
+        self.escape2[contexts] = escapes
+        row_of = np.zeros(1 << 16, np.int64)
+        row_of[contexts] = np.arange(len(contexts))
+        self.fourth, self.fourth_bits, self.contexts, self.escape3, _ = self._order(g, lambda c: rows[row_of[c & 0xFFFF]], step)
+
+    @staticmethod
+    def _order(g: np.ndarray, shorter, step: int, keep: bool = False):
+        keys, n = np.unique(g, return_counts=True)
+        contexts, first = np.unique(keys >> 8, return_index=True)
+        ends = np.append(first[1:], len(keys))
+        bits, escapes, rows = np.zeros(len(keys)), np.zeros(len(contexts)), []
+        for at in range(0, len(contexts), step):
+            own = slice(first[at], ends[min(at + step, len(contexts)) - 1])
+            row = np.searchsorted(contexts[at : at + step], keys[own] >> 8)
+            counts = np.zeros((len(contexts[at : at + step]), 256))
+            counts[row, keys[own] & 0xFF] = n[own]
+            p, escapes[at : at + step] = mixed(counts, shorter(contexts[at : at + step]))
+            bits[own] = -np.log2(p[row, keys[own] & 0xFF])
+            if keep:
+                rows.append(p)
+        return keys, bits, contexts, escapes, np.concatenate(rows) if rows else np.zeros((1, 256))
+
+    def bits2(self, g: np.ndarray) -> np.ndarray:
+        """Code lengths of bytes behind two others (24-bit numbers)."""
+        at, there = _placed(self.third, g)
+        return np.where(there, self.third_bits[at] if len(self.third) else 0, self.escape2[g >> 8] + self.second[g & 0xFFFF])
+
+    def bits3(self, g: np.ndarray) -> np.ndarray:
+        at, there = _placed(self.fourth, g)
+        return np.where(there, self.fourth_bits[at] if len(self.fourth) else 0, self.escaped(g >> 8) + self.bits2(g & 0xFFFFFF))
+
+    def escaped(self, context: np.ndarray) -> np.ndarray:
+        """What an escape from a context of three bytes adds; nothing if the language doesn't know it."""
+        at, there = _placed(self.contexts, context)
+        return np.where(there, self.escape3[at] if len(self.contexts) else 0, 0.0)
+
+
+def _placed(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
+    return at, (keys[at] == asked) if len(keys) else np.zeros(len(asked), bool)
+
+
+class Forest:
+    """The trees of up to GROUP languages, looked up together: a row of code lengths, one for each language."""
+
+    def __init__(self, trees: list[Tree]):
+        fourth = np.unique(np.concatenate([t.fourth for t in trees]))
+        third = np.unique(np.concatenate([x for t in trees for x in (t.third, t.contexts)]))
+        self.fourth, self.third = Index(fourth), Index(third)
+        side = lambda f: np.stack([f(t) for t in trees], 1)
+        self.bits3, self.bits2, self.escape3 = side(lambda t: t.bits3(fourth)), side(lambda t: t.bits2(third)), side(lambda t: t.escaped(third))
+        self.escape2, self.bits1 = side(lambda t: t.escape2), side(lambda t: t.second)
+
+    def bits(self, g: np.ndarray) -> np.ndarray:
+        at = self.fourth.find(g)
+        rest = g[at < 0]
+        out = self.bits3[at[at >= 0]].sum(0)
+        if len(rest):
+            context = self.third.find(rest >> 8)
+            out += self.escape3[context[context >= 0]].sum(0)
+            rest &= np.uint32(0xFFFFFF)
+            at = self.third.find(rest)
+            out += self.bits2[at[at >= 0]].sum(0)
+            rest = rest[at < 0]
+            out += self.escape2[rest >> 8].sum(0) + self.bits1[rest & 0xFFFF].sum(0)
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    classes: np.ndarray
-    rows: np.ndarray  # context -> row of bits
-    parts: np.ndarray  # code lengths in parts of a bit: (row * CLASSES + class, language)
+    forests: list[Forest]
 
     def code_lengths(self, data: bytes) -> np.ndarray:
         """Bits that the text takes in each language."""
-        at, x = contexts(self.classes[np.frombuffer(data, np.uint8)].astype(np.int64))
-        return self.parts[self.rows[at].astype(np.int64) * CLASSES + x].sum(0, dtype=np.int64) / PARTS
+        g = grams(data)
+        out = np.zeros(len(self.languages))
+        for at in range(0, len(g), PART):
+            out += np.concatenate([f.bits(g[at : at + PART]) for f in self.forests])
+        return out
 
     def predict(self, data: bytes) -> tuple[str, float]:
         if not self.languages or not has_letter(data):
@@ -99,51 +196,39 @@ class Model:
 
 def train(texts: dict[str, list[bytes]]) -> Model:
     languages = sorted(texts)
-    classes = byte_classes([t for ts in texts.values() for t in ts])
-    grams = {}
-    for lang in languages:
-        parts = [contexts(classes[np.frombuffer(t, np.uint8)].astype(np.int64)) for t in texts[lang] if t]
-        grams[lang] = np.concatenate([a * CLASSES + x for a, x in parts]) if parts else np.zeros(0, np.int64)
-    often = sum((np.bincount(g // CLASSES, minlength=CLASSES**3) for g in grams.values()), np.zeros(CLASSES**3, np.int64))
-    known = np.flatnonzero(often)
-    rows = (len(known) + np.arange(CLASSES**3) % CLASSES**2).astype(np.int32)
-    rows[known] = np.arange(len(known))
-    parts = np.zeros(((len(known) + CLASSES**2) * CLASSES, len(languages)), np.uint16)
-    for j, lang in enumerate(languages):
-        g = grams[lang]
-        count = lambda k: np.bincount(g % CLASSES ** (k + 1), minlength=CLASSES ** (k + 1)).reshape(-1, CLASSES)  # noqa: B023, E731
-        p = mixed(count(0), np.full((1, CLASSES), 1 / CLASSES))
-        for k in (1, 2):
-            p = mixed(count(k), np.tile(p, (CLASSES, 1)))
-        third = np.bincount(rows[g // CLASSES].astype(np.int64) * CLASSES + g % CLASSES, minlength=len(known) * CLASSES).reshape(-1, CLASSES)
-        full = mixed(third, p[known % CLASSES**2])
-        parts[:, j] = np.rint(np.minimum(-np.log2(np.maximum(np.concatenate((full, p)), 1e-30)), 31) * PARTS).reshape(-1)
-    return Model(languages, classes, rows, parts)
+    return Model(languages, [Forest([Tree(texts[x]) for x in languages[at : at + GROUP]]) for at in range(0, len(languages), GROUP)])
 
 
 def fit(docs: DataFrame) -> Model:
     """Train on a bounded sample of the documents outside the held-out fold that have a language.
 
-    At most DOCS_A_LANGUAGE documents with text a language, by the hash of their
-    ids, for the LANGUAGES most frequent languages; of each text its first
-    BYTES_A_DOC bytes.
+    Of each of the LANGUAGES most frequent languages, by the hash of their ids, at
+    most DOCS_A_LANGUAGE documents with text, up to its part of TRAIN_BYTES; of
+    each text its first BYTES_A_DOC bytes (or that part).
     """
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null and lang is not null and text <> ''").where(~held_out()).select("doc_id", "lang")
-    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    size = F.octet_length("text").cast("long")
+    rows = docs.where("doc_id is not null and lang is not null and text <> ''").where(~held_out()).select("doc_id", "lang", size.alias("size"))
+    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not top:
+        return train({})
+    part = TRAIN_BYTES // len(top)
+    most = min(BYTES_A_DOC, part)
     # a first cut by hash to some eight times the sample, so that no task gathers a large language's ids
-    share = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 8 * DOCS_A_LANGUAGE / n))] or [F.lit(""), F.lit(1.0)])
+    shares = F.broadcast(spark.createDataFrame([(r["lang"], min(1.0, 8 * DOCS_A_LANGUAGE / r["count"])) for r in top], "lang string, share double"))
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.where(F.col("lang").isin(list(top))).where(drawn <= F.try_element_at(share, F.col("lang")))
-    picked = few.withColumn("n", F.row_number().over(by)).where(F.col("n") <= DOCS_A_LANGUAGE)
-    ids = [r["doc_id"] for r in picked.select("doc_id").collect()]  # LANGUAGES * DOCS_A_LANGUAGE at most
+    few = rows.join(shares, "lang").where(drawn <= F.col("share"))
+    first = few.withColumn("n", F.row_number().over(by)).where(F.col("n") <= DOCS_A_LANGUAGE)
+    before = F.sum(F.least("size", F.lit(most))).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    picked = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < part).select("doc_id", "lang")
+    ids = [(r["doc_id"], r["lang"]) for r in picked.distinct().collect()]  # TRAIN_BYTES or LANGUAGES * DOCS_A_LANGUAGE at most
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang", T.StringType())])
+    mine = docs.where("text <> ''").select("doc_id", "lang", F.substring(col("text").cast("binary"), 1, most).alias("t"))
+    mine = mine.join(F.broadcast(spark.createDataFrame(ids, schema)), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("t").alias("t"))
     texts: dict[str, list[bytes]] = {}
-    if ids:
-        few = spark.createDataFrame([(x,) for x in ids], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
-        mine = docs.where(F.col("lang").isin(list(top)) & (F.col("text") != "")).select("doc_id", "lang", F.substring(F.col("text").cast("binary"), 1, BYTES_A_DOC).alias("t"))
-        for r in mine.join(F.broadcast(few.distinct()), "doc_id", "left_semi").orderBy("doc_id").collect():
-            texts.setdefault(r["lang"], []).append(bytes(r["t"]))
+    for r in mine.orderBy("lang", "doc_id").collect():  # twice TRAIN_BYTES at most
+        texts.setdefault(r["lang"], []).append(bytes(r["t"]))
     return train(texts)
 
 

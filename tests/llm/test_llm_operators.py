@@ -88,35 +88,63 @@ def test_long_chain(spark):
 # ------------------------------------------------------------ learned
 
 
-def brute_bits(model_texts, classes, data, lang):
+def brute_bits(own, data):
     """PPM by counting dictionaries, for one language."""
-    s = [0, 0, 0, *[int(classes[b]) for b in data]]
+    read = lambda t: [32, 32, 32, *t.lower()]
     counts: dict = {}
-    for t in model_texts[lang]:
-        z = [0, 0, 0, *[int(classes[b]) for b in t]]
+    for t in own:
+        z = read(t) if t else []
         for i in range(3, len(z)):
             for k in range(4):
                 counts.setdefault(tuple(z[i - k : i]), Counter())[z[i]] += 1
 
     def p(context, order):
-        low = np.full(language.CLASSES, 1 / language.CLASSES) if order == 0 else p(context[1:], order - 1)
+        low = np.full(256, 1 / 256) if order == 0 else p(context[1:], order - 1)
         c = counts.get(tuple(context), Counter())
         if not c:
             return low
-        n = np.array([c[x] for x in range(language.CLASSES)], float)
+        n = np.array([c[x] for x in range(256)], float)
         left = low[n == 0].sum()
         escape = (n > 0).sum() if left > 0 else 0
         return np.where(n > 0, n, escape * low / (left or 1)) / (n.sum() + escape)
 
+    s = read(data)
     return sum(-np.log2(p(s[i - 3 : i], 3)[s[i]]) for i in range(3, len(s)))
 
 
 def test_code_lengths():
-    texts = {"en": [b"the cat and the dog and the end", b"a cat"], "de": [b"der hund und die katze und das ende"]}
+    texts = {"en": [b"the cat and the dog and the end", b"A cat"], "de": ["der Hund und die Katze über das Ende".encode()], "none": [b""], "all": [bytes(range(256)) * 2]}
+    texts |= {f"x{i}": [bytes([97 + i, 98, 99 + i]) * 5] for i in range(9)}  # more than are looked up together
     m = language.train(texts)
-    for data in (b"the dog", b"die katze und der hund", "Über x".encode()):
-        for j, lang in enumerate(m.languages):
-            assert m.code_lengths(data)[j] == pytest.approx(brute_bits(texts, m.classes, data, lang), abs=0.01)
+    for data in (b"the dog", b"die katze UND der hund", "Über x \U0001f600 123".encode(), b"", b"\x00\xff" * 9):
+        for lang, bits in zip(m.languages, m.code_lengths(data)):
+            assert bits == pytest.approx(brute_bits(texts[lang], data), abs=1e-9)
+
+
+def test_sparse_index():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(0, 1 << 32, n, np.uint32))
+        index = language.Index(keys)
+        assert (index.find(keys) == np.arange(len(keys))).all()
+        asked = rng.integers(0, 1 << 32, 20000, np.uint32)
+        assert (index.find(asked) == [{k: i for i, k in enumerate(keys.tolist())}.get(x, -1) for x in asked.tolist()]).all()
+
+
+def test_predictions_are_those_of_brute_force(spark):
+    """The query's own rows, by dictionaries over the texts that the operator learns from."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    own: dict = {}
+    for r in rows:  # all of them: the table is smaller than the sample may be
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None and r["text"]:
+            own.setdefault(r["lang"], []).append(r["text"].encode()[: language.BYTES_A_DOC])
+    got = {r["doc_id"]: r for r in queries.op7_language_id(spark, SF).collect()}
+    for r in [r for r in rows if r["text"] and len(r["text"]) < 700][:12]:
+        bits = {lang: brute_bits(own[lang], r["text"].encode()) for lang in own}
+        best = min(sorted(bits), key=bits.get)
+        assert got[r["doc_id"]]["lang_pred"] == best
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(2.0 ** max(bits[best] - b, -1000) for b in bits.values()), abs=1e-6)
 
 
 def test_language_held_out(spark, docs):
