@@ -1,16 +1,18 @@
 """Quality classifier: random-indexing word vectors and a small numpy network.
 
-Every word (letters, digits or signs in a row, case folded) has a sparse random
-index vector; its word vector is the sum of the index vectors of the words
-around it in the training texts, beside a share of its own. A document is the
-mean of its words' vectors, with the mean shape of its words (case and length),
-the logarithm of its length and how varied and repetitive its words are. A network with one
-hidden layer gives a logit, divided by a temperature that is fitted on a tenth
-of the training rows kept apart.
+Every word (letters, digits or signs in a row) is three symbols: the word itself
+with its case folded, its shape (kind, case and length), and whether it repeats
+the word before it. Each symbol has a sparse random index vector; its vector is
+that index vector and, of unit length, the sum of the index vectors of the
+symbols of its sort around it in the training texts. A document is the mean of
+its words' vectors and nothing else. A network with one hidden layer gives a
+logit, divided by a temperature that is fitted on a tenth of the training rows
+kept apart.
 
 Defined results: null and empty texts get the score of a document without
 words; null ids are scored and never trained on; without labels every score is
-0.5; repeated rows score alike.
+0.5; repeated rows score alike, and rows of one id are one training text, the
+smallest; very long texts are scored whole, in parts.
 """
 
 from __future__ import annotations
@@ -26,9 +28,13 @@ from pyspark.sql import types as T
 from stemma.llm.common import held_out, map_rows, text_bytes
 from stemma.llm.words import run_hashes, runs
 
-#: Bound of the training sample: labelled rows, and bytes of a text.
-ROWS, BYTES_A_DOC = 8000, 1 << 16
-BUCKETS, SIZE, NEAR, SHAPES, MORE, HIDDEN = 1 << 16, 64, 2, 24, 4, 32
+#: Bound of the training sample: labelled rows, and the first bytes of a text (64 MB in all).
+ROWS, BYTES_A_DOC = 8000, 1 << 13
+#: Word forms (by hash), shapes, numbers of a vector, words around that count, hidden units.
+BUCKETS, SHAPES, SIZE, NEAR, HIDDEN = 1 << 16, 24, 96, 2, 32
+SYMBOLS = BUCKETS + SHAPES + 2
+#: Words whose vectors are summed at once.
+PART = 4096
 THRESHOLD = 0.3
 SEED = 7
 
@@ -40,37 +46,37 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and shape of each word of a text."""
+def symbols(data: bytes) -> np.ndarray:
+    """The symbols of each word of a text: form, shape, and repeat; a row for each sort."""
     raw = np.frombuffer(data, np.uint8)
     kinds = _KIND[raw]
     starts = runs(kinds)
-    hashes = run_hashes(_LOWER[raw], starts)
-    ink = kinds[starts] > 0 if len(starts) else np.zeros(0, bool)
-    n = np.diff(np.append(starts, len(raw)))
-    caps = np.add.reduceat(((raw >= 65) & (raw <= 90)).astype(np.int64), starts) if len(starts) else n
-    case = np.where(caps == 0, 0, np.where(caps == 1, 1, 2))
-    shape = np.where(kinds[starts] == 1, case, 2 + kinds[starts].astype(np.int64) - 1) if len(starts) else case
-    size = np.searchsorted([2, 3, 5, 8, 12], n, "right")
-    shape = np.minimum(shape, 3) * 6 + size
-    return (hashes[ink] % np.uint64(BUCKETS)).astype(np.int64), shape[ink]
+    if not len(starts):
+        return np.zeros((3, 0), np.int64)
+    kind, n = kinds[starts].astype(np.int64), np.diff(np.append(starts, len(raw)))
+    caps = np.add.reduceat(((raw >= 65) & (raw <= 90)).astype(np.int64), starts)
+    shape = np.where(kind == 1, np.minimum(caps, 2), 3) * 6 + np.searchsorted([2, 3, 5, 8, 12], n, "right")
+    ink = kind > 0
+    forms = (run_hashes(_LOWER[raw], starts)[ink] % np.uint64(BUCKETS)).astype(np.int64)
+    same = np.concatenate(([False], forms[1:] == forms[:-1]))[: len(forms)]
+    return np.stack((forms, BUCKETS + shape[ink], BUCKETS + SHAPES + same))
 
 
 def index_vectors() -> np.ndarray:
     rng = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS, SIZE), np.float32)
-    place = rng.integers(0, SIZE, (BUCKETS, 4))
-    sign = rng.choice(np.float32([-0.5, 0.5]), (BUCKETS, 4))
+    out = np.zeros((SYMBOLS, SIZE), np.float32)
+    place = rng.integers(0, SIZE, (SYMBOLS, 4))
+    sign = rng.choice(np.float32([-0.5, 0.5]), (SYMBOLS, 4))
     for k in range(4):
-        out[np.arange(BUCKETS), place[:, k]] += sign[:, k]
+        out[np.arange(SYMBOLS), place[:, k]] += sign[:, k]
     return out
 
 
-def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
-    """Random indexing over the texts' word buckets."""
+def symbol_vectors(texts: list[np.ndarray]) -> np.ndarray:
+    """Random indexing over the texts' symbols."""
     index = index_vectors()
     around = np.zeros_like(index)
-    for ids in texts:
+    for ids in (sort for t in texts for sort in t):
         for gap in range(1, NEAR + 1):
             for a, b in ((ids[:-gap], ids[gap:]), (ids[gap:], ids[:-gap])):
                 if not len(a):
@@ -94,17 +100,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logits(self.layers, (x - self.mean) / self.spread) / self.temperature, -30, 30)))
 
 
-def features(vectors: np.ndarray, data: bytes) -> np.ndarray:
-    ids, shape = words(data)
-    n = len(ids)
-    out = np.zeros(SIZE + SHAPES + MORE, np.float32)
-    if n:
-        many = np.bincount(ids, minlength=1)
-        seen = np.flatnonzero(many)
-        out[:SIZE] = many[seen].astype(np.float32) @ vectors[seen] / n
-        out[SIZE : SIZE + SHAPES] = np.bincount(shape, minlength=SHAPES)[:SHAPES] / n
-        out[-MORE:] = np.log1p(n), len(seen) / n, many.max() / n, (ids[1:] == ids[:-1]).sum() / n
-    return out
+def pooled(vectors: np.ndarray, data: bytes) -> np.ndarray:
+    """The mean of the vectors of a text's words."""
+    ids = symbols(data)
+    n = ids.shape[1]
+    out = np.zeros(SIZE)
+    for at in range(0, n, PART):
+        few, many = np.unique(ids[:, at : at + PART], return_counts=True)
+        out += many @ vectors[few].astype(np.float64)
+    return out / max(n, 1)
 
 
 def logits(layers: list[np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -144,10 +148,9 @@ def temperature(z: np.ndarray, y: np.ndarray) -> float:
 def train(texts: list[bytes], labels: np.ndarray) -> Model:
     y = np.asarray(labels, np.float64)
     if not len(y):
-        d = SIZE + SHAPES + MORE
-        return Model(index_vectors(), np.zeros(d), np.ones(d), [np.zeros((d, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())])
-    vectors = word_vectors([words(t)[0] for t in texts])
-    x = np.array([features(vectors, t) for t in texts], np.float64)
+        return Model(index_vectors(), np.zeros(SIZE), np.ones(SIZE), [np.zeros((SIZE, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())])
+    vectors = symbol_vectors([symbols(t) for t in texts])
+    x = np.array([pooled(vectors, t) for t in texts])
     mean, spread = x.mean(0), x.std(0) + 1e-3
     x = (x - mean) / spread
     apart = np.arange(len(y)) % 10 == 0
@@ -156,15 +159,15 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on at most ROWS labelled documents outside the held-out fold, by the hash of their ids, of at most BYTES_A_DOC bytes each."""
+    """Train on at most ROWS labelled documents outside the held-out fold, by the hash of their ids; of each text its first BYTES_A_DOC bytes."""
     rows = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ROWS).collect()
     if not few:
         return train([], np.zeros(0))
     y = {r["doc_id"]: r["quality"] for r in few}
     ids = docs.sparkSession.createDataFrame([(k,) for k in y], T.StructType([T.StructField("doc_id", labels.schema["doc_id"].dataType)]))
-    mine = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= BYTES_A_DOC).select("doc_id", text_bytes().alias("t"))
-    got = mine.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    mine = docs.select("doc_id", F.substring(text_bytes(), 1, BYTES_A_DOC).alias("t"))
+    got = mine.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("t").alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return train([bytes(r["t"]) for r in got], np.array([y[r["doc_id"]] for r in got]))
 
 
@@ -176,7 +179,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, where: s
         m = shared.value
 
         def fn(texts: pa.Array):
-            s = m.score(np.array([features(m.vectors, t) for t in texts.to_pylist()], np.float64))
+            s = m.score(np.array([pooled(m.vectors, t) for t in texts.to_pylist()]))
             good = s >= THRESHOLD
             return (good,) if where else (s, good.astype(np.int32))
 

@@ -167,6 +167,28 @@ def test_quality_held_out(spark):
     assert np.mean([s >= 0.3 for s in good]) > 0.95
 
 
+def test_scores_are_those_of_brute_force(spark, docs):
+    """The query's rows by a regular expression, a sum a word and the network written out."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    m = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in queries.op10_quality_scores(spark, SF).collect()}
+    w1, b1, w2, b2 = m.layers
+    for r in docs.collect():
+        data = (r["text"] or "").encode()
+        found = re.findall(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\t\n\v\f\r ]+", data)
+        total, before = np.zeros(quality.SIZE), None
+        for w in found:
+            low = np.frombuffer(re.sub(rb"[A-Z]", lambda x: x[0].lower(), w), np.uint8)
+            form = int(quality.run_hashes(low, np.array([0]))[0]) % quality.BUCKETS
+            case = min(2, len(re.findall(rb"[A-Z]", w))) if re.match(rb"[A-Za-z\x80-\xff]", w) else 3
+            shape = case * 6 + sum(len(w) >= k for k in (2, 3, 5, 8, 12))
+            total += m.vectors[form].astype(float) + m.vectors[quality.BUCKETS + shape] + m.vectors[quality.BUCKETS + quality.SHAPES + (form == before)]
+            before = form
+        x = (total / max(1, len(found)) - m.mean) / m.spread
+        z = (np.maximum(x @ w1 + b1, 0) @ w2 + b2) / m.temperature
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
 def test_held_out_labels_are_not_read(spark, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
