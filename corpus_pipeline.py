@@ -53,7 +53,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is one token; null ids and repeated rows are packed like any other; an
     empty table gives no pieces.
     """
-    return packing.with_digest(packing.pack(docs))
+    return packing.pack(docs, digest=True)
 
 
 STAGES = [

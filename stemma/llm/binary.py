@@ -5,7 +5,9 @@ them, found by a descent in a segment tree over the rooms 0 to the sequence
 length. A sequence becomes one row: its ids as a fixed-width little-endian
 32-bit row of the id matrix (zeros at the end), the cumulative lengths of its
 segments, and positions that start again at each segment. Overlong documents
-are cut into pieces without loss, so ``unpack`` gives every document back.
+are cut into pieces without loss, so ``unpack`` gives every document back. Tasks
+pack their own documents first; open sequences of all tasks are packed again
+together (``packing.in_rounds``).
 
 Defined results: a null or empty text is one end id; null ids, repeated rows
 and very long texts are written like any other; an empty table writes none.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm import tokens
-from stemma.llm.packing import BLOCK, LENGTH, id_and_text, packed_blocks
+from stemma.llm.packing import BLOCK, LENGTH, cut_pieces, id_and_text, in_rounds, packed_blocks, read_pieces
 
 #: Rows that go back to the JVM at once; a row holds two id-wide matrices.
 ROWS = 256
@@ -83,31 +85,37 @@ def packed_rows(docs: DataFrame, path: str | None = None, most: int = LENGTH, bl
     path = path or tokens.public_path()
     src = id_and_text(docs)
     kind = src.schema["doc_id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(to_arrow_type(kind)), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        for ids, pieces, starts, parts, sizes, bins in packed_blocks(batches, path, most, block, best_fit_decreasing):
-            order = np.argsort(bins, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(bins[order]) != 0)))
-            rows: list[tuple] = []
-            for a, b in zip(first, np.append(first[1:], len(order))):
-                own = order[a:b].tolist()
-                ends = np.concatenate(([0], np.cumsum(sizes[own]))).astype(np.int32)
-                matrix, position = np.zeros(most, "<u4"), np.zeros(most, "<u4")
-                for i, at in zip(own, ends):
-                    matrix[at : at + sizes[i]] = parts[i]
-                    position[at : at + sizes[i]] = np.arange(sizes[i])
-                rows.append((bins[own[0]], ends[-1], matrix.tobytes(), position.tobytes(), ends, [ids[i] for i in own], [pieces[i] for i in own], [starts[i] for i in own]))
-                if len(rows) == ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], NAMES)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], NAMES)
-
-    fields = [T.LongType(), T.IntegerType(), T.BinaryType(), T.BinaryType(), T.ArrayType(T.IntegerType()), T.ArrayType(kind), T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())]
-    return src.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(NAMES, fields)]))
+    fields = [T.LongType(), T.IntegerType(), T.BinaryType(), T.BinaryType(), T.ArrayType(T.IntegerType()), T.ArrayType(kind), T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType()), T.BooleanType()]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip((*NAMES, "open"), fields)])
+
+    def packed(rows: DataFrame, round_: int, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_type
+
+            types = [to_arrow_type(t) for t in fields]
+            found = read_pieces(batches) if round_ else cut_pieces(batches, path, most, bytes)
+            for columns, sizes, bins, still in packed_blocks(found, most, block, best_fit_decreasing, round_, last):
+                order = np.argsort(bins, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], np.diff(bins[order]) != 0)))
+                made: list[tuple] = []
+                for a, b in zip(first, np.append(first[1:], len(order))):
+                    own = order[a:b].tolist()
+                    ends = np.concatenate(([0], np.cumsum(sizes[own]))).astype(np.int32)
+                    position = np.zeros(most, "<u4")
+                    for i, at in zip(own, ends):
+                        position[at : at + sizes[i]] = np.arange(sizes[i])
+                    matrix = b"".join(columns[4][i] for i in own).ljust(4 * most, b"\0")
+                    made.append((bins[own[0]], ends[-1], matrix, position.tobytes(), ends, *[[columns[k][i] for i in own] for k in range(3)], still[own[0]]))
+                    if len(made) == ROWS or b == len(order):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made), types)], schema.names)
+                        made = []
+
+        return rows.mapInArrow(run, schema)
+
+    def again(rows: DataFrame) -> DataFrame:
+        return unpack(rows).select("doc_id", "piece", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), "ids")
+
+    return in_rounds(packed, src, again, block)
 
 
 NAMES = ["sequence_id", "n_tokens", "ids", "positions", "cu_seqlens", "doc_ids", "pieces", "starts"]

@@ -7,9 +7,15 @@ by column generation, with a knapsack to price them. Its whole multiples become
 sequences, actual documents take the places of their group's size, and what is
 left, with all small pieces, goes best-fit, longest first, into the room left.
 
+Where best fit alone, longest first, needs fewer sequences, its answer is taken.
+
 Each task packs its own documents, in blocks of at most ``BLOCK`` tokens, so
-nothing is shuffled and memory is bounded; a block leaves less than about one
-sequence open. A task that runs again packs the same way.
+memory is bounded and texts aren't shuffled. Sequences with little room left
+stay; the pieces of the ``OPEN`` with the most room of each block go on to
+rounds of ever fewer tasks (a block's worth of pieces each) until one group is
+left, so the number of sequences hardly depends on how the table is split. Each
+round is written before the next reads it, so a task that is lost later changes
+nothing.
 
 Defined results: a null or empty text is one piece of one token (the end id);
 null ids and repeated rows are packed like any other; an empty table gives no
@@ -18,6 +24,7 @@ pieces; no token is dropped or changed.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,11 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stemma.llm import tokens
-from stemma.llm.common import BATCH_ROWS, col, sliced
+from stemma.llm.common import BATCH_ROWS, col, shared_table, sliced
 
 LENGTH = 2048
-#: Tokens that a task packs at once.
-BLOCK = 1 << 24
+#: Tokens that a task packs at once, and sequences of these that are packed again with those of others.
+BLOCK, OPEN = 1 << 24, 16
 GROUPS = 32
 
 
@@ -100,7 +107,10 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, most: int) -> tuple[float
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, most: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often to use each, with the fewest sequences in all (fractional)."""
+    """Patterns and how often to use each, with the fewest sequences in all (fractional).
+
+    After so many rounds the patterns at hand are taken: still a packing of all pieces, if not the least.
+    """
     g = len(sizes)
     per = np.minimum(most // sizes, np.maximum(counts, 1))
     basis = np.diag(per).astype(float)
@@ -173,7 +183,9 @@ def linear_grouping(sizes: np.ndarray, most: int, groups: int = GROUPS) -> np.nd
                     used.append(total)
     rest = down[bins[down] < 0]
     best_fit(sizes, rest, bins, used, most)
-    return bins
+    plain, fewer = np.empty(len(sizes), np.int64), []
+    best_fit(sizes, down, plain, fewer, most)
+    return plain if len(fewer) < len(used) else bins
 
 
 def places(sizes: np.ndarray, bins: np.ndarray) -> np.ndarray:
@@ -187,68 +199,104 @@ def places(sizes: np.ndarray, bins: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed_blocks(batches: Iterator[pa.RecordBatch], path: str, most: int, block: int, packer: Callable[[np.ndarray, int], np.ndarray]):
-    """(documents, pieces, starts, ids, sequences) of each block of a task's batches of (id, text); sequences are unique among all tasks."""
-    from pyspark import TaskContext
+def to_open(sizes: np.ndarray, bins: np.ndarray, most: int) -> np.ndarray:
+    """Which pieces lie in sequences that are packed again: the OPEN with the most room, of those with over a 128th left."""
+    room = most - np.bincount(bins, weights=sizes).astype(np.int64)
+    again = np.argsort(-room, kind="stable")[:OPEN]
+    return np.isin(bins, again[room[again] > most // 128])
+
 
+#: doc_id, piece, start and length of pieces, and what is kept of their ids.
+Piece = tuple[object, int, int, int, object]
+
+
+def cut_pieces(batches: Iterator[pa.RecordBatch], path: str, most: int, keep: Callable[[bytes], object]) -> Iterator[Piece]:
+    """The pieces of batches of (id, text); ``keep`` is given their ids, little-endian 32-bit."""
     enc = tokens.encoder(path)
-    sequence = TaskContext.get().partitionId() << 40
-    held: tuple[list, list, list, list] = ([], [], [], [])
+    for batch in sliced(batches):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids = tokens.document(enc, text).astype("<u4")
+            for k, (a, b) in enumerate(tokens.cuts(len(ids), most)):
+                yield doc, k, a, b - a, keep(ids[a:b].tobytes())
+
+
+def read_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
+    for batch in sliced(batches):
+        yield from zip(*[c.to_pylist() for c in batch.columns])
+
+
+def packed_blocks(pieces: Iterator[Piece], most: int, block: int, packer: Callable[[np.ndarray, int], np.ndarray], round_: int, last: bool):
+    """(pieces' columns, sizes, sequences, open) of each block of a task's pieces; sequences are unique among all tasks and rounds."""
+    from pyspark import TaskContext
+
+    sequence = round_ << 58 | TaskContext.get().partitionId() << 36
+    held: list[Piece] = []
     n = 0
 
     def flush():
         nonlocal sequence, held, n
-        sizes = np.array([len(x) for x in held[3]], np.int64)
+        columns = [list(c) for c in zip(*held)]
+        sizes = np.array(columns[3], np.int64)
         bins = packer(sizes, most)
-        out = (*held, sizes, bins + sequence)
+        out = columns, sizes, bins + sequence, np.zeros(len(bins), bool) if last else to_open(sizes, bins, most)
         sequence += int(bins.max()) + 1
-        held, n = ([], [], [], []), 0
+        held, n = [], 0
         return out
 
-    for batch in sliced(batches):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = tokens.document(enc, text)
-            for k, (a, b) in enumerate(tokens.cuts(len(ids), most)):
-                for column, x in zip(held, (doc, k, a, ids[a:b])):
-                    column.append(x)
-                n += b - a
-                if n >= block:
-                    yield flush()
-    if held[0]:
+    for p in pieces:
+        held.append(p)
+        n += p[3]
+        if n >= block:
+            yield flush()
+    if held:
         yield flush()
 
 
+def in_rounds(packed: Callable[[DataFrame, int, bool], DataFrame], first: DataFrame, pieces: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
+    """All rows of ``packed`` (texts in round 0, then pieces; whether it is the last round) that aren't open, round by round."""
+    now, done, round_, before = shared_table(packed(first, 0, False), "zstd"), [], 0, float("inf")
+    while True:
+        done.append(now.where("not open").drop("open"))
+        left = pieces(now.where("open"))
+        n = left.agg(F.sum("length")).first()[0] or 0
+        if not n:
+            break
+        groups, round_ = -(-n // block), round_ + 1
+        now = shared_table(packed(left.repartition(groups), round_, groups == 1 or groups >= before), "zstd")
+        before = groups
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id"), F.coalesce(col("text"), F.lit("")).alias("text"))
 
 
-def pack(docs: DataFrame, path: str | None = None, most: int = LENGTH, block: int = BLOCK, packer: Callable[[np.ndarray, int], np.ndarray] = linear_grouping) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids (little-endian 32-bit), sequence_id, offset."""
+def pack(
+    docs: DataFrame, path: str | None = None, most: int = LENGTH, block: int = BLOCK, packer: Callable[[np.ndarray, int], np.ndarray] = linear_grouping, digest: bool = False
+) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids (little-endian 32-bit), sequence_id, offset; ``digest``: ids_crc32 in place of ids."""
     path = path or tokens.public_path()
     src = id_and_text(docs)
     kind = src.schema["doc_id"]
-    names = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        for ids, pieces, starts, parts, sizes, bins in packed_blocks(batches, path, most, block, packer):
-            offsets = places(sizes, bins)
-            for at in range(0, len(parts), 4 * BATCH_ROWS):
-                to = at + 4 * BATCH_ROWS
-                columns = [
-                    pa.array(ids[at:to], to_arrow_type(kind.dataType)), pa.array(pieces[at:to], pa.int32()), pa.array(starts[at:to], pa.int64()), pa.array(sizes[at:to]),
-                    pa.array([p.astype("<u4").tobytes() for p in parts[at:to]], pa.binary()), pa.array(bins[at:to]), pa.array(offsets[at:to]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = T.StructType([
-        kind, T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-        T.StructField("ids", T.BinaryType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
-    ])
-    return src.mapInArrow(run, schema)
-
-
-def with_digest(pieces: DataFrame) -> DataFrame:
-    """The pieces with a checksum in place of their ids."""
-    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    ids = T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.BinaryType())
+    own = [kind, T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), ids]
+    schema = T.StructType([*own, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
+
+    def packed(rows: DataFrame, round_: int, last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark.sql.pandas.types import to_arrow_type
+
+            types = [to_arrow_type(f.dataType) for f in own]
+            found = read_pieces(batches) if round_ else cut_pieces(batches, path, most, zlib.crc32 if digest else bytes)
+            for columns, sizes, bins, still in packed_blocks(found, most, block, packer, round_, last):
+                offsets = places(sizes, bins)
+                for at in range(0, len(sizes), 4 * BATCH_ROWS):
+                    to = at + 4 * BATCH_ROWS
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c[at:to], t) for c, t in zip(columns, types)], pa.array(bins[at:to]), pa.array(offsets[at:to]), pa.array(still[at:to])], schema.names)
+
+        return rows.mapInArrow(run, schema)
+
+    return in_rounds(packed, src, lambda rows: rows.select([f.name for f in own]), block)

@@ -45,7 +45,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.with_digest(packing.pack(table(spark, sf_dir, "documents")))
+    return packing.pack(table(spark, sf_dir, "documents"), digest=True)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

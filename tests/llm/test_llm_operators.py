@@ -240,9 +240,34 @@ def test_packing(spark, texts):
     assert len(by) <= 1.02 * sum(len(x) for x in want.values()) / 2048 + 2
 
 
+@pytest.mark.parametrize("tasks", [1, 8, 64])
+def test_packing_does_not_depend_on_the_split(spark, tasks):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").repartition(tasks)
+    rows = packing.pack(docs, digest=True).agg(F.sum("length"), F.countDistinct("sequence_id"), F.countDistinct("doc_id", "piece"), F.count("*")).first()
+    assert rows[1] <= 1.01 * -(-rows[0] // 2048) + 1 and rows[2] == rows[3]
+    m = binary.packed_rows(docs).agg(F.sum("n_tokens"), F.count("*"), F.countDistinct("sequence_id")).first()
+    assert m[0] == rows[0] and m[1] == m[2] <= 1.01 * -(-rows[0] // 2048) + 1
+
+
+def test_matrices_against_brute_force(spark, texts):
+    want = ids_of(texts)
+    seen = Counter()
+    for r in queries.op5_token_matrices(spark, SF).collect():
+        matrix, position = np.zeros(2048, "<u4"), np.zeros(2048, "<u4")
+        for doc, piece, a, b in zip(r["doc_ids"], r["pieces"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            start, end = list(tokens.cuts(len(want[doc]), 2048))[piece]
+            assert b - a == end - start
+            matrix[a:b], position[a:b] = want[doc][start:end], np.arange(b - a)
+            seen[doc, piece] += 1
+        assert (r["ids_crc32"], r["positions_crc32"]) == (zlib.crc32(matrix.tobytes()), zlib.crc32(position.tobytes()))
+        assert r["n_tokens"] == r["cu_seqlens"][-1] and r["n_segments"] == len(r["pieces"])
+    assert seen == Counter((i, k) for i, x in want.items() for k, _ in enumerate(tokens.cuts(len(x), 2048)))
+
+
 def test_blocks_bound_memory(spark, docs, texts):
-    a = packing.pack(docs, block=1 << 14)
-    assert sum(r["length"] for r in a.collect()) == sum(len(x) for x in ids_of(texts).values())
+    want = ids_of(texts)
+    got = packing.pack(docs, block=1 << 14).collect()
+    assert sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in got) == sorted((i, a, x[a:b].tobytes()) for i, x in want.items() for a, b in tokens.cuts(len(x), 2048))
 
 
 @pytest.mark.parametrize("seed", range(4))
