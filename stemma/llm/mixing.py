@@ -1,34 +1,45 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents are summed to cells (source, language, topic) by tokens. Factors of
-the cells are raked, one margin after the other, until the cells' tokens have
-the wanted shares of sources, languages and topics; the factors are scaled to
-the token budget, with no probability above 1, and each document is kept with
-its cell's probability by a number drawn from its id. Only DataFrame functions
-run; the table of cells, whose rows are the combinations that occur, is the
-only thing that is raked.
+Documents are summed to cells (source, language, topic) by tokens. A cell's
+factor is the product of a factor of each of its categories. These are raked,
+one margin after the other, until the cells' tokens have the target shares of
+sources, languages and topics: a margin's factors are its goals over its sums
+under the other margins' factors. It ends when no factor changes by more than
+RESIDUAL, or after ROUNDS. The factors are scaled to the token budget, with no
+probability above 1, and each document is kept with its cell's probability by a
+number drawn from its id. Only DataFrame functions run. What is raked is the
+table of cells, a row for each combination that occurs; every sum over it is a
+grouping with partial sums, and only three numbers come to the driver at once.
 
 Defined results: null sources, languages and topics are each a category of
 their own ("?"); a null or empty text counts one token; a null id draws from
 the text; rows of equal id and text are kept or left out together; an empty
-table gives no rows. A cell whose probability reaches 1 falls short of its
-share if the budget asks for more than it has.
+table gives no rows; categories without a weight get none of the tokens, and if
+none of a margin's has any, nothing is kept. A cell whose probability reaches 1
+falls short of its share if the budget asks for more than it has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import col, shared_checkpoint, without
+from stemma.llm.common import col, shared_table, without
 
 MARGINS = ("source", "lang", "topic")
-#: Target shares are the margins' own shares to these powers: below 1 lifts the rare.
-POWERS = {"source": 0.3, "lang": 0.7, "topic": 1.0}
-#: Rounds of raking, rounds of fitting the budget, and the share of all tokens to keep.
-ROUNDS, FITS, BUDGET = 12, 8, 0.6
+#: Target weights of the categories, ``*`` of each category that isn't named; shares are weights over the sum of those that occur.
+TARGETS: dict[str, dict[str, float]] = {
+    "source": {"*": 1.0},
+    "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.12, "*": 0.03},
+    "topic": {"prose": 0.88, "legal": 0.03, "tabular": 0.02, "noisy": 0.05, "*": 0.02},
+}
+#: Rounds of raking at most, the change of a factor at which it ends, rounds of fitting the budget, and the share of all tokens to keep.
+ROUNDS, RESIDUAL, FITS, BUDGET = 40, 1e-12, 8, 0.6
+#: Rounds that the SQL form writes out.
+SQL_ROUNDS = 14
 
 
 def token_estimate(text: Column) -> Column:
@@ -48,46 +59,58 @@ def draw(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def rake(cells: DataFrame, margins: Sequence[str] = MARGINS, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Cells (the margins and ``tokens``) with ``factor``: tokens * factor has the wanted margins and sums to 1.
+def weight(category: Column, weights: Mapping[str, float]) -> Column:
+    out = F.lit(float(weights.get("*", 0.0)))
+    for name, w in weights.items():
+        if name != "*":
+            out = F.when(category == name, F.lit(float(w))).otherwise(out)
+    return out
 
-    ``targets`` gives shares by margin and category in place of powers; shares
-    of categories that don't occur go to the others in proportion.
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, rounds: int = ROUNDS, residual: float = RESIDUAL) -> DataFrame:
+    """Cells (the targets' margins and ``tokens``) with ``factor``: tokens * factor has the target shares and sums to 1.
+
+    A category whose cells all have factor 0 through other margins keeps 0.
+    Each step's factors are written and read again: so plans stay short, and
+    joins go by the real sizes of the tables.
     """
+    margins = list(targets)
+    goals, factors = {}, {}
     for m in margins:
-        own = F.sum("tokens").over(Window.partitionBy(m))
-        if targets and m in targets:
-            given = F.coalesce(F.create_map([F.lit(x) for kv in targets[m].items() for x in kv])[F.col(m)], F.lit(0.0))
-        else:
-            given = F.pow(own, F.lit(powers.get(m, 1.0)))
-        cells = cells.withColumn(f"__given_{m}", given)
-        # a category's share counts once, whatever the number of its cells
-        first = F.row_number().over(Window.partitionBy(m).orderBy(*margins)) == 1
-        cells = cells.withColumn("__once", F.when(first, F.col(f"__given_{m}")).otherwise(0.0))
-        cells = cells.withColumn(f"__goal_{m}", F.col(f"__given_{m}") / F.sum("__once").over(Window.partitionBy())).drop(f"__given_{m}", "__once")
-    cells = shared_checkpoint(cells.withColumn("factor", 1.0 / F.sum("tokens").over(Window.partitionBy())))
-    for r in range(rounds):
+        own = cells.select(m).distinct().withColumn("w", weight(F.col(m), targets[m]))
+        every = own.agg(F.sum("w")).first()[0] or 0.0
+        goals[m] = shared_table(own.select(m, (F.col("w") / every if every else F.lit(0.0)).alias("goal")))
+        factors[m] = goals[m].select(m, F.lit(1.0).alias(f"f_{m}"))
+    for _ in range(rounds):
+        moved = []
         for m in margins:
-            now = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(m))
-            cells = cells.withColumn("factor", F.when(now > 0, F.col("factor") * F.col(f"__goal_{m}") / now).otherwise(0.0))
-        if r % 4 == 3:
-            cells = shared_checkpoint(cells)
-    return cells.drop(*[f"__goal_{m}" for m in margins])
+            under = reduce(lambda x, o: x.join(factors[o], o), [o for o in margins if o != m], cells)
+            now = under.groupBy(m).agg(F.sum(reduce(lambda x, o: x * F.col(f"f_{o}"), [o for o in margins if o != m], F.col("tokens"))).alias("now"))
+            new = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
+            both = now.join(goals[m], m).join(factors[m], m).select(m, new.alias("new"), F.col(f"f_{m}").alias("old"))
+            both = shared_table(both)
+            factors[m] = both.select(m, F.col("new").alias(f"f_{m}"))
+            moved.append(both.select("new", "old"))
+        change = F.max(F.when(F.col("old") != 0, F.abs(F.col("new") / F.col("old") - 1)).otherwise(F.col("new")))
+        if (reduce(DataFrame.unionByName, moved).agg(change).first()[0] or 0.0) <= residual:
+            break
+    every = reduce(lambda x, m: x.join(factors[m], m), margins, cells)
+    return every.select(*cells.columns, reduce(lambda x, y: x * y, [F.col(f"f_{m}") for m in margins]).alias("factor"))
 
 
 def probabilities(cells: DataFrame, budget: float = BUDGET, fits: int = FITS) -> DataFrame:
     """Cells with ``probability``: factors scaled so that expected tokens meet the budget, as far as probabilities up to 1 allow."""
-    every = Window.partitionBy()
-    goal = budget * F.sum("tokens").over(every)
-    p = F.least(F.col("factor") * goal, F.lit(1.0))
-    cells = cells.withColumn("probability", p)
+    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    scale = goal = budget * total
     for _ in range(fits):
-        full = F.col("probability") >= 1.0
-        at_one = F.sum(F.when(full, F.col("tokens")).otherwise(0.0)).over(every)
-        free = F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("probability"))).over(every)
-        scaled = F.least(F.col("probability") * F.greatest(goal - at_one, F.lit(0.0)) / free, F.lit(1.0))
-        cells = cells.withColumn("probability", F.when(full | (free <= 0), F.col("probability")).otherwise(scaled))
-    return cells
+        full = F.col("factor") * scale >= 1
+        at_one, free = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("factor")))).first()
+        if not free:
+            break
+        scale, before = max(goal - at_one, 0.0) / free, scale
+        if scale == before:
+            break
+    return cells.withColumn("probability", F.least(F.col("factor") * scale, F.lit(1.0)))
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
@@ -99,14 +122,14 @@ def with_cells(docs: DataFrame) -> DataFrame:
     )
 
 
-def sampled(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def sampled(docs: DataFrame, budget: float = BUDGET, targets: Mapping[str, Mapping[str, float]] = TARGETS) -> DataFrame:
     """(row, topic, tokens, probability, kept) of every document."""
     rows = with_cells(docs)
-    cells = rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    cells = shared_checkpoint(probabilities(rake(shared_checkpoint(cells), powers=powers, targets=targets), budget)).select(*MARGINS, "probability")
+    cells = shared_table(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    cells = shared_table(probabilities(shared_table(rake(cells, {m: targets[m] for m in MARGINS})), budget)).select(*MARGINS, "probability")
     # categories that occur: documents stay in place up to this many cells, else both sides are shuffled
     joined = rows.join(F.broadcast(cells) if cells.count() <= 200_000 else cells, list(MARGINS))
-    p = F.round("probability", 9)
+    p = F.round("probability", 6)
     return joined.select("row", "topic", F.col("tokens").cast("long").alias("tokens"), p.alias("probability"), (F.col("draw") < p).alias("kept"))
 
 
@@ -121,24 +144,25 @@ def keep_sample(docs: DataFrame, **options) -> DataFrame:
     return sampled(docs, **options).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def sql(margins: Sequence[str] = MARGINS, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, fits: int = FITS, budget: float = BUDGET) -> str:
+def sql(targets: Mapping[str, Mapping[str, float]] = TARGETS, rounds: int = SQL_ROUNDS, fits: int = FITS, budget: float = BUDGET) -> str:
     """The same rows by DuckDB, with every round written out."""
+    of = lambda m: "CASE " + " ".join(f"WHEN {m} = '{k}' THEN {w}" for k, w in targets[m].items() if k != "*") + f" ELSE {targets[m].get('*', 0.0)} END" if len(targets[m]) > 1 else str(targets[m]["*"])
     parts = ["""d AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang,
   CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'tabular' WHEN contains(coalesce(text, ''), '***') OR contains(coalesce(text, ''), '!!') OR contains(coalesce(text, ''), '###') THEN 'noisy'
     WHEN contains(coalesce(text, ''), 'icense') OR contains(coalesce(text, ''), 'ights reserved') THEN 'legal' ELSE 'prose' END AS topic,
   greatest(ceil(strlen(coalesce(text, '')) / 4), 1)::DOUBLE AS tokens,
   ('0x' || substring(md5(coalesce(doc_id::VARCHAR, 't' || coalesce(text, ''))), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM documents)""",
         "c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL)"]
-    for m in margins:
-        parts.append(f"g_{m} AS (SELECT {m}, pow(sum(tokens), {powers.get(m, 1.0)}) / sum(pow(sum(tokens), {powers.get(m, 1.0)})) OVER () AS goal_{m} FROM c GROUP BY {m})")
-    parts.append("r0 AS (SELECT c.*, " + ", ".join(f"goal_{m}" for m in margins) + ", 1.0::DOUBLE / sum(tokens) OVER () AS factor FROM c " + " ".join(f"JOIN g_{m} USING ({m})" for m in margins) + ")")
+    for m in targets:
+        parts.append(f"g_{m} AS (SELECT {m}, w / sum(w) OVER () AS goal_{m} FROM (SELECT DISTINCT {m}, ({of(m)})::DOUBLE AS w FROM c))")
+    parts.append("r0 AS (SELECT c.*, " + ", ".join(f"goal_{m}" for m in targets) + ", 1.0::DOUBLE AS factor FROM c " + " ".join(f"JOIN g_{m} USING ({m})" for m in targets) + ")")
     k = 0
     for _ in range(rounds):
-        for m in margins:
+        for m in targets:
             parts.append(f"r{k + 1} AS MATERIALIZED (SELECT * REPLACE (factor * goal_{m} / sum(tokens * factor) OVER (PARTITION BY {m}) AS factor) FROM r{k})")
             k += 1
-    parts.append(f"p0 AS (SELECT source, lang, topic, tokens, {budget} * sum(tokens) OVER () AS goal, least(factor * {budget} * sum(tokens) OVER (), 1.0::DOUBLE) AS p FROM r{k})")
+    parts.append(f"s0 AS MATERIALIZED (SELECT {budget} * sum(tokens) AS goal, {budget} * sum(tokens) AS scale FROM c)")
     for i in range(fits):
-        free, one = "sum(CASE WHEN p >= 1 THEN 0 ELSE tokens * p END) OVER ()", "sum(CASE WHEN p >= 1 THEN tokens ELSE 0 END) OVER ()"
-        parts.append(f"p{i + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN p >= 1 OR {free} <= 0 THEN p ELSE least(p * greatest(goal - {one}, 0) / {free}, 1.0::DOUBLE) END AS p) FROM p{i})")
-    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, d.tokens::BIGINT AS tokens, round(p, 9) AS probability, draw < round(p, 9) AS kept FROM d JOIN p{fits} USING (source, lang, topic)"
+        free, one = "sum(CASE WHEN factor * scale >= 1 THEN 0 ELSE tokens * factor END)", "sum(CASE WHEN factor * scale >= 1 THEN tokens ELSE 0 END)"
+        parts.append(f"s{i + 1} AS MATERIALIZED (SELECT goal, CASE WHEN {free} > 0 THEN greatest(goal - {one}, 0) / {free} ELSE scale END AS scale FROM r{k}, s{i} GROUP BY goal, scale)")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, source, lang, topic, d.tokens::BIGINT AS tokens, round(least(factor * scale, 1.0), 6) AS probability, draw < round(least(factor * scale, 1.0), 6) AS kept FROM d JOIN r{k} USING (source, lang, topic), s{fits}"
