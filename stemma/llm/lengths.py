@@ -22,7 +22,7 @@ from stemma.llm import tokens
 from stemma.llm.common import map_rows, shared_checkpoint
 
 #: Lengths in a range.
-RANGE = 1024
+RANGE = 64
 
 
 def token_lengths(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def context_limits(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
     hist = hist.withColumn("part", F.floor(F.col("length") / RANGE)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
     down = Window.partitionBy("part").orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, 0)
     parts = hist.groupBy("part").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
-    over = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 1,024 lengths
+    over = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 64 lengths
     every = Window.partitionBy()
     above = parts.select("part", _or0(F.sum("d").over(over)).alias("docs_above"), _or0(F.sum("t").over(over)).alias("tokens_above"), F.sum("d").over(every).alias("all_docs"), F.sum("t").over(every).alias("total_tokens"))
     x = hist.join(above, "part")
