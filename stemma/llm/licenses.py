@@ -152,8 +152,9 @@ def candidate_spans(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     limits = [least_hits(len(words(text.encode())), least_share(text)) for _, text in templates]
     need, reach = (F.element_at(F.array(*[F.lit(x[k]) for x in limits]), F.col("template") + 1) for k in (0, 1))
     hits = hits.groupBy("doc_id", "row", "template").agg(F.array_sort(F.collect_set(F.struct("place", "at"))).alias("own"))
-    near = F.exists(F.sequence(F.lit(1), F.size("own") - need + 1), lambda i: F.element_at("own", (i + need - 1).cast("int"))["place"] - F.element_at("own", i)["place"] <= reach)
-    hits = hits.where(F.when(F.size("own") >= need, near).otherwise(False)).select("doc_id", "row", "template", F.inline("own"))
+    hits = hits.withColumn("at_all", F.array_distinct(F.transform("own", lambda x: x["place"])))
+    near = F.exists(F.sequence(F.lit(1), F.size("at_all") - need + 1), lambda i: F.element_at("at_all", (i + need - 1).cast("int")) - F.element_at("at_all", i) <= reach)
+    hits = hits.where(F.when(F.size("at_all") >= need, near).otherwise(False)).select("doc_id", "row", "template", F.inline("own"))
     votes = hits.groupBy("doc_id", "row", "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("votes"))
     order = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal")
     new = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= GAP, 0).otherwise(1)
