@@ -283,3 +283,14 @@ ANNEX_PART_TAIL = r"_(art|art\.|preambolo|par|sez|comma)_?[0-9a-zA-Z._-]+$"
 MODIFICATION_KINDS = (("insertion", "inserimento"), ("substitution", "sostituzione"), ("repeal", "abrogazione"))
 RECEIVED_WORDS = (("abrogat", "abrogazione"), ("soppresso", "soppressione"))
 MADE_WORDS = (*RECEIVED_WORDS, ("sostituito", "sostituzione"), ("aggiunto", "inserimento"))
+
+# Forms of references.
+URN = r"^(urn:nir:[^:]+):([^:]+):([^;]+);(.+)$"
+AKN = r"^/akn/[^/]+/act/([^/]+)/([^/]+)/([0-9]{4}(?:-[0-9]{2}-[0-9]{2})?)/([^/!#]+)(?:[/!](.+))?$"
+LAW_HREF = r"/akn/it/act/([^/]+)/([^/]+)/([0-9]{4}-[0-9]{2}-[0-9]{2})/([^/]+)/!main"
+FRAGMENT_ARTICLE = r"art(?:icolo)?[\._]?\s*([0-9]+(?:[_\.\-][a-z0-9]+)?)"
+FRAGMENT_ANNEX = r"allegat[oa]?[\._\s]?([0-9a-z._\-]*)"
+REPEALED_MARK = "[NORMA ABROGATA] "
+# Types in the names of graph columns, and a column by its later name.
+COLUMN_TYPE = r"(:DATE|:INT|:ID\([^)]+\))$"
+COLUMN_NAMES = {"stato_temporale": "stato_vigenza"}

@@ -92,7 +92,7 @@ def realigned(kind: Column, is_current: Column) -> Column:
 
 
 def marked_repealed(text: Column, state_: Column) -> Column:
-    return F.when(state_ == "ABROGATO", F.concat(F.lit("[NORMA ABROGATA] "), text)).otherwise(text)
+    return F.when(state_ == "ABROGATO", F.concat(F.lit(P.REPEALED_MARK), text)).otherwise(text)
 
 
 def skipped_node(text: Column, title: Column) -> Column:
@@ -124,8 +124,8 @@ def _underscored(x: Column) -> Column:
 def fragment(f: Column) -> Column:
     """A fragment's normal form: an article, an annex, a plain id, or what is left of it."""
     low = F.lower(squish(F.coalesce(f, F.lit(""))))
-    art = F.regexp_extract(low, r"art(?:icolo)?[\._]?\s*([0-9]+(?:[_\.\-][a-z0-9]+)?)", 1)
-    annex = r"allegat[oa]?[\._\s]?([0-9a-z._\-]*)"
+    art = F.regexp_extract(low, P.FRAGMENT_ARTICLE, 1)
+    annex = P.FRAGMENT_ANNEX
     suffix = _underscored(F.regexp_replace(F.trim(F.regexp_extract(low, annex, 1)), r"[.\-\s]+", "_"))
     rest = _underscored(F.regexp_replace(F.regexp_replace(low, r"[\s\.]+", "_"), "[^a-z0-9_]", ""))
     out = F.when(low.isin("", "main", "!main"), "").when(art != "", F.concat(F.lit("art_"), F.regexp_replace(art, r"[.\-]", "_")))
@@ -133,10 +133,6 @@ def fragment(f: Column) -> Column:
     return out.when(low.rlike("^[a-z][a-z0-9_]*$"), low).otherwise(rest)
 
 
-URN = r"^(urn:nir:[^:]+):([^:]+):([^;]+);(.+)$"
-AKN = r"^/akn/[^/]+/act/([^/]+)/([^/]+)/([0-9]{4}(?:-[0-9]{2}-[0-9]{2})?)/([^/!#]+)(?:[/!](.+))?$"
-
-
 def urn_of(href: Column) -> Column:
     """A reference as a URN with a normal fragment; unknown forms stay as they are."""
     h = F.regexp_replace(F.trim(href), "~", "#")
@@ -144,11 +140,17 @@ def urn_of(href: Column) -> Column:
     base, frag = F.trim(F.get(parts, F.lit(0))), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
     joined = lambda urn, f: F.concat(urn, F.when(f != "", F.concat(F.lit("#"), f)).otherwise(""))
     g = lambda p, i: F.regexp_extract(base, p, i)
-    urn = F.concat(g(URN, 1), F.lit(":"), urn_type(g(URN, 2)), F.lit(":"), g(URN, 3), F.lit(";"), g(URN, 4))
-    akn = F.concat(F.lit("urn:nir:stato:"), urn_type(g(AKN, 1)), F.lit(":"), g(AKN, 3), F.lit(";"), g(AKN, 4))
-    inner = F.regexp_replace(g(AKN, 5), "^!?main/?", "")
-    out = F.when(F.coalesce(h, F.lit("")) == "", None).when(base.rlike(URN), joined(urn, fragment(frag))).when(base.startswith("urn:nir"), base)
-    return out.when(base.rlike(AKN), joined(akn, fragment(F.when(frag != "", frag).otherwise(inner)))).otherwise(h)
+    urn = F.concat(g(P.URN, 1), F.lit(":"), urn_type(g(P.URN, 2)), F.lit(":"), g(P.URN, 3), F.lit(";"), g(P.URN, 4))
+    akn = F.concat(F.lit("urn:nir:stato:"), urn_type(g(P.AKN, 1)), F.lit(":"), g(P.AKN, 3), F.lit(";"), g(P.AKN, 4))
+    inner = F.regexp_replace(g(P.AKN, 5), "^!?main/?", "")
+    out = F.when(F.coalesce(h, F.lit("")) == "", None).when(base.rlike(P.URN), joined(urn, fragment(frag))).when(base.startswith("urn:nir"), base)
+    return out.when(base.rlike(P.AKN), joined(akn, fragment(F.when(frag != "", frag).otherwise(inner)))).otherwise(h)
+
+
+def law_urn(href: Column) -> Column:
+    """The law that a passive reference names, as a URN; null for other forms."""
+    g = lambda i: F.regexp_extract(href, P.LAW_HREF, i)
+    return F.when(g(1) != "", F.concat(F.lit("urn:nir:"), F.lower(g(2)), F.lit(":"), F.lower(F.regexp_replace(g(1), "_", ".")), F.lit(":"), g(3), F.lit(";"), g(4)))
 
 
 def node_id(e_id: Column, opening: Column) -> Column:

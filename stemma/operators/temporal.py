@@ -6,6 +6,7 @@ takes one shuffle on the partition id.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,13 +69,13 @@ def overlap_join(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.join(windows, "partition_id").where("start <= to and end >= from")
 
 
-def file_versions(files: DataFrame, original_date: Column) -> DataFrame:
-    """(path, is_original, version, start) from file names; malformed ones are dropped, and so are later files of one date and version."""
+def file_versions(files: DataFrame, original_date: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(path, is_original, version, start) from file names, with the columns that files are told apart by; malformed ones are dropped, and so are later files of one date and version."""
     name = F.element_at(F.split("path", "/"), -1)
-    x = files.select("path", name.alias("name"), name.contains("_ORIGINALE_").alias("is_original"))
+    x = files.select("path", *by, name.alias("name"), name.contains("_ORIGINALE_").alias("is_original"))
     v = F.nullif(F.regexp_extract("name", r"_V([0-9]+)", 1), F.lit("")).cast("int")
     d = F.try_to_date(found(F.col("name"), r"_VIGENZA_([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd")
     x = x.withColumn("start", F.when(F.col("is_original") & original_date.isNotNull(), original_date).otherwise(d))
     x = x.withColumn("version", F.coalesce(v, F.when(F.col("is_original"), 1))).where("start is not null and version is not null")
-    w = Window.partitionBy("start", "version").orderBy("path")
+    w = Window.partitionBy(*by, "start", "version").orderBy("path")
     return x.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "name")

@@ -558,3 +558,6 @@ def index_documents(spark, sf_dir):
     number = F.concat(F.lit("Art. "), (F.col("partition_id") % 90).cast("string"), F.when(F.col("partition_id") % 4 == 0, " bis").otherwise(""))
     rows = t.select(F.concat(pid, F.lit("_V"), F.col("n").cast("string")).alias("versione_id"), number.alias("numero"), F.col("state").alias("codice_breve_atto"), F.col("start").cast("string").alias("valido_dal"), F.col("end").cast("string").alias("valido_al"), F.col("status").alias("stato_vigenza"))
     return documents(rows).select("partizione_id", "versione_id", "title", "numero_puro", "valido_dal_raw", "valido_al_raw", "is_current")
+
+
+from stemma.plans import etl  # noqa: E402, F401  (adds its queries)

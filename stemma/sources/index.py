@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.functions import patterns as P
 from stemma.functions.text import embedding_text, first_filled, int_date, number_tag, partition_of
 from stemma.operators.temporal import FAR_INTS
 
@@ -26,6 +29,33 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return x.select(*[F.coalesce(F.col(f"v.`{n}`"), F.col(f"`{n}`")) if n in x.columns else F.col(f"v.`{n}`").alias(n) for n in inner], *[c for c in x.columns if c != "v" and c not in inner])
 
 
+def clean_columns(df: DataFrame) -> DataFrame:
+    """Column names of the graph's CSV without their types, by their later names; ``stato_vigenza`` is there in any case."""
+    names = [re.sub(P.COLUMN_TYPE, "", c) for c in df.columns]
+    out = df.toDF(*[P.COLUMN_NAMES.get(c, c) for c in names])
+    return out if "stato_vigenza" in out.columns else out.withColumn("stato_vigenza", F.lit(None).cast("string"))
+
+
+def write_graph(tables: dict[str, DataFrame], path: str) -> list[str]:
+    """Each table as CSV in a folder of its name; empty ones are left out, and named in the result."""
+    empty = []
+    for name, df in tables.items():
+        held = df.persist()
+        try:
+            if held.isEmpty():
+                empty.append(name)
+            else:
+                write_csv(held, f"{path}/{name}")
+        finally:
+            held.unpersist()
+    return empty
+
+
+def write_partial(rows: DataFrame, path: str, by: str = "act") -> None:
+    """A table in parts, one folder an act; a part that is written again replaces its own folder only."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def read_partials(spark: SparkSession, paths: list[str], key: str | None = None) -> DataFrame:
     """CSV tables joined by column name, missing columns null; one row a key (or each row once)."""
     out: DataFrame | None = None
