@@ -17,6 +17,7 @@ smallest; very long texts are scored whole, in parts.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,7 +73,7 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def symbol_vectors(texts: list[np.ndarray]) -> np.ndarray:
+def symbol_vectors(texts: Iterable[np.ndarray]) -> np.ndarray:
     """Random indexing over the texts' symbols."""
     index = index_vectors()
     around = np.zeros_like(index)
@@ -85,7 +86,9 @@ def symbol_vectors(texts: list[np.ndarray]) -> np.ndarray:
                 first = runs(a[order])
                 around[a[order][first]] += np.add.reduceat(index[b[order]], first, axis=0)
     norm = np.linalg.norm(around, axis=1, keepdims=True)
-    return index + around / np.where(norm > 0, norm, 1)
+    around /= np.where(norm > 0, norm, 1)
+    around += index
+    return around
 
 
 @dataclass
@@ -149,7 +152,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
     y = np.asarray(labels, np.float64)
     if not len(y):
         return Model(index_vectors(), np.zeros(SIZE), np.ones(SIZE), [np.zeros((SIZE, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), np.zeros(())])
-    vectors = symbol_vectors([symbols(t) for t in texts])
+    vectors = symbol_vectors(symbols(t) for t in texts)
     x = np.array([pooled(vectors, t) for t in texts])
     mean, spread = x.mean(0), x.std(0) + 1e-3
     x = (x - mean) / spread
@@ -167,8 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     y = {r["doc_id"]: r["quality"] for r in few}
     ids = docs.sparkSession.createDataFrame([(k,) for k in y], T.StructType([T.StructField("doc_id", labels.schema["doc_id"].dataType)]))
     mine = docs.select("doc_id", F.substring(text_bytes(), 1, BYTES_A_DOC).alias("t"))
-    got = mine.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("t").alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    return train([bytes(r["t"]) for r in got], np.array([y[r["doc_id"]] for r in got]))
+    got = mine.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("t").alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator()
+    texts, good = [], []
+    for r in got:
+        texts.append(bytes(r["t"]))
+        good.append(y[r["doc_id"]])
+    return train(texts, np.array(good))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, where: str | None = None) -> DataFrame:
