@@ -273,9 +273,13 @@ NUMBER_TAG = r"(?i)(\d+(?:[\-\s](?:bis|ter|quater|quinquies|sexies|septies|octie
 CODE_NAME = r"(?i)\bcodice\s+\w+(?:\s+(?:civile|penale|procedura|strada|navigazione))?\b"
 
 
-def code_patterns() -> list[tuple[str, str]]:
-    """All names of codes as patterns without look-around, in order."""
-    return [(rf"(?:^|[^\w]){p}(?:$|[^\w])", code) for p, code in ABBREVIATIONS] + list(NAMES)
+def code_patterns(plain: bool = False) -> list[tuple[str, str]]:
+    """All names of codes as patterns, in order; abbreviations stand between signs that are in no word of any script.
+
+    ``plain``: the same for engines without look-around, with ASCII words only.
+    """
+    edges = (r"(?:^|[^\w])", r"(?:$|[^\w])") if plain else (r"(?U)(?<![\w])", r"(?![\w])")
+    return [(edges[0] + p + edges[1], code) for p, code in ABBREVIATIONS] + list(NAMES)
 
 # Parts of annexes by their ids, and kinds of modification.
 ANNEX_PART = r"_(art|art\.|preambolo|par|sez|comma)_"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.functions.text import first_filled
+from stemma.functions.text import first_filled, sentences_once
 
 
 def until(end: Column) -> Column:
@@ -40,3 +40,26 @@ def history(contexts: DataFrame) -> DataFrame:
     g = x.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("start", "rank", line.alias("line")))).alias("l"), F.min_by(F.struct("number", F.coalesce(head, F.lit("")).alias("code")), F.struct("start", "rank")).alias("h"), F.max("versions").alias("n"))
     first = F.concat(F.lit("Storia di "), F.col("h.number"), F.lit(" "), F.col("h.code"), F.lit(" ("), F.col("n").cast("string"), F.lit(" versioni nel dataset)\n"))
     return g.select("qid", F.concat_ws("\n", first, F.array_join(F.transform("l", lambda s: s["line"]), "\n")).alias("answer"))
+
+
+def all_versions(articles: DataFrame, docs: DataFrame, size: int = 50) -> DataFrame:
+    """The versions of each asked article (qid, number, code, from, to), by date, at most ``size`` a question; several versions of a partition stay."""
+    d = docs.withColumnsRenamed({"numero_puro": "number", "codice_breve_atto": "code"})
+    x = d.join(articles, ["number", "code"]).where((F.col("valido_dal_raw") <= F.col("to")) & (F.col("valido_al_raw") >= F.col("from")))
+    w = Window.partitionBy("qid").orderBy("valido_dal_raw", "versione_id")
+    return x.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= size)
+
+
+def context_block(contexts: DataFrame, limit: int = 800) -> DataFrame:
+    """(qid, context): the numbered sources for a generator: head, validity, opening; contexts: qid, rank, number, code, title, start, end, state, text and, where asked, versions."""
+    code, title = F.coalesce("code", F.lit("")), F.coalesce("title", F.lit(""))
+    head = F.concat(F.coalesce("number", F.lit("")), F.when(code != "", F.concat(F.lit(" "), code)).otherwise(""), F.when(title != "", F.concat(F.lit(" — "), title)).otherwise(""))
+    state = F.when((F.coalesce("state", F.lit("")) != "") & (F.col("state") != "ATTIVO"), F.concat(F.lit(" ["), F.col("state"), F.lit("]"))).otherwise("")
+    several = F.lit("")
+    if "versions" in contexts.columns:
+        note = F.concat(F.lit("\n  ⚠ Nota: nel periodo richiesto valgono "), F.col("versions").cast("string"), F.lit(" versioni di questo articolo; è riportata quella in vigore più a lungo."))
+        several = F.when(F.col("versions") > 1, note).otherwise("")
+    text = F.substring(sentences_once(F.coalesce("text", F.lit(""))), 1, limit)
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), head, F.lit("\nVigenza: "), F.coalesce(F.col("start").cast("string"), F.lit("?")), F.lit(" → "), until(F.col("end")), state, several, F.lit("\nTesto: "), text, F.lit("\n\n"))
+    x = contexts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
+    return x.select("qid", F.array_join(F.transform("l", lambda s: s["line"]), "").alias("context"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.sources.staging import staged
+
 
 def evolution(timeline: DataFrame, law_of: DataFrame | None = None) -> DataFrame:
     """EVOLVE_IN: (start_id, end_id, partition_id, action, start, end, law): the later version's change, interval and law."""
@@ -88,6 +91,33 @@ def chain_depth(timeline: DataFrame) -> DataFrame:
     return timeline.select("version_id", "partition_id", (F.col("n") - 1).alias("depth"), F.count("*").over(w).alias("chain_length"))
 
 
+def depths(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(version_id, depth): steps from a chain's first version to each of its versions along EVOLVE_IN, by doubling the steps of each round."""
+    jump = edges.select(F.col("end_id").alias("version_id"), F.col("start_id").alias("back"), F.lit(1).cast("long").alias("steps")).distinct()
+    for _ in range(rounds):
+        jump = staged(jump)
+        far = jump.select(F.col("version_id").alias("back"), F.col("back").alias("__b"), F.col("steps").alias("__s"))
+        if not jump.join(far.select("back"), "back", "left_semi").head(1):
+            break
+        jump = jump.join(far, "back", "left").select("version_id", F.coalesce("__b", "back").alias("back"), (F.col("steps") + F.coalesce("__s", F.lit(0))).alias("steps"))
+    ends = jump.select("version_id", F.col("steps").alias("depth"))
+    first = jump.select(F.col("back").alias("version_id")).join(jump.select("version_id"), "version_id", "left_anti").distinct()
+    return ends.unionByName(first.withColumn("depth", F.lit(0).cast("long")))
+
+
+def around(nodes: DataFrame, edges: Sequence[DataFrame]) -> DataFrame:
+    """(node, other, edge): neighbours of the nodes over edge tables (start, end, edge), whichever way they point."""
+    every = reduce(DataFrame.unionByName, [e.select("start", "end", "edge") for e in edges])
+    both = every.select(F.col("start").alias("node"), F.col("end").alias("other"), "edge").unionByName(every.select(F.col("end").alias("node"), F.col("start").alias("other"), "edge"))
+    return both.join(nodes.select("node").distinct(), "node", "left_semi").distinct()
+
+
+def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Nodes by key: a new node's filled columns over those of the old one, new keys added."""
+    both = old.select(key, *[F.col(c).alias(f"__{c}") for c in old.columns if c != key]).join(new, key, "full")
+    return both.select(key, *[F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) for c in old.columns if c != key])
+
+
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """(name, rows) of each node and edge table."""
     one = [df.agg(F.count("*").alias("rows")).select(F.lit(k).alias("name"), "rows") for k, df in tables.items()]

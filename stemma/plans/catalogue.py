@@ -345,7 +345,7 @@ YEARS = f"list_sort(list_distinct(regexp_extract_all(d, {_rx(P.YEARS)}, 1)))"
 
 @query(f"""WITH {TALK}, q AS (SELECT id, text, lower(text) AS d, {YEARS.replace('(d,', '(lower(text),')} AS years, regexp_extract(lower(text), {_rx(P.ARTICLE_ASKED)}, 1) AS n FROM s)
 SELECT id, array_to_string(years, ',') AS years, CASE WHEN n <> '' AND NOT list_contains(years, regexp_extract(n, '^\\d+')) THEN n END AS article,
-  CASE {" ".join(f"WHEN regexp_matches(d, {_rx(p)}) THEN {_rx(c)}" for p, c in P.code_patterns())} END AS code FROM q""")
+  CASE {" ".join(f"WHEN regexp_matches(d, {_rx(p)}) THEN {_rx(c)}" for p, c in P.code_patterns(plain=True))} END AS code FROM q""")
 def question_filters(spark, sf_dir):
     q = F.col("text")
     return _talk(spark, sf_dir).select("id", F.array_join(questions.years(q), ",").alias("years"), questions.article(q).alias("article"), questions.short_code(q).alias("code"))
@@ -560,4 +560,4 @@ def index_documents(spark, sf_dir):
     return documents(rows).select("partizione_id", "versione_id", "title", "numero_puro", "valido_dal_raw", "valido_al_raw", "is_current")
 
 
-from stemma.plans import etl  # noqa: E402, F401  (adds its queries)
+from stemma.plans import etl, retrieval  # noqa: E402, F401  (they add their queries)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.functions import patterns as P
@@ -56,6 +56,29 @@ def write_partial(rows: DataFrame, path: str, by: str = "act") -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+QUESTIONS = "domanda string, tipo string, rilevanti array<struct<numero_puro string, codice_breve_atto string, grado int, valido_dal_raw int, valido_al_raw int, min_versioni int>>"
+
+
+def read_questions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Question sets (JSON arrays) as (file, qid, question, kind) and their criteria (file, qid, number, code, grade, from, to, versions); qid counts from 1 in each file."""
+    x = spark.read.schema(f"{QUESTIONS}").option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+    # a file is read by one task in order, so the rows' growing numbers keep its order
+    w = Window.partitionBy("file").orderBy("__at")
+    x = x.withColumn("__at", F.monotonically_increasing_id()).withColumn("qid", F.row_number().over(w)).drop("__at")
+    c = x.select("file", "qid", F.explode("rilevanti").alias("c"))
+    criteria = c.select("file", "qid", F.col("c.numero_puro").alias("number"), F.col("c.codice_breve_atto").alias("code"), F.col("c.grado").alias("grade"), F.col("c.valido_dal_raw").alias("from"), F.col("c.valido_al_raw").alias("to"), F.col("c.min_versioni").alias("versions"))
+    return x.select("file", "qid", F.col("domanda").alias("question"), F.col("tipo").alias("kind")), criteria
+
+
+def create_table(spark: SparkSession, path: str, like: DataFrame, force: bool = False) -> bool:
+    """An empty table with the columns of another; one that is there stays unless forced. True if it was made."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not force and there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return False
+    like.limit(0).write.mode("overwrite").parquet(path)
+    return True
+
+
 def read_partials(spark: SparkSession, paths: list[str], key: str | None = None) -> DataFrame:
     """CSV tables joined by column name, missing columns null; one row a key (or each row once)."""
     out: DataFrame | None = None
@@ -122,4 +145,6 @@ def write_dual(rows: DataFrame, all_path: str, current_path: str, mode: str = "e
     """All rows to one table, split by ``is_current`` so that either is read alone, and those in force to another."""
     whole, now = split_current(rows)
     whole.write.mode(mode).partitionBy("is_current").parquet(all_path)
-    now.write.mode(mode).parquet(current_path)
+    # from the table just written, so that the rows aren't made twice
+    written = rows.sparkSession.read.schema(rows.schema).parquet(all_path) if mode != "append" else now
+    written.where("is_current").select(*rows.columns).write.mode(mode).parquet(current_path)

@@ -17,12 +17,9 @@ SCHEMA = ", ".join(f"`{c}` string" for c in RECORD)
 
 
 def _there(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # the table does not exist before the first batch
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    """The table, unless no batch has made it yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
 
 
 def add_batch(batch: DataFrame, all_path: str, current_path: str) -> None:
@@ -51,7 +48,7 @@ def start(spark: SparkSession, folder: str, all_path: str, current_path: str, ch
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
 
 
-def refreshed(rows: DataFrame, status: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def refreshed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``is_current`` from the status anew, and the current table that follows from it."""
     x = rows.withColumn("is_current", F.col("stato_vigenza") == "VIGENTE")
     return x, x.where("is_current")

@@ -229,3 +229,24 @@ def test_answers(spark):
     assert d[0] == "Art. 1 c.c. [vigente dal 20000101 20051231] [STORICO]\n\nTesto nuovo" and d[2].startswith("Art. 1 — t [vigente dal 19800101 in vigore]")
     h = answers.history(df).first()["answer"].split("\n")
     assert h[0] == "Storia di Art. 1 c.c. (2 versioni nel dataset)" and h[2] == "  [19900101 → 19991231]" and h[3].endswith("...") and h[4] == "  [20000101 → 20051231] sostituzione [STORICO]"
+
+
+def test_search_in_blocks_is_the_joined_search(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = ["mare", "fondo", "legge", "vento", "ponte", "norma", "strada", "bosco"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(200)], "doc_id long, text string").repartition(3)
+    qs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=3))) for i in range(20)] + [(90, ""), (91, "altrove")], "qid int, text string")
+    vectors = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(150)], "doc_id long, vector array<float>").repartition(4)
+    asked = vectors.where("doc_id < 9").select(F.col("doc_id").alias("qid"), "vector")
+    rows = lambda df: sorted(tuple(r) for r in df.select("qid", "doc_id", "score", "rank").collect())
+    monkeypatch.setattr(search, "CELLS", 64)
+    a, b = rows(search.bm25(docs, qs, 5)), rows(search.nearest(vectors, asked, 4))
+    monkeypatch.setattr(search, "QUERIES", 1)
+    assert a and a == rows(search.bm25(docs, qs, 5)) and b and b == rows(search.nearest(vectors, asked, 4))
+    monkeypatch.setattr(search, "QUERIES", 100)
+    index = search.forward_index(docs)
+    assert a == rows(search.bm25(index, qs, 5, indexed=True))
+    assert search.bm25(docs.limit(0), qs, 5).collect() == [] and search.bm25(docs, qs.limit(0), 5).collect() == []
+    assert search.nearest(vectors, asked.limit(0), 4).collect() == []

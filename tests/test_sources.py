@@ -128,3 +128,57 @@ def test_ask(spark):
     assert got[1]["mode"] == "text" and "numero 10 versione" in got[1]["answer"] and "numero 11" not in got[1]["answer"]
     assert got[2]["mode"] == "history" and "versione 0" in got[2]["answer"] and "versione 1" in got[2]["answer"] and "numero 10" not in got[2]["answer"]
     assert got[3]["mode"] == "none"
+
+
+def test_graph_from_a_folder(spark, tmp_path):
+    from datetime import date
+
+    from stemma.operators import etl
+
+    act = tmp_path / "LEGGE_19900807_241"
+    act.mkdir()
+    (act / "LEGGE_19900807_241_ORIGINALE_.xml").write_text(XML)
+    later = XML.replace("Secondo testo.", "(abrogato)").replace("passiveModifications", "references").replace("/akn/it/act/legge/stato/2005-02-11/15", "/akn/it/act/decreto_legge/stato/2005-02-11/15/!main")
+    (act / "LEGGE_19900807_241_VIGENZA_2005-03-01_V2.xml").write_text(later)
+    (tmp_path / "altro").mkdir()
+    (tmp_path / "altro" / "x.xml").write_text(XML)
+    files = akn.read_files(spark, str(tmp_path))
+    assert [tuple(r) for r in etl.unknown_folders(files).collect()] == [("altro", 1)]
+    t = etl.tables(files, date(2024, 1, 1))
+    assert tuple(t) == etl.TABLES
+    urn = "urn:nir:stato:legge:1990-08-07;241"
+    assert {r["version_id"] for r in t["versions"].collect()} == {f"{urn}#art_1_V1", f"{urn}#art_2_V1", f"{urn}#art_2_V2", f"{urn}#all_allegato_a_V1"}
+    law = "urn:nir:stato:decreto.legge:2005-02-11;15"
+    assert [(r["end_id"], r["law"]) for r in t["evolves"].collect()] == [(f"{urn}#art_2_V2", law)]
+    assert [(r["partition_id"], r["law"], str(r["repealed"])) for r in t["repealed_by"].collect()] == [(f"{urn}#art_2", law, "2005-03-01")]
+    assert {r["state"] for r in t["versions"].where("partition_id like '%art_2' and n = 2").collect()} == {"ABROGATO"}
+    assert sorted(index.write_graph(t, str(tmp_path / "out"))) == ["cites_act", "part_of", "refers_to"]
+    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "versions"))
+    assert back.count() == 4 and back.where("text like '[NORMA ABROGATA]%'").count() == 1
+
+
+def test_ask_with_hooks(spark):
+    rows = [record(i, versione_id=f"u#art_{i}_V0", partizione_id=f"u#art_{i}", numero=f"Art. {i}", num_versione="0", testo_puro=t, stato_norma="ATTIVO") for i, t in ((10, "la locazione del fondo rustico"), (11, "il mutuo e gli interessi"))]
+    docs = index.documents(spark.createDataFrame(rows)).cache()
+    qs = spark.createDataFrame([(1, "Che regole per gli affitti di campagna?")], "qid int, question string")
+    expand = lambda q, code: F.concat(q, F.lit(" locazione fondo"))
+    evolves = spark.createDataFrame([("u#art_10", "legge 5", "sostituzione", 20010101)], "partition_id string, law string, action string, start int")
+    cites = spark.createDataFrame([("u#art_10_V0", "u#art_11")], "version_id string, target string")
+    seen = []
+
+    def generate(contexts):
+        seen.append(contexts.columns)
+        first = F.concat_ws("|", F.first("partition_id"), F.array_join(F.transform(F.first("laws"), lambda x: x["law"]), ","), F.array_join(F.first("cited"), ","))
+        return contexts.groupBy("qid").agg(first.alias("answer"))
+
+    assert ask.ask(qs, docs, 20240101).first()["mode"] == "none"
+    got = ask.ask(qs, docs, 20240101, generate, expand=expand, evolves=evolves, cites=cites).first()
+    assert got["mode"] == "generated" and got["answer"] == "u#art_10|legge 5|u#art_11" and "laws" in seen[0]
+
+
+def test_abbreviations_stand_alone_in_any_script(spark):
+    from stemma.functions.questions import short_code
+
+    qs = ["secondo il c.p. vigente", "èc.p. no", "art. 5 c.c."]
+    got = [r[0] for r in spark.createDataFrame([(q,) for q in qs], "q string").select(short_code(F.col("q"))).collect()]
+    assert got == ["c.p.", None, "c.c."]
