@@ -37,9 +37,7 @@ TARGETS: dict[str, dict[str, float]] = {
     "topic": {"prose": 0.88, "legal": 0.03, "tabular": 0.02, "noisy": 0.05, "*": 0.02},
 }
 #: Rounds of raking at most, the change of a factor at which it ends, rounds of fitting the budget, and the share of all tokens to keep.
-ROUNDS, RESIDUAL, FITS, BUDGET = 40, 1e-12, 8, 0.6
-#: Rounds that the SQL form writes out.
-SQL_ROUNDS = 14
+ROUNDS, RESIDUAL, FITS, BUDGET = 14, 1e-12, 8, 0.6
 
 
 def token_estimate(text: Column) -> Column:
@@ -144,7 +142,7 @@ def keep_sample(docs: DataFrame, **options) -> DataFrame:
     return sampled(docs, **options).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-def sql(targets: Mapping[str, Mapping[str, float]] = TARGETS, rounds: int = SQL_ROUNDS, fits: int = FITS, budget: float = BUDGET) -> str:
+def sql(targets: Mapping[str, Mapping[str, float]] = TARGETS, rounds: int = ROUNDS, fits: int = FITS, budget: float = BUDGET) -> str:
     """The same rows by DuckDB, with every round written out."""
     of = lambda m: "CASE " + " ".join(f"WHEN {m} = '{k}' THEN {w}" for k, w in targets[m].items() if k != "*") + f" ELSE {targets[m].get('*', 0.0)} END" if len(targets[m]) > 1 else str(targets[m]["*"])
     parts = ["""d AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang,
