@@ -2,18 +2,29 @@
 
 Corners (segment test on a circle of 16 pixels, strongest of their surrounding)
 are found on three scales; each is described by 64 binary brightness tests in
-its patch, turned by the patch's own orientation. Any two descriptors within
-three bits of each other, found through tables of their blocks, are a word. Words
-bring images together: any two images that share a word vote for the shift and
-scale at which it stands in both; two images with enough votes for one shift are
-copies, whole, cropped or edited. Groups are the connected components of such
-links. All pairs are compared: a word in n images gives n (n - 1) / 2 of them.
+its patch, turned by the patch's own orientation. Descriptors meet in four block
+tables of 16 bits, one of which any two within three bits share. Within a table
+near ones are joined to visual words, so that any two descriptors within three
+bits have a word in common. Words only bring images together; a pair of images
+is a link by its own features: all pairs of their descriptors within three bits
+vote for the shift and scale between their places, a descriptor once for a
+shift, and enough votes for one shift, onto either image, make it a copy: whole,
+cropped or edited. Groups are the connected components of all such links.
+
+No word's images are paired with each other. Each image is first compared with
+the image that most of its words stand in first; what belongs together by then
+needs no further comparison. Words whose images are still in several groups then
+give the pairs of images of different groups, if the descriptors that they have
+in such words could be enough votes. A word in over HOT images pairs only those
+which have enough of their descriptors in such words to be linked by them alone;
+all other links have a rarer word too. So the work grows with the words, not
+with the square of a group of copies.
 
 Defined results: null, empty and unreadable images have no features and a group
 of their own, unless another has the same bytes; images of equal bytes are one
 before anything is compared; a descriptor that repeats in an image votes from
-all its places, once for a shift; null ids belong to no group; repeated rows count once; an
-empty table gives no rows.
+all its places; null ids belong to no group; repeated rows count once; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +34,16 @@ import re
 import struct
 import zlib
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.llm.common import col, connected_components, map_rows, shared_checkpoint, shared_table
-from stemma.llm.simhash import fingerprint_links
+from stemma.llm.common import col, connected_components, drop_table, map_rows, shared_checkpoint, shared_table, sliced
+from stemma.llm.simhash import GrayIndex, _merge
 
 #: Brightness step of a corner, scales, half a patch, pixels around in which a corner is the strongest, bits that may differ.
 STEP, SCALES, HALF, AROUND, RADIUS = 30, 3, 6, 2, 3
@@ -38,6 +51,10 @@ STEP, SCALES, HALF, AROUND, RADIUS = 30, 3, 6, 2, 3
 VOTES, SHARE = 6, 0.2
 #: Pixels described at once.
 PIXELS = 1 << 17
+#: Images in a word beyond which it pairs only those that it could link; pairs up to which they are broadcast (16 bytes each).
+HOT, BROADCAST_PAIRS = 1024, 1_000_000
+#: Descriptors that a task hands on at once, in how many parts a block table is gone through, descriptors compared one by one, pairs of descriptors at once.
+CHUNK, PARTS, WINDOW, CELLS = 1 << 19, 2, 2048, 1 << 22
 _ANGLES, _TESTS = 16, 64
 
 
@@ -257,9 +274,8 @@ def _shrunk(x: np.ndarray, level: int) -> np.ndarray:
     return x
 
 
-def with_features(images: DataFrame, image_id: str) -> DataFrame:
-    """(id, n_features, xs, ys, levels, bits): each image's corners on all scales, as arrays of equal lengths."""
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+def with_features(images: DataFrame, keep: list[str]) -> DataFrame:
+    """The kept columns with n_features and the corners on all scales: bits (64-bit), xs, ys (32-bit) and levels (8-bit), little-endian arrays."""
 
     def make():
         def fn(data: pa.Array):
@@ -273,82 +289,261 @@ def with_features(images: DataFrame, image_id: str) -> DataFrame:
                     to += 1
                 got += features(own[at:to])
                 at = to
-            counts = np.array([len(g[0]) for g in got], np.int32)
-            starts = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
-            flat = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate([g[k] for g in got]), kinds[k])) for k in range(4)]
-            return counts, *flat
+            packed = lambda k, kind: [g[k].astype(kind).tobytes() for g in got]
+            return [len(g[0]) for g in got], packed(3, "<i8"), packed(0, "<i4"), packed(1, "<i4"), packed(2, "i1")
+
+        return fn
+
+    out = [T.StructField("n_features", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in ARRAYS]]
+    return map_rows(images, {"image": F.col("image")}, out, make, keep)
+
+
+ARRAYS = ("bits", "xs", "ys", "levels")
+
+# ---------------------------------------------------------------- words
+
+
+def _block(bits: np.ndarray, p: int) -> np.ndarray:
+    return (bits >> np.uint64(16 * p)) & np.uint64(0xFFFF)
+
+
+def _packed(p: int, part: int, buckets: int):
+    """Descriptors by the bucket of their block p, a row for each bucket and CHUNK."""
+
+    def flush(bits: list[np.ndarray], images: list[np.ndarray]):
+        b, no = np.concatenate(bits), np.concatenate(images)
+        key = _block(b, p).astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(8)
+        bucket = (key // np.uint32(PARTS) % np.uint32(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.uint32)
+        own = np.flatnonzero(key % np.uint32(PARTS) == part)
+        own = own[np.argsort(bucket[own], kind="stable")]
+        ends = np.searchsorted(bucket[own], np.arange(buckets), "right")
+        rows = [(k, b[own[s:e]].tobytes(), no[own[s:e]].tobytes()) for k, (s, e) in enumerate(zip([0, *ends[:-1]], ends)) if e > s]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "bits", "images"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, images, n = [], [], 0
+        for batch in sliced(batches):
+            for no, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                bits.append(np.frombuffer(own, np.uint64))
+                images.append(np.full(len(bits[-1]), no, np.int64))
+                n += len(bits[-1])
+            if n >= CHUNK:
+                yield from flush(bits, images)
+                bits, images, n = [], [], 0
+        if n:
+            yield from flush(bits, images)
+
+    return run
+
+
+def near_pairs(fps: np.ndarray, p: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (places) of distinct descriptors within RADIUS that agree in block p and in none before it.
+
+    Three differing bits leave one of four blocks of the other 48 bits alone too,
+    so only descriptors that share both blocks are compared.
+    """
+    low = np.uint64((1 << (16 * p)) - 1)
+    rest = (fps & low) | ((fps >> np.uint64(16)) & ~low)
+    block = _block(fps, p)
+    for q in range(4):
+        key = block << np.uint64(12) | ((rest >> np.uint64(12 * q)) & np.uint64(0xFFF))
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], fps[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(starts, len(key)))
+        found = []
+        large = np.repeat(size > WINDOW, size)
+        if large.any():
+            at = np.flatnonzero(large)
+            found = [(at[x], at[y]) for x, y in GrayIndex(key[at], own[at]).pairs(RADIUS)]
+        ends = np.repeat(starts + size, size)
+        at, gap = np.flatnonzero(~large), 1
+        while len(at := at[at + gap < ends[at]]):
+            near = at[np.bitwise_count(own[at] ^ own[at + gap]) <= RADIUS]
+            if len(near):
+                found.append((near, near + gap))
+            gap += 1
+        for x, y in found:
+            differ = own[x] ^ own[y]
+            fresh = np.ones(len(x), bool)
+            for b in range(p):
+                fresh &= _block(differ, b) != 0
+            yield order[x[fresh]], order[y[fresh]]
+
+
+def _words(p: int):
+    """(word, image, hub, many, size): a word's images, the first of them, how many descriptors of the image it has, and how many images."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, images = [], []
+        for batch in batches:
+            bits += [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            images += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        if not bits:
+            return
+        fps, kind = np.unique(np.concatenate(bits), return_inverse=True)
+        images = np.concatenate(images)
+        order = np.lexsort((images, kind))
+        kind, images = kind[order], images[order]
+        once = np.concatenate(([True], (kind[1:] != kind[:-1]) | (images[1:] != images[:-1])))
+        kind, images = kind[once], images[once]
+        label = np.arange(len(fps))
+        for x, y in near_pairs(fps, p):
+            label = _merge(label, x, y)
+        # in the first table equal descriptors are a word too; in the others only near ones bring something new
+        held = np.bincount(label, minlength=len(fps)) > 1
+        if p == 0:
+            held |= np.bincount(kind, minlength=len(fps))[: len(fps)] > 1
+        word = label[kind]
+        own = np.flatnonzero(held[word])
+        order = own[np.lexsort((images[own], word[own]))]
+        word, images = word[order], images[order]
+        new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (images[1:] != images[:-1])))) if len(word) else np.zeros(0, np.int64)
+        many = np.diff(np.append(new, len(word)))
+        word, images = word[new], images[new]
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else new
+        size = np.diff(np.append(first, len(word)))
+        hub, n = np.repeat(images[first], size), np.repeat(size, size)
+        keep = n > 1
+        name = (fps[word] ^ np.uint64(0x9E3779B97F4A7C15 * (p + 1) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+        columns = [name[keep], images[keep], hub[keep], many[keep].astype(np.int32), n[keep].astype(np.int32)]
+        for at in range(0, len(columns[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["word", "image", "hub", "many", "size"])
+
+    return run
+
+
+def visual_words(found: DataFrame) -> DataFrame:
+    """(word, image, hub, many, size) of (no, n_features, bits): one block table after the other, each in PARTS, so that little is on disk at a time."""
+    spark = found.sparkSession
+    n = found.agg(F.sum("n_features")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (PARTS << 21)), 1)
+    own = found.where("n_features > 0").select("no", "bits")
+    tables = []
+    for p in range(4):
+        for part in range(PARTS):
+            dealt = own.mapInArrow(_packed(p, part, buckets), "bucket int, bits binary, images binary").repartition(buckets, "bucket")
+            tables.append(shared_table(dealt.mapInArrow(_words(p), "word long, image long, hub long, many int, size int"), "zstd"))
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+# ---------------------------------------------------------------- links
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return (np.sign(x) * np.floor(np.abs(x) / 4 + 0.5)).astype(np.int64)
+
+
+def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> int:
+    """The most descriptors of either image that agree on one scale and shift; images as (bits, xs, ys, levels)."""
+    found = []
+    step = max(1, CELLS // max(1, len(b[0])))
+    for at in range(0, len(a[0]), step):
+        i, j = np.nonzero(np.bitwise_count(a[0][at : at + step, None] ^ b[0][None, :]) <= RADIUS)
+        found.append((i + at, j))
+    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+    best = 0
+    for (u, iu), (v, jv) in (((a, i), (b, j)), ((b, j), (a, i))):
+        if not len(iu):
+            break
+        up = u[3][iu].astype(np.int64) - v[3][jv]
+        scale = 2.0**up
+        shift = ((up + SCALES) << 56) + ((_steps(u[1][iu] - v[1][jv] * scale) & 0xFFFFFFF) << 28) + (_steps(u[2][iu] - v[2][jv] * scale) & 0xFFFFFFF)
+        order = np.lexsort((u[0][iu], shift))
+        shift, bits = shift[order], u[0][iu][order]
+        new = np.concatenate(([True], (shift[1:] != shift[:-1]) | (bits[1:] != bits[:-1])))
+        best = max(best, int(np.unique(shift[new], return_counts=True)[1].max()))
+    return best
+
+
+def linked(pairs: DataFrame, found: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
+    """The pairs (a, b) of images that are copies by their own features."""
+    few = pairs.count() <= BROADCAST_PAIRS
+    held = lambda x: F.broadcast(x) if few else x
+    arrays = ["n_features", *ARRAYS]
+    mine = found.select("no", *arrays)
+    left = mine.join(held(pairs.select(F.col("a").alias("no"), "b")), "no").select(F.col("no").alias("a"), "b", *[F.col(c).alias(f"a_{c}") for c in arrays])
+    right = mine.join(held(pairs.select(F.col("b").alias("no")).distinct()), "no", "left_semi").select(F.col("no").alias("b"), *[F.col(c).alias(f"b_{c}") for c in arrays])
+    both = left.join(right, "b")
+
+    def make():
+        kinds = (np.uint64, np.int32, np.int32, np.int8)
+
+        def fn(*columns: pa.Array):
+            out = []
+            for row in zip(*[c.to_pylist() for c in columns]):
+                a, b = (tuple(np.frombuffer(x, k) for x, k in zip(row[s : s + 4], kinds)) for s in (0, 4))
+                out.append(votes_between(a, b) >= max(votes, share * min(len(a[0]), len(b[0]))))
+            return (out,)
 
         return fn
 
-    arrays = [T.StructField(n, T.ArrayType(t)) for n, t in (("xs", T.IntegerType()), ("ys", T.IntegerType()), ("levels", T.IntegerType()), ("bits", T.LongType()))]
-    return map_rows(images, {"image": F.col("image")}, [T.StructField("n_features", T.IntegerType()), *arrays], make, [image_id, "key"])
-
-
-# ---------------------------------------------------------------- matching
-
-
-def near_descriptors(places: DataFrame) -> DataFrame:
-    """(x, y): the pairs of descriptors within RADIUS bits, x <= y; equal ones only if several places have them."""
-    kinds = shared_table(places.groupBy("bits").agg((F.count("*") > 1).alias("more")))
-    links = fingerprint_links(kinds.select(F.col("bits").alias("fp")), RADIUS, every=True)
-    near = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    return shared_table(near.unionByName(kinds.where("more").select(F.col("bits").alias("x"), F.col("bits").alias("y"))))
-
-
-#: A place as one number: level, row and column.
-ROW, LEVEL = 1 << 24, 1 << 48
-
-
-def placed(x: Column, y: Column, level: Column) -> Column:
-    return level.cast("long") * LEVEL + y.cast("long") * ROW + x
-
-
-def _shift(a: Column, b: Column) -> Column:
-    """Scale and shift that bring place b onto place a, in steps of 4 pixels, as one number."""
-    level, y, x = (lambda p: F.floor(p / LEVEL)), (lambda p: F.floor(p / ROW) % (LEVEL // ROW)), (lambda p: p % ROW)
-    up = level(a) - level(b)
-    scale = F.pow(F.lit(2.0), up)
-    steps = lambda of: F.round((of(a) - of(b) * scale) / 4).cast("long") + ROW // 2
-    return (up.cast("long") + SCALES) * LEVEL + steps(y) * ROW + steps(x)
-
-
-def copy_links(places: DataFrame, counts: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
-    """(a, b, votes): images that have near descriptors and agree on one shift and scale, brought onto either of them."""
-    own = places.groupBy("bits", "id").agg(F.collect_list("place").alias("p"))
-    near = near_descriptors(places)
-    used = near.select(F.explode(F.array("x", "y")).alias("bits")).distinct()
-    own = shared_table(own.join(used, "bits", "left_semi"))
-    of = lambda bits, id, p: own.select(F.col("bits").alias(bits), F.col("id").alias(id), F.col("p").alias(p))
-    met = near.join(of("x", "a", "pa"), "x").join(of("y", "b", "pb"), "y").where("a < b or a > b and x < y")
-    # from here on all of a pair of images is in one place: each place of the one with each of the other, one by one;
-    # a descriptor votes once for a shift
-    met = met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "a", "x", "y", "pa", "pb").repartition("u", "v")
-    met = met.withColumn("pa", F.explode("pa")).withColumn("pb", F.explode("pb"))
-    onto = F.array(
-        F.struct((F.col("a") == F.col("u")).alias("first"), F.col("x").alias("bits"), _shift(F.col("pa"), F.col("pb")).alias("shift")),
-        F.struct((F.col("a") != F.col("u")).alias("first"), F.col("y").alias("bits"), _shift(F.col("pb"), F.col("pa")).alias("shift")),
-    )
-    voted = met.select("u", "v", F.explode(onto).alias("o")).select(F.col("u").alias("a"), F.col("v").alias("b"), "o.first", "o.shift", "o.bits").distinct()
-    agreed = voted.groupBy("a", "b", "first", "shift").count().where(F.col("count") >= votes)
-    best = agreed.groupBy("a", "b").agg(F.max("count").alias("votes"))
-    n = lambda k: counts.select(F.col("id").alias(k), F.col("n_features").alias(f"n_{k}"))
-    sized = best.join(n("a"), "a").join(n("b"), "b")
-    return sized.where(F.col("votes") >= share * F.least("n_a", "n_b")).select("a", "b", "votes")
-
-
-def find_copies(images: DataFrame, image_id: str, votes: int = VOTES, share: float = SHARE) -> DataFrame:
-    """(id, n_features, n_links, component_id) of each image; n_links counts its direct links between different images."""
-    rows = images.select(col(image_id).alias("id"), "image", F.coalesce(F.sha2("image", 256), F.lit("null")).alias("key"))
-    found = shared_table(with_features(rows, "id"))
-    equal = shared_checkpoint(found.where("id is not null").groupBy("key").agg(F.min("id").alias("rep")))
-    ones = found.join(equal.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    places = ones.select("id", F.explode(F.arrays_zip("xs", "ys", "levels", "bits")).alias("f"))
-    places = shared_table(places.select("id", placed(F.col("f.xs"), F.col("f.ys"), F.col("f.levels")).alias("place"), F.col("f.bits").alias("bits")))
-    links = shared_checkpoint(copy_links(places, found.select("id", "n_features").dropDuplicates(["id"]), votes, share))
-    parts = connected_components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    of = equal.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("component_id"))
-    of = of.join(degree, "rep", "left").select("key", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = found.select("id", "key", "n_features").join(of, "key", "left")
-    none = F.col("id").isNull()
-    return out.select(F.col("id").alias(image_id), "n_features", F.when(none, 0).otherwise(F.col("n_links")).alias("n_links"), F.when(~none, F.col("component_id")).alias("component_id"))
+    inputs = {f"{x}_{c}": F.col(f"{x}_{c}") for x in "ab" for c in ARRAYS}
+    return map_rows(both, inputs, [T.StructField("ok", T.BooleanType())], make, ["a", "b"], "ok")
+
+
+def star_pairs(words: DataFrame, votes: int = VOTES) -> DataFrame:
+    """(a, b): each image with the one that most of its descriptors' words stand in first."""
+    met = words.where("image > hub").groupBy("image", "hub").agg(F.sum("many").alias("m")).where(F.col("m") >= votes)
+    best = met.groupBy("image").agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("hub"))
+    return best.select(F.col("hub").alias("a"), F.col("image").alias("b"))
+
+
+def grouped(words: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The words' images with ``group``, and only words whose images are in several groups."""
+    if parts is None:
+        return words.withColumn("group", F.col("image"))
+    few = parts.count() <= BROADCAST_PAIRS
+    held = lambda node, root: (F.broadcast if few else lambda x: x)(parts.select(F.col("node").alias(node), F.col("root").alias(root)))
+    x = words.join(held("image", "g"), "image", "left").withColumn("group", F.coalesce("g", "image")).drop("g")
+    x = x.join(held("hub", "g"), "hub", "left").withColumn("of", F.coalesce("g", "hub")).drop("g")
+    # an image outside its word's first image's group shows that the word has several
+    apart = x.where(F.col("group") != F.col("of")).select("word").distinct()
+    return x.drop("of").join(apart, "word", "left_semi")
+
+
+def rest_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE, hot: int = HOT) -> DataFrame:
+    """(a, b): images of different groups whose descriptors in words that they share could be enough votes; words (word, image, many, group)."""
+    counted = words.join(words.groupBy("word").agg(F.count("*").alias("images")), "word")
+    own = shared_table(counted.join(sizes.select(F.col("no").alias("image"), "n_features"), "image"), "zstd")
+    in_hot = own.where(F.col("images") > hot).groupBy("image").agg(F.sum("many").alias("hot"))
+    by = shared_table(own.join(in_hot, "image", "left").withColumn("hot", F.coalesce("hot", F.lit(0))), "zstd")
+    # of a frequent word only images that such words alone could link, as the smaller of two or with another such
+    able = (F.col("images") <= hot) | (F.col("hot") >= F.greatest(F.lit(votes), share * F.col("n_features")))
+    side = lambda x: by.where(able).select("word", "images", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "many", "group", "n_features", "hot")])
+    met = side("a").join(side("b").drop("images"), "word").where("a_image < b_image and a_group <> b_group")
+    plain = lambda x: F.sum(F.when(F.col("images") <= hot, F.col(f"{x}_many")).otherwise(0)) + F.max(f"{x}_hot")
+    pairs = met.groupBy("a_image", "b_image").agg(plain("a").alias("a_most"), plain("b").alias("b_most"), F.least(F.max("a_n_features"), F.max("b_n_features")).alias("n"))
+    return pairs.where(F.greatest("a_most", "b_most") >= F.greatest(F.lit(votes), share * F.col("n"))).select(F.col("a_image").alias("a"), F.col("b_image").alias("b"))
+
+
+def image_groups(found: DataFrame, votes: int = VOTES, share: float = SHARE, hot: int = HOT) -> DataFrame:
+    """(node, root): each linked image with the first of its group; found: (no, n_features, bits, xs, ys, levels)."""
+    words = visual_words(found)
+    links = shared_table(linked(shared_table(star_pairs(words, votes)), found, votes, share))
+    parts = shared_table(connected_components(links))
+    left = shared_table(grouped(words, parts), "zstd")
+    more = shared_table(linked(shared_table(rest_pairs(left, found, votes, share, hot)), found, votes, share))
+    return connected_components(links.unionByName(more))
+
+
+def find_copies(images: DataFrame, image_id: str, votes: int = VOTES, share: float = SHARE, hot: int = HOT) -> DataFrame:
+    """(id, n_features, component_id) of each image; component_id is the smallest id of its group of copies."""
+    rows = images.select(col(image_id).alias("id"), "image", F.coalesce(F.sha2("image", 256), F.concat(F.lit("null "), F.xxhash64(col(image_id).cast("string")).cast("string"))).alias("key"))
+    ids = shared_table(rows.select("id", "key"))
+    equal = shared_table(ids.where("id is not null").groupBy("key").agg(F.min("id").alias("rep")))
+    first = F.broadcast(equal) if equal.count() <= BROADCAST_PAIRS else equal
+    ones = rows.join(first.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi")
+    numbered = with_features(ones, ["id", "key"]).withColumn("no", F.monotonically_increasing_id())
+    found = shared_table(numbered, "zstd")  # numbers hold from here on
+    parts = image_groups(found, votes, share, hot)
+    of = found.select("no", "key", "id", "n_features").join(parts.withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
+    of = shared_table(of)
+    least = of.groupBy("root").agg(F.min("id").alias("component_id"))
+    of = of.join(least, "root").groupBy("key").agg(F.min("component_id").alias("component_id"), F.max("n_features").alias("n_features"))
+    out = ids.join(of, "key", "left")
+    return out.select(F.col("id").alias(image_id), F.coalesce("n_features", F.lit(0)).alias("n_features"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
