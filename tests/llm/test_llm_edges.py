@@ -103,6 +103,20 @@ def test_images_odd_rows(spark):
     got = {(r["id"], r["component_id"]) for r in media.find_copies(d, "id").collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (None, None)}
     assert media.find_copies(d.limit(0), "id").collect() == []
+    nulls = spark.createDataFrame([(7, None), (8, None), (8, None), (None, None), (9, b"junk"), (10, b"junk")], "id long, image binary")
+    assert {(r["id"], r["component_id"]) for r in media.find_copies(nulls, "id").collect()} == {(7, 7), (8, 8), (9, 9), (10, 9), (None, None)}
+    # several images of one id: its group is that of the smallest
+    many = spark.createDataFrame([(1, x), (2, b"junk"), (3, x), (3, b"junk")], "id long, image binary")
+    assert len(media.find_copies(many, "id").collect()) == 4
+
+
+def test_a_large_image(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).integers(0, 256, (400, 500)).astype("uint8")
+    d = spark.createDataFrame([(1, media.encode(x)), (2, media.encode(x[50:, 30:]))], "id long, image binary")
+    got = {r["id"]: (r["component_id"], r["n_features"] > 3000) for r in media.find_copies(d, "id").collect()}
+    assert got == {1: (1, True), 2: (1, True)}
 
 
 def test_long_and_null_texts_leave_no_language_out(spark):

@@ -600,6 +600,11 @@ def test_pipeline(spark):
     assert sum(r["length"] for r in packed) == sum(len(x) for x in want.values())
 
 
+def described(image):
+    f = media.features([media.decode(image)])[0]
+    return f[3].view(np.uint64), f[0], f[1], f[2]
+
+
 def brute_image_links(images):
     """Pairs of images of different bytes that enough of all their descriptors' pairs (within RADIUS bits) bring together by one shift and scale."""
     own = media.features([media.decode(x) for x in images])
@@ -620,72 +625,108 @@ def brute_image_links(images):
     return {(min(a, b), max(a, b)) for (a, b, *_), v in votes.items() if len(v) >= max(media.VOTES, media.SHARE * min(n[a], n[b])) and images[a] != images[b]}
 
 
-def image_recall(spark, sf):
-    """(links of brute force, of them within one group)."""
-    pages = spark.read.parquet(f"{sf}/pages.parquet").where("html is not null").orderBy("page_id").collect()
-    group = {r["page_id"]: r["component_id"] for r in queries.op1_image_copies(spark, sf).collect()}
-    links = brute_image_links([media.draw_page(r["html"]) for r in pages])
-    return len(links), sum(group[pages[a]["page_id"]] == group[pages[b]["page_id"]] for a, b in links)
-
-
-def test_image_links_against_brute_force(spark):
-    n, kept = image_recall(spark, SF)
-    assert n and kept >= 0.9 * n
-
-
-def places_of(spark, rows):
-    """Places of (image, descriptor, x, y) on the first scale, and how many each image has."""
-    d = spark.createDataFrame(rows, "id long, bits long, x int, y int")
-    return d.select("id", "bits", media.placed(F.col("x"), F.col("y"), F.lit(0)).alias("place")), d.groupBy("id").agg(F.count("*").cast("int").alias("n_features"))
-
-
-def test_near_descriptors_have_a_word_in_common(spark):
-    rows = []
-    # x meets y in one block table and z in another, and no table joins all three
-    for k, x in enumerate(np.random.default_rng(7).integers(1 << 61, 1 << 62, 8).tolist()):
-        y, z = x ^ (1 << 48 | 1 << 32 | 1 << 16), x ^ (1 << 1 | 1 << 33 | 1 << 17)
-        rows += [(1, x, 9 * k, 5), (2, y, 9 * k + 40, 5), (3, z, 9 * k + 80, 5)]
-    got = {(min(r["a"], r["b"]), max(r["a"], r["b"]), r["votes"]) for r in media.copy_links(*places_of(spark, rows)).collect()}
-    assert got == {(1, 2, 8), (1, 3, 8)}
+def groups_of(images):
+    """The components of brute force's links and of equal bytes."""
+    links = brute_image_links(images)
+    same = {x: i for i, x in reversed(list(enumerate(images))) if x}
+    return components(len(images), [*links, *((i, same[x]) for i, x in enumerate(images) if x)]), links
 
 
-def test_every_pair_of_copies_is_a_link(spark):
-    n = 40
-    rows = [(i, 1 << 62 | 7919**4 * k, 9 * k + i, 5) for i in range(n) for k in range(10)]
-    links = media.copy_links(*places_of(spark, rows)).collect()
-    assert {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in links} == {(a, b) for b in range(n) for a in range(b)} and len(links) == n * (n - 1) // 2
+def test_image_groups_of_the_query(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()
+    group = {r["page_id"]: r["component_id"] for r in queries.op1_image_copies(spark, SF).collect()}
+    own, links = groups_of([media.draw_page(r["html"] or "") for r in pages])
+    assert links and [group[r["page_id"]] for r in pages] == [pages[k]["page_id"] for k in own]
 
 
-@pytest.mark.parametrize("bucket", [1 << 15, 6])
-def test_every_near_pair(spark, bucket):
-    rng = np.random.default_rng(bucket)
-    fps = {int(c) ^ 1 << int(b) for c in rng.integers(0, 1 << 62, 30) for b in rng.integers(0, 62, 12)}
-    links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 3, bucket, every=True).collect()
-    assert {frozenset(r) for r in links} == {frozenset((x, y)) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 3}
-
-
-def test_image_links_are_those_of_brute_force(spark):
-    rng = np.random.default_rng(8)
-    base = np.kron(rng.integers(0, 256, (30, 30)), np.ones((3, 3))).astype(np.uint8)
-    # a group of edited copies in which each stands 7 and more from others, and one at half the size
-    images = [base.copy() for _ in range(12)]
-    for i, x in enumerate(images):
-        x[6 * i : 6 * i + 15, 30:70] ^= 77
-    images = [media.encode(x) for x in (*images, base[:40], base[::2, ::2])]
-    want = brute_image_links(images)
-    degree = Counter(i for pair in want for i in pair)
-    got = media.find_copies(spark.createDataFrame(list(enumerate(images)), "id long, image binary"), "id").collect()
-    assert len(want) > 60 and {r["id"]: r["n_links"] for r in got} == {i: degree[i] for i in range(len(images))}
-
-
-def test_middle_places_vote(spark):
+def copies_and_others(seed):
+    """Two groups of edited copies that share a part, one at half the size, crops, and images of their own."""
+    rng = np.random.default_rng(seed)
+    picture = lambda n: np.kron(rng.integers(0, 256, (n, n)), np.ones((3, 3))).astype(np.uint8)
+    first, second = picture(30), picture(30)
+    second[:24, :24] = first[:24, :24]
+    images = []
+    for base in (first, second):
+        for i in range(12):
+            x = base.copy()
+            x[6 * i : 6 * i + 15, 30:70] ^= 77
+            images.append(x)
+        images += [base[:40], base[::2, ::2], base[7:, 11:]]
+    images += [picture(12) for _ in range(6)]
+    return [media.encode(images[i]) for i in rng.permutation(len(images))]
+
+
+@pytest.mark.parametrize("hot", [media.HOT, 5])
+def test_image_groups_are_those_of_brute_force(spark, hot):
+    images = copies_and_others(8)
+    own, links = groups_of(images)
+    assert len(links) > 100 and len(set(own)) > 6
+    d = spark.createDataFrame(list(enumerate(images)), "id long, image binary").repartition(3)
+    assert {r["id"]: r["component_id"] for r in media.find_copies(d, "id", hot=hot).collect()} == dict(enumerate(own))
+
+
+def test_a_common_part_is_no_copy(spark):
+    """A word in all images: no pair of them is a link, and no pair of them is even compared."""
+    rng = np.random.default_rng(9)
+    common = np.kron(rng.integers(0, 256, (8, 40)), np.ones((3, 3))).astype(np.uint8)
+    images = [media.encode(np.concatenate((common, np.kron(rng.integers(0, 256, (80, 40)), np.ones((3, 3))).astype(np.uint8)))) for _ in range(30)]
+    assert not brute_image_links(images)
+    d = spark.createDataFrame(list(enumerate(images)), "id long, image binary").withColumn("key", F.lit("k"))
+    found = media.with_features(d, ["id", "key"]).withColumn("no", F.monotonically_increasing_id()).cache()
+    words = media.visual_words(found)
+    assert words.agg(F.max("size")).first()[0] == 30
+    assert media.rest_pairs(media.grouped(words, None), found, hot=10).count() == 0
+    assert {r["component_id"] for r in media.find_copies(d, "id", hot=10).collect()} == set(range(30))
+
+
+def test_every_near_pair_of_descriptors_has_a_word_in_common(spark):
+    rng = np.random.default_rng(7)
+    fps = []
+    for x in rng.integers(0, 1 << 63, 60, np.uint64).tolist():
+        # y in one block table and z in another, and no table joins all three
+        fps += [x, x ^ (1 << 48 | 1 << 32 | 1 << 16), x ^ (1 << 1 | 1 << 33 | 1 << 17), x]
+        fps += [x ^ sum({1 << int(b) for b in rng.integers(0, 64, 3)}) for _ in range(4)]
+    rows = [(i, 1, np.array([x], np.uint64).tobytes()) for i, x in enumerate(fps)]
+    words = media.visual_words(spark.createDataFrame(rows, "no long, n_features int, bits binary").repartition(3))
+    held: dict = {}
+    for r in words.collect():
+        held.setdefault(r["image"], set()).add(r["word"])
+        assert r["hub"] <= r["image"] and r["many"] == 1 and r["size"] > 1
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                assert held[i] & held[j]
+
+
+@pytest.mark.parametrize("window", [2048, 3])
+def test_near_pairs_of_a_table(window, monkeypatch):
+    monkeypatch.setattr(media, "WINDOW", window)
+    rng = np.random.default_rng(window)
+    fps = np.unique(np.array([int(c) ^ sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 4))}) for c in rng.integers(0, 1 << 63, 30, np.uint64) for _ in range(12)], np.uint64))
+    got = [{frozenset(k) for x, y in media.near_pairs(fps, p) for k in zip(x.tolist(), y.tolist())} for p in range(4)]
+    want: list = [set() for _ in range(4)]
+    for i in range(len(fps)):
+        for j in range(i):
+            x = int(fps[i] ^ fps[j])
+            if x.bit_count() <= 3:
+                want[next(p for p in range(4) if not x >> 16 * p & 0xFFFF)].add(frozenset((i, j)))
+    assert got == want
+
+
+def test_middle_places_vote():
     """A crop without the first and last place of each descriptor."""
-    rows = []
-    for k in range(8):
-        bits = 1 << 62 | 7919**4 * k
-        whole = [20 * k, 500 + 37 * k * k, 3000 + 53 * k, 9000 - 71 * k * k]
-        rows += [(1, bits, x, 5) for x in whole] + [(2, bits, x - 400, 5) for x in whole[1:3]]
-    assert [(r["a"], r["b"], r["votes"]) for r in media.copy_links(*places_of(spark, rows)).collect()] == [(1, 2, 8)]
+    bits = np.array([(1 << 62) | 7919**4 * k for k in range(8) for _ in range(4)], np.uint64)
+    at = np.array([p for k in range(8) for p in (20 * k, 500 + 37 * k * k, 3000 + 53 * k, 9000 - 71 * k * k)], np.int32)
+    rest, none = np.arange(32) % 4 % 3 > 0, np.zeros(32, np.int32)
+    a, b = (bits, at, none + 5, none.astype(np.int8)), (bits[rest], at[rest] - 400, none[rest] + 5, none[rest].astype(np.int8))
+    assert media.votes_between(a, b) == media.votes_between(b, a) == 8
+
+
+def test_cells_bound_memory_of_a_pair(monkeypatch):
+    images = copies_and_others(5)[:4]
+    plain = [media.votes_between(described(x), described(y)) for x in images for y in images]
+    monkeypatch.setattr(media, "CELLS", 50)
+    assert plain == [media.votes_between(described(x), described(y)) for x in images for y in images]
 
 
 def test_short_notice_with_a_changed_word(spark):
