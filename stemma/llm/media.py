@@ -8,17 +8,17 @@ near ones are joined to visual words, so that any two descriptors within three
 bits have a word in common. Words only bring images together; a pair of images
 is a link by its own features: all pairs of their descriptors within three bits
 vote for the shift and scale between their places, a descriptor once for a
-shift, and enough votes for one shift, onto either image, make it a copy: whole,
-cropped or edited. Groups are the connected components of all such links.
-
-No word's images are paired with each other. Each image is first compared with
-the image that most of its words stand in first; what belongs together by then
-needs no further comparison. Words whose images are still in several groups then
-give the pairs of images of different groups, if the descriptors that they have
-in such words could be enough votes. A word in over HOT images pairs only those
-which have enough of their descriptors in such words to be linked by them alone;
-all other links have a rarer word too. So the work grows with the words, not
-with the square of a group of copies.
+shift, and enough votes for one shift (the fewer of both images' descriptors, and
+onto either of them) make it a copy: whole, cropped or edited. Groups are the
+connected components of all such links.
+
+No word's images are paired with each other. In a few rounds each image is
+compared with the one that most of its words have for their first, in an order
+of images that changes from round to round; what belongs together by then needs
+no further comparison. For what is left, an image asks only its rarer words who
+else has them: the more frequent ones hold, all together, a few descriptors too few
+for a link (prefix filter). So neither a group of copies nor a word that a third
+of all images have gives pairs, and no link is lost.
 
 Defined results: null, empty and unreadable images have no features and a group
 of their own, unless another has the same bytes; images of equal bytes are one
@@ -38,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.llm.common import col, connected_components, drop_table, map_rows, shared_checkpoint, shared_table, sliced
+from stemma.llm.common import col, connected_components, map_rows, shared_table, sliced
 from stemma.llm.simhash import GrayIndex, _merge
 
 #: Brightness step of a corner, scales, half a patch, pixels around in which a corner is the strongest, bits that may differ.
@@ -51,8 +51,12 @@ STEP, SCALES, HALF, AROUND, RADIUS = 30, 3, 6, 2, 3
 VOTES, SHARE = 6, 0.2
 #: Pixels described at once.
 PIXELS = 1 << 17
-#: Images in a word beyond which it pairs only those that it could link; pairs up to which they are broadcast (16 bytes each).
-HOT, BROADCAST_PAIRS = 1024, 1_000_000
+#: Pairs or images up to which they are broadcast (16 bytes each).
+BROADCAST_PAIRS = 1_000_000
+#: Rounds in which each image is compared with one other, before pairs of images of different groups are.
+STARS = 2
+#: Descriptors in its rarer words by which an image of the rest must meet another (VOTES at most).
+RARE = 4
 #: Descriptors that a task hands on at once, in how many parts a block table is gone through, descriptors compared one by one, pairs of descriptors at once.
 CHUNK, PARTS, WINDOW, CELLS = 1 << 19, 2, 2048, 1 << 22
 _ANGLES, _TESTS = 16, 64
@@ -373,7 +377,7 @@ def near_pairs(fps: np.ndarray, p: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _words(p: int):
-    """(word, image, hub, many, size): a word's images, the first of them, how many descriptors of the image it has, and how many images."""
+    """(word, image, many): a word's images, and how many descriptors of the image it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, images = [], []
@@ -404,18 +408,17 @@ def _words(p: int):
         word, images = word[new], images[new]
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else new
         size = np.diff(np.append(first, len(word)))
-        hub, n = np.repeat(images[first], size), np.repeat(size, size)
-        keep = n > 1
+        keep = np.repeat(size, size) > 1
         name = (fps[word] ^ np.uint64(0x9E3779B97F4A7C15 * (p + 1) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-        columns = [name[keep], images[keep], hub[keep], many[keep].astype(np.int32), n[keep].astype(np.int32)]
+        columns = [name[keep], images[keep], many[keep].astype(np.int32)]
         for at in range(0, len(columns[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["word", "image", "hub", "many", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["word", "image", "many"])
 
     return run
 
 
 def visual_words(found: DataFrame) -> DataFrame:
-    """(word, image, hub, many, size) of (no, n_features, bits): one block table after the other, each in PARTS, so that little is on disk at a time."""
+    """(word, image, many) of (no, n_features, bits): one block table after the other, each in PARTS, so that little is on disk at a time."""
     spark = found.sparkSession
     n = found.agg(F.sum("n_features")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (PARTS << 21)), 1)
@@ -424,7 +427,7 @@ def visual_words(found: DataFrame) -> DataFrame:
     for p in range(4):
         for part in range(PARTS):
             dealt = own.mapInArrow(_packed(p, part, buckets), "bucket int, bits binary, images binary").repartition(buckets, "bucket")
-            tables.append(shared_table(dealt.mapInArrow(_words(p), "word long, image long, hub long, many int, size int"), "zstd"))
+            tables.append(shared_table(dealt.mapInArrow(_words(p), "word long, image long, many int"), "zstd"))
     out = tables[0]
     for x in tables[1:]:
         out = out.unionByName(x)
@@ -439,7 +442,7 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> int:
-    """The most descriptors of either image that agree on one scale and shift; images as (bits, xs, ys, levels)."""
+    """The most descriptors of both images that agree on one scale and shift, brought onto either of them; images as (bits, xs, ys, levels)."""
     found = []
     step = max(1, CELLS // max(1, len(b[0])))
     for at in range(0, len(a[0]), step):
@@ -453,10 +456,13 @@ def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> int:
         up = u[3][iu].astype(np.int64) - v[3][jv]
         scale = 2.0**up
         shift = ((up + SCALES) << 56) + ((_steps(u[1][iu] - v[1][jv] * scale) & 0xFFFFFFF) << 28) + (_steps(u[2][iu] - v[2][jv] * scale) & 0xFFFFFFF)
-        order = np.lexsort((u[0][iu], shift))
-        shift, bits = shift[order], u[0][iu][order]
-        new = np.concatenate(([True], (shift[1:] != shift[:-1]) | (bits[1:] != bits[:-1])))
-        best = max(best, int(np.unique(shift[new], return_counts=True)[1].max()))
+        shifts, which = np.unique(shift, return_inverse=True)
+        counts = []
+        for bits in (u[0][iu], v[0][jv]):
+            order = np.lexsort((bits, which))
+            w, x = which[order], bits[order]
+            counts.append(np.bincount(w[np.concatenate(([True], (w[1:] != w[:-1]) | (x[1:] != x[:-1])))], minlength=len(shifts)))
+        best = max(best, int(np.minimum(*counts).max()))
     return best
 
 
@@ -486,64 +492,81 @@ def linked(pairs: DataFrame, found: DataFrame, votes: int = VOTES, share: float
     return map_rows(both, inputs, [T.StructField("ok", T.BooleanType())], make, ["a", "b"], "ok")
 
 
-def star_pairs(words: DataFrame, votes: int = VOTES) -> DataFrame:
-    """(a, b): each image with the one that most of its descriptors' words stand in first."""
-    met = words.where("image > hub").groupBy("image", "hub").agg(F.sum("many").alias("m")).where(F.col("m") >= votes)
-    best = met.groupBy("image").agg(F.max_by("hub", F.struct("m", -F.col("hub"))).alias("hub"))
-    return best.select(F.col("hub").alias("a"), F.col("image").alias("b"))
+def star_pairs(words: DataFrame, sizes: DataFrame, seed: int, votes: int = VOTES, share: float = SHARE) -> DataFrame:
+    """(a, b): each image with the image of another group that most of its descriptors' words have for their first, in an order that the seed gives.
 
-
-def grouped(words: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """The words' images with ``group``, and only words whose images are in several groups."""
-    if parts is None:
-        return words.withColumn("group", F.col("image"))
+    Only where these alone could be enough votes. words: (word, image, many, group).
+    """
+    place = F.xxhash64(F.lit(seed), "image")
+    first = words.groupBy("word").agg(F.min(F.struct(place, F.col("image").alias("hub"), F.col("group").alias("hub_group"))).alias("h")).select("word", "h.hub", "h.hub_group")
+    met = words.join(first, "word").where(F.col("group") != F.col("hub_group")).groupBy("image", "hub").agg(F.sum("many").alias("m")).where(F.col("m") >= votes)
+    best = met.groupBy("image").agg(F.max(F.struct("m", "hub")).alias("s")).select("image", "s.hub", "s.m")
+    few = best.count() <= BROADCAST_PAIRS
+    size = lambda k: (F.broadcast if few else lambda x: x)(sizes).select(F.col("no").alias(k), F.col("n_features").alias(f"n_{k}"))
+    able = best.join(size("image"), "image").join(size("hub"), "hub").where(F.col("m") >= share * F.least("n_image", "n_hub"))
+    return able.select(F.col("hub").alias("a"), F.col("image").alias("b"))
+
+
+def grouped(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """The words' images with their ``group``, and only words whose images are in several groups."""
     few = parts.count() <= BROADCAST_PAIRS
-    held = lambda node, root: (F.broadcast if few else lambda x: x)(parts.select(F.col("node").alias(node), F.col("root").alias(root)))
-    x = words.join(held("image", "g"), "image", "left").withColumn("group", F.coalesce("g", "image")).drop("g")
-    x = x.join(held("hub", "g"), "hub", "left").withColumn("of", F.coalesce("g", "hub")).drop("g")
-    # an image outside its word's first image's group shows that the word has several
-    apart = x.where(F.col("group") != F.col("of")).select("word").distinct()
-    return x.drop("of").join(apart, "word", "left_semi")
+    named = parts.select(F.col("node").alias("image"), F.col("root").alias("g"))
+    x = words.select("word", "image", "many").join(F.broadcast(named) if few else named, "image", "left").withColumn("group", F.coalesce("g", "image")).drop("g")
+    apart = x.groupBy("word").agg(F.min("group").alias("l"), F.max("group").alias("m")).where("l < m").select("word")
+    return x.join(apart, "word", "left_semi")
 
 
-def rest_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE, hot: int = HOT) -> DataFrame:
-    """(a, b): images of different groups whose descriptors in words that they share could be enough votes; words (word, image, many, group)."""
+def rest_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
+    """(a, b): images of different groups that have enough descriptors in words that they share; words (word, image, many, group).
+
+    The smaller image of a link has so many of them that RARE lie in words beyond
+    its most frequent ones, which together hold RARE descriptors too few. So only
+    words beyond these are asked who else has them, and only images that meet in
+    RARE descriptors of these are looked at further.
+    """
+    need = F.ceil(F.greatest(F.lit(votes), share * F.col("n_features"))).cast("long")
     counted = words.join(words.groupBy("word").agg(F.count("*").alias("images")), "word")
-    own = shared_table(counted.join(sizes.select(F.col("no").alias("image"), "n_features"), "image"), "zstd")
-    in_hot = own.where(F.col("images") > hot).groupBy("image").agg(F.sum("many").alias("hot"))
-    by = shared_table(own.join(in_hot, "image", "left").withColumn("hot", F.coalesce("hot", F.lit(0))), "zstd")
-    # of a frequent word only images that such words alone could link, as the smaller of two or with another such
-    able = (F.col("images") <= hot) | (F.col("hot") >= F.greatest(F.lit(votes), share * F.col("n_features")))
-    side = lambda x: by.where(able).select("word", "images", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "many", "group", "n_features", "hot")])
-    met = side("a").join(side("b").drop("images"), "word").where("a_image < b_image and a_group <> b_group")
-    plain = lambda x: F.sum(F.when(F.col("images") <= hot, F.col(f"{x}_many")).otherwise(0)) + F.max(f"{x}_hot")
-    pairs = met.groupBy("a_image", "b_image").agg(plain("a").alias("a_most"), plain("b").alias("b_most"), F.least(F.max("a_n_features"), F.max("b_n_features")).alias("n"))
-    return pairs.where(F.greatest("a_most", "b_most") >= F.greatest(F.lit(votes), share * F.col("n"))).select(F.col("a_image").alias("a"), F.col("b_image").alias("b"))
-
-
-def image_groups(found: DataFrame, votes: int = VOTES, share: float = SHARE, hot: int = HOT) -> DataFrame:
+    own = counted.join(sizes.select(F.col("no").alias("image"), "n_features"), "image")
+    most_first = Window.partitionBy("image").orderBy(F.desc("images"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    own = shared_table(own.withColumn("rare", F.sum("many").over(most_first) > need - RARE), "zstd")
+    side = lambda x, rows: rows.select("word", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "group", "n_features", "many")])
+    larger = (F.col("a_n_features") < F.col("b_n_features")) | (F.col("a_n_features") == F.col("b_n_features")) & (F.col("a_image") < F.col("b_image"))
+    met = side("a", own.where("rare")).join(side("b", own).drop("b_many"), "word").where(larger & (F.col("a_group") != F.col("b_group")))
+    pairs = shared_table(met.groupBy("a_image", "b_image").agg(F.sum("a_many").alias("m")).where(F.col("m") >= RARE).drop("m"))
+    # of these the ones with enough descriptors in all words that they share
+    both = pairs.join(side("a", own).drop("a_group"), "a_image").join(side("b", own).drop("b_group"), ["word", "b_image"])
+    summed = both.groupBy("a_image", "b_image").agg(F.least(F.sum("a_many"), F.sum("b_many")).alias("most"), F.least(F.max("a_n_features"), F.max("b_n_features")).alias("n"))
+    return summed.where(F.col("most") >= F.greatest(F.lit(votes), share * F.col("n"))).select(F.col("a_image").alias("a"), F.col("b_image").alias("b"))
+
+
+def image_groups(found: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(node, root): each linked image with the first of its group; found: (no, n_features, bits, xs, ys, levels)."""
     words = visual_words(found)
-    links = shared_table(linked(shared_table(star_pairs(words, votes)), found, votes, share))
-    parts = shared_table(connected_components(links))
-    left = shared_table(grouped(words, parts), "zstd")
-    more = shared_table(linked(shared_table(rest_pairs(left, found, votes, share, hot)), found, votes, share))
+    sizes = found.select("no", "n_features")
+    left = words.withColumn("group", F.col("image"))
+    links = found.sparkSession.createDataFrame([], "a long, b long")
+    parts = None
+    for seed in range(STARS):
+        new = shared_table(linked(shared_table(star_pairs(left, sizes, seed, votes, share)), found, votes, share))
+        if not new.head(1):
+            continue
+        links = links.unionByName(new)
+        parts = shared_table(connected_components(links))
+        left = shared_table(grouped(left.select("word", "image", "many"), parts), "zstd")
+    more = shared_table(linked(shared_table(rest_pairs(left, sizes, votes, share)), found, votes, share))
     return connected_components(links.unionByName(more))
 
 
-def find_copies(images: DataFrame, image_id: str, votes: int = VOTES, share: float = SHARE, hot: int = HOT) -> DataFrame:
+def find_copies(images: DataFrame, image_id: str, votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(id, n_features, component_id) of each image; component_id is the smallest id of its group of copies."""
-    rows = images.select(col(image_id).alias("id"), "image", F.coalesce(F.sha2("image", 256), F.concat(F.lit("null "), F.xxhash64(col(image_id).cast("string")).cast("string"))).alias("key"))
-    ids = shared_table(rows.select("id", "key"))
-    equal = shared_table(ids.where("id is not null").groupBy("key").agg(F.min("id").alias("rep")))
-    first = F.broadcast(equal) if equal.count() <= BROADCAST_PAIRS else equal
-    ones = rows.join(first.select(F.col("rep").alias("id"), "key"), ["id", "key"], "left_semi")
-    numbered = with_features(ones, ["id", "key"]).withColumn("no", F.monotonically_increasing_id())
-    found = shared_table(numbered, "zstd")  # numbers hold from here on
-    parts = image_groups(found, votes, share, hot)
-    of = found.select("no", "key", "id", "n_features").join(parts.withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
-    of = shared_table(of)
-    least = of.groupBy("root").agg(F.min("id").alias("component_id"))
-    of = of.join(least, "root").groupBy("key").agg(F.min("component_id").alias("component_id"), F.max("n_features").alias("n_features"))
-    out = ids.join(of, "key", "left")
-    return out.select(F.col("id").alias(image_id), F.coalesce("n_features", F.lit(0)).alias("n_features"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    key = F.coalesce(F.sha2("image", 256), F.concat(F.lit("null "), F.coalesce(col(image_id).cast("string"), F.lit(""))))
+    rows = images.select(col(image_id).alias("id"), "image", key.alias("key"))
+    # numbers hold once they are written
+    every = shared_table(with_features(rows, ["id", "key"]).withColumn("no", F.monotonically_increasing_id()), "zstd")
+    equal = shared_table(every.where("id is not null").groupBy("key").agg(F.min(F.struct("id", "no")).alias("s")).select("key", F.col("s.id").alias("rep"), "s.no"))
+    found = every.join(F.broadcast(equal.select("no")) if equal.count() <= BROADCAST_PAIRS else equal.select("no"), "no", "left_semi")
+    parts = shared_table(image_groups(found, votes, share))
+    of = equal.join(parts.withColumnRenamed("node", "no"), "no", "left").withColumn("root", F.coalesce("root", "no"))
+    of = of.join(of.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
+    out = every.select("id", "key", "n_features").join(of, "key", "left")
+    return out.select(F.col("id").alias(image_id), "n_features", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
