@@ -1,15 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents are summed to cells (source, language, topic) by tokens. A cell's
-factor is the product of a factor of each of its categories. These are raked,
-one margin after the other, until the cells' tokens have the target shares of
-sources, languages and topics: a margin's factors are its goals over its sums
-under the other margins' factors. It ends when no factor changes by more than
-RESIDUAL, or after ROUNDS. The factors are scaled to the token budget, with no
-probability above 1, and each document is kept with its cell's probability by a
-number drawn from its id. Only DataFrame functions run. What is raked is the
-table of cells, a row for each combination that occurs; every sum over it is a
-grouping with partial sums, and only three numbers come to the driver at once.
+Documents are summed to cells (source, language, topic) by tokens. Factors of
+the cells are raked, one margin after the other, until the cells' tokens have
+the target shares of sources, languages and topics: each category's cells are
+multiplied by its goal over its sum. It ends when none is multiplied by a number
+further than RESIDUAL from 1, or after ROUNDS. The factors are scaled to the
+token budget, with no probability above 1, and each document is kept with its
+cell's probability by a number drawn from its id. Only DataFrame functions run.
+What is raked is the table of cells, a row for each combination that occurs;
+every sum over it is a grouping with partial sums, and only single numbers come
+to the driver.
 
 Defined results: null sources, languages and topics are each a category of
 their own ("?"); a null or empty text counts one token; a null id draws from
@@ -22,7 +22,6 @@ falls short of its share if the budget asks for more than it has.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ TARGETS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.12, "*": 0.03},
     "topic": {"prose": 0.88, "legal": 0.03, "tabular": 0.02, "noisy": 0.05, "*": 0.02},
 }
-#: Rounds of raking at most, the change of a factor at which it ends, rounds of fitting the budget, and the share of all tokens to keep.
+#: Rounds of raking at most, the change of factors at which it ends, rounds of fitting the budget, and the share of all tokens to keep.
 ROUNDS, RESIDUAL, FITS, BUDGET = 14, 1e-12, 8, 0.6
 
 
@@ -68,32 +67,30 @@ def weight(category: Column, weights: Mapping[str, float]) -> Column:
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, rounds: int = ROUNDS, residual: float = RESIDUAL) -> DataFrame:
     """Cells (the targets' margins and ``tokens``) with ``factor``: tokens * factor has the target shares and sums to 1.
 
-    A category whose cells all have factor 0 through other margins keeps 0.
-    Each step's factors are written and read again: so plans stay short, and
-    joins go by the real sizes of the tables.
+    A category whose cells all have factor 0 through other margins keeps 0. A
+    round is one plan, written and read again. The sums of a margin are sorted
+    and merged with its cells: broadcasts of so many small tables would fill the
+    driver.
     """
     margins = list(targets)
-    goals, factors = {}, {}
     for m in margins:
         own = cells.select(m).distinct().withColumn("w", weight(F.col(m), targets[m]))
         every = own.agg(F.sum("w")).first()[0] or 0.0
-        goals[m] = shared_table(own.select(m, (F.col("w") / every if every else F.lit(0.0)).alias("goal")))
-        factors[m] = goals[m].select(m, F.lit(1.0).alias(f"f_{m}"))
+        cells = cells.join(own.select(m, (F.col("w") / every if every else F.lit(0.0)).alias(f"goal_{m}")).hint("merge"), m)
+    cells = shared_table(cells.withColumn("factor", F.lit(1.0)))
+    names = cells.columns
     for _ in range(rounds):
-        moved = []
+        now = cells
         for m in margins:
-            under = reduce(lambda x, o: x.join(factors[o], o), [o for o in margins if o != m], cells)
-            now = under.groupBy(m).agg(F.sum(reduce(lambda x, o: x * F.col(f"f_{o}"), [o for o in margins if o != m], F.col("tokens"))).alias("now"))
-            new = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
-            both = now.join(goals[m], m).join(factors[m], m).select(m, new.alias("new"), F.col(f"f_{m}").alias("old"))
-            both = shared_table(both)
-            factors[m] = both.select(m, F.col("new").alias(f"f_{m}"))
-            moved.append(both.select("new", "old"))
-        change = F.max(F.when(F.col("old") != 0, F.abs(F.col("new") / F.col("old") - 1)).otherwise(F.col("new")))
-        if (reduce(DataFrame.unionByName, moved).agg(change).first()[0] or 0.0) <= residual:
+            sums = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now"))
+            now = now.join(sums.hint("merge"), m).withColumn(f"by_{m}", F.when(F.col("now") > 0, F.col(f"goal_{m}") / F.col("now")).otherwise(1.0))
+            now = now.withColumn("factor", F.col("factor") * F.col(f"by_{m}")).drop("now")
+        now = shared_table(now)
+        moved = now.agg(F.max(F.greatest(*[F.abs(F.col(f"by_{m}") - 1) for m in margins]))).first()[0]
+        cells = now.select(*names)
+        if (moved or 0.0) <= residual:
             break
-    every = reduce(lambda x, m: x.join(factors[m], m), margins, cells)
-    return every.select(*cells.columns, reduce(lambda x, y: x * y, [F.col(f"f_{m}") for m in margins]).alias("factor"))
+    return cells.drop(*[f"goal_{m}" for m in margins])
 
 
 def probabilities(cells: DataFrame, budget: float = BUDGET, fits: int = FITS) -> DataFrame:
