@@ -68,12 +68,20 @@ def fingerprint(text: Column) -> Column:
 # classification
 
 
+def _matches(x: Column, pattern: str) -> Column:
+    held = [F.contains(x, F.lit(w)) for w in P.HOLDS[pattern]]
+    some = held[0]
+    for h in held[1:]:
+        some = some | h
+    return some & x.rlike(pattern)
+
+
 def state(text: Column) -> Column:
     """ABROGATO, PARZIALMENTE_ABROGATO or ATTIVO."""
     t = F.coalesce(text, F.lit(""))
     low = F.lower(t)
     whole = t.rlike(P.REPEALED_ONLY) | F.substring(low, 1, 80).rlike(P.REPEALED_START)
-    return F.when(whole, "ABROGATO").when(low.rlike(P.REPEALED_PART), "PARZIALMENTE_ABROGATO").otherwise("ATTIVO")
+    return F.when(whole, "ABROGATO").when(_matches(low, P.REPEALED_PART), "PARZIALMENTE_ABROGATO").otherwise("ATTIVO")
 
 
 def change(text: Column, is_original: Column, state_: Column) -> Column:
@@ -81,9 +89,9 @@ def change(text: Column, is_original: Column, state_: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     low = F.lower(t)
     out = F.when(F.coalesce(is_original, F.lit(False)), "originale")
-    out = out.when((state_ == "ABROGATO") & low.rlike(P.REPEALED_UNIT), "parzialmente_abrogato").when(state_ == "PARZIALMENTE_ABROGATO", "parzialmente_abrogato").when(state_ == "ABROGATO", "abrogazione")
+    out = out.when((state_ == "ABROGATO") & _matches(low, P.REPEALED_UNIT), "parzialmente_abrogato").when(state_ == "PARZIALMENTE_ABROGATO", "parzialmente_abrogato").when(state_ == "ABROGATO", "abrogazione")
     for pattern, kind in P.CHANGES:
-        out = out.when((t if pattern == P.REPLACED else low).rlike(pattern), kind)
+        out = out.when(_matches(t if pattern == P.REPLACED else low, pattern), kind)
     return out.otherwise("modificato")
 
 

@@ -239,6 +239,11 @@ def merged_nodes(spark, sf_dir):
     return graph.merged(c.select(k.alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")), new, "key")
 
 
+@query("SELECT l_orderkey AS key, count(*) AS copies FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    return graph.unique_keys(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")), "key").withColumnRenamed("count", "copies")
+
+
 # ------------------------------------------------------------ files
 
 
