@@ -65,6 +65,13 @@ _ANGLES, _TESTS = 16, 64
 # ---------------------------------------------------------------- images
 
 
+def _nearest_of(a: int, b: int, c: int) -> int:
+    """The one of left, above and corner that is nearest to left + above - corner."""
+    p = a + b - c
+    x, y, z = abs(p - a), abs(p - b), abs(p - c)
+    return a if x <= y and x <= z else b if y <= z else c
+
+
 def _png(data: bytes) -> np.ndarray | None:
     at, packed, head, palette = 8, [], None, None
     while at + 8 <= len(data):
@@ -83,25 +90,24 @@ def _png(data: bytes) -> np.ndarray | None:
     k = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, w * k + 1)
     out = np.zeros((h, w * k), np.uint8)
-    above = np.zeros(w * k, np.int64)
+    above = np.zeros((w, k), np.int64)
     for y in range(h):
-        line, mode = raw[y, 1:].astype(np.int64), raw[y, 0]
-        if mode == 2:
+        line, mode = raw[y, 1:].astype(np.int64).reshape(w, k), raw[y, 0]
+        if mode == 1:
+            line = line.cumsum(0) & 255
+        elif mode == 2:
             line = (line + above) & 255
-        elif mode in (1, 3, 4):
-            for i in range(w * k):
-                a = line[i - k] if i >= k else 0
-                if mode == 1:
-                    add = a
-                elif mode == 3:
-                    add = (a + above[i]) >> 1
+        elif mode in (3, 4):
+            # each pixel needs the one before it, so these go pixel by pixel
+            left, corner = [0] * k, [0] * k
+            for at, (own, up) in enumerate(zip(line.tolist(), above.tolist())):
+                if mode == 3:
+                    left = [(x + ((a + b) >> 1)) & 255 for x, a, b in zip(own, left, up)]
                 else:
-                    c = above[i - k] if i >= k else 0
-                    p = a + above[i] - c
-                    near = (abs(p - a), abs(p - above[i]), abs(p - c))
-                    add = (a, above[i], c)[near.index(min(near))]
-                line[i] = (line[i] + add) & 255
-        out[y], above = line, line
+                    left = [(x + _nearest_of(a, b, c)) & 255 for x, a, b, c in zip(own, left, up, corner)]
+                    corner = up
+                line[at] = left
+        out[y], above = line.reshape(-1), line
     out = out.reshape(h, w, k)
     if kind == 3:
         out = palette[out[:, :, 0]]

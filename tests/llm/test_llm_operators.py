@@ -566,6 +566,19 @@ def test_decoders():
     chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
     png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 3, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
     assert (media.decode(png) == x).all()
+    # all five line filters, on three channels
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (10, 7, 3)).astype(np.int64)
+    lines = b""
+    for y in range(10):
+        up = x[y - 1] if y else np.zeros((7, 3), np.int64)
+        left, corner = np.vstack((np.zeros((1, 3), np.int64), x[y, :-1])), np.vstack((np.zeros((1, 3), np.int64), up[:-1]))
+        base = left + up - corner
+        far = np.abs(np.stack((base - left, base - up, base - corner)))
+        guess = (0 * left, left, up, (left + up) >> 1, np.choose(far.argmin(0), (left, up, corner)))[y % 5]
+        lines += bytes([y % 5]) + ((x[y] - guess) & 255).astype(np.uint8).tobytes()
+    color = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert (media.decode(color) == x.sum(2) // 3).all()
     assert media.decode(png[:40]) is None and media.decode(b"P5 9 9 255\nshort") is None
 
 
