@@ -189,3 +189,50 @@ def test_session_settings_stay(spark, docs):
     simhash.near_duplicates(docs).collect()
     packing.pack(docs).collect()
     assert before == {k: spark.conf.get(k) for k in before}
+
+
+def test_values_of_odd_rows(docs, labels):
+    """Null and empty texts, text without a letter, repeated rows: the results that the docstrings define."""
+    by = lambda df: {r["doc_id"]: r for r in df.collect()}
+    got = by(simhash.near_duplicates(docs))
+    assert (got[2]["fp"], got[3]["fp"], got[2]["component_id"], got[3]["component_id"]) == (0, 0, 2, 2)
+    got = by(language.identify(docs))
+    assert {i: (got[i]["lang_pred"], got[i]["score"]) for i in (2, 3, 6)} == {i: ("und", 0.0) for i in (2, 3, 6)}
+    assert got[9]["lang_pred"] in ("en", "de", "it", "es") and got[None]["lang_pred"] == "en"
+    got = by(quality.classify(docs, labels))
+    assert got[2]["score"] == got[3]["score"] and 0 <= got[2]["score"] <= 1
+    got = by(licenses.scan(docs))
+    for i in (2, 3):
+        assert (got[i]["n_words"], got[i]["n_base"], got[i]["first_word"], got[i]["last_word"], got[i]["labels"], got[i]["score"]) == (0, 0, None, None, "", 0.0)
+    assert (got[7]["base_labels"], got[7]["labels"], got[7]["n_words"]) == ("reserved", "mit,reserved", 8)
+    got = by(mixing.mix(docs))
+    assert got[2]["tokens"] == got[3]["tokens"] == 1 and got[2]["topic"] == "prose"
+    got = by(merkle.fingerprints_with_edits(docs))
+    assert got[2]["fingerprint"] == got[3]["fingerprint"] and got[2]["n_chars"] == 0 and got[2]["near_edited"] == 1.0
+    got = [r for r in packing.pack(docs).collect() if r["doc_id"] in (2, 3)]
+    assert [(r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in got] == [(0, 0, 1, bytes(4))] * 2
+    got = {r["length"]: r["n_docs"] for r in lengths.context_limits(lengths.token_lengths(docs)).collect()}
+    assert got[0] == 2 and sum(got.values()) == len(rows())
+
+
+def test_names_of_results_may_be_names_of_columns(spark):
+    d = spark.createDataFrame([(i, f"some text {i} " * 50, "x", 1, 2.0, "y", True) for i in range(5)], "doc_id long, text string, sequence_id string, offset int, positions double, ids string, open boolean")
+    assert packing.pack(d, digest=True).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert binary.packed_rows(d).columns == binary.NAMES
+    assert packing.pack(d).agg(F.countDistinct("doc_id")).first()[0] == binary.unpack(binary.packed_rows(d)).agg(F.countDistinct("doc_id")).first()[0] == 5
+
+
+def test_pipeline_on_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_packing_stage(docs):
+    import corpus_pipeline
+
+    got = corpus_pipeline.packing_stage(docs.sparkSession, docs, "").collect()
+    assert sorted({str(r["doc_id"]) for r in got}) == sorted({str(r[0]) for r in rows()})
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
