@@ -16,7 +16,7 @@ No word's images are paired with each other. In a few rounds each image is
 compared with the one that most of its words have for their first, in an order
 of images that changes from round to round; what belongs together by then needs
 no further comparison. For what is left, an image asks only its rarer words who
-else has them: the more frequent ones hold, all together, a few descriptors too few
+else has them: the more frequent ones hold, all together, some descriptors too few
 for a link (prefix filter). So neither a group of copies nor a word that a third
 of all images have gives pairs, and no link is lost.
 
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemma.llm.common import col, connected_components, map_rows, shared_table, sliced
+from stemma.llm.common import col, connected_components, drop_table, map_rows, shared_table, sliced
 from stemma.llm.simhash import GrayIndex, _merge
 
 #: Brightness step of a corner, scales, half a patch, pixels around in which a corner is the strongest, bits that may differ.
@@ -55,8 +55,6 @@ PIXELS = 1 << 17
 BROADCAST_PAIRS = 1_000_000
 #: Rounds in which each image is compared with one other, before pairs of images of different groups are.
 STARS = 2
-#: Descriptors in its rarer words by which an image of the rest must meet another (VOTES at most).
-RARE = 4
 #: Descriptors that a task hands on at once, in how many parts a block table is gone through, descriptors compared one by one, pairs of descriptors at once.
 CHUNK, PARTS, WINDOW, CELLS = 1 << 19, 2, 2048, 1 << 22
 _ANGLES, _TESTS = 16, 64
@@ -523,26 +521,28 @@ def grouped(words: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def rest_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
-    """(a, b): images of different groups that have enough descriptors in words that they share; words (word, image, many, group).
+    """(a, b): images of different groups that could be links; words (word, image, many, group).
 
-    The smaller image of a link has so many of them that RARE lie in words beyond
-    its most frequent ones, which together hold RARE descriptors too few. So only
-    words beyond these are asked who else has them, and only images that meet in
-    RARE descriptors of these are looked at further.
+    The smaller image of a link has so many descriptors in words that both have
+    that ``votes`` lie beyond its most frequent words, which together hold as many
+    too few. So only words beyond these are asked who else has them, and only
+    images that meet in ``votes`` descriptors of these go on.
     """
     need = F.ceil(F.greatest(F.lit(votes), share * F.col("n_features"))).cast("long")
     counted = words.join(words.groupBy("word").agg(F.count("*").alias("images")), "word")
-    own = counted.join(sizes.select(F.col("no").alias("image"), "n_features"), "image")
-    most_first = Window.partitionBy("image").orderBy(F.desc("images"), "word").rowsBetween(Window.unboundedPreceding, 0)
-    own = shared_table(own.withColumn("rare", F.sum("many").over(most_first) > need - RARE), "zstd")
-    side = lambda x, rows: rows.select("word", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "group", "n_features", "many")])
+    own = counted.join(sizes.select(F.col("no").alias("image"), "n_features"), "image").withColumn("need", need)
+    of = Window.partitionBy("image")
+    most_first = of.orderBy(F.desc("images"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    # in all words of the rest both need as many as a link of the smaller takes
+    own = own.withColumns({"all": F.sum("many").over(of), "up_to": F.sum("many").over(most_first)})
+    own = shared_table(own.withColumn("rare", (F.col("up_to") > F.col("need") - votes) & (F.col("all") >= F.col("need"))).drop("up_to", "images"), "zstd")
+    side = lambda x, rows, *names: rows.select("word", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "group", "n_features")], *names)
     larger = (F.col("a_n_features") < F.col("b_n_features")) | (F.col("a_n_features") == F.col("b_n_features")) & (F.col("a_image") < F.col("b_image"))
-    met = side("a", own.where("rare")).join(side("b", own).drop("b_many"), "word").where(larger & (F.col("a_group") != F.col("b_group")))
-    pairs = shared_table(met.groupBy("a_image", "b_image").agg(F.sum("a_many").alias("m")).where(F.col("m") >= RARE).drop("m"))
-    # of these the ones with enough descriptors in all words that they share
-    both = pairs.join(side("a", own).drop("a_group"), "a_image").join(side("b", own).drop("b_group"), ["word", "b_image"])
-    summed = both.groupBy("a_image", "b_image").agg(F.least(F.sum("a_many"), F.sum("b_many")).alias("most"), F.least(F.max("a_n_features"), F.max("b_n_features")).alias("n"))
-    return summed.where(F.col("most") >= F.greatest(F.lit(votes), share * F.col("n"))).select(F.col("a_image").alias("a"), F.col("b_image").alias("b"))
+    met = side("a", own.where("rare"), "many", "need").join(side("b", own, "all"), "word").where(larger & (F.col("a_group") != F.col("b_group")) & (F.col("all") >= F.col("need")))
+    met = met.groupBy("a_image", "b_image").agg(F.sum("many").alias("m")).where(F.col("m") >= votes)
+    pairs = shared_table(met.select(F.col("a_image").alias("a"), F.col("b_image").alias("b")))
+    drop_table(own)
+    return pairs
 
 
 def image_groups(found: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
@@ -551,15 +551,14 @@ def image_groups(found: DataFrame, votes: int = VOTES, share: float = SHARE) ->
     sizes = found.select("no", "n_features")
     left = words.withColumn("group", F.col("image"))
     links = found.sparkSession.createDataFrame([], "a long, b long")
-    parts = None
     for seed in range(STARS):
         new = shared_table(linked(shared_table(star_pairs(left, sizes, seed, votes, share)), found, votes, share))
         if not new.head(1):
             continue
         links = links.unionByName(new)
-        parts = shared_table(connected_components(links))
-        left = shared_table(grouped(left.select("word", "image", "many"), parts), "zstd")
-    more = shared_table(linked(shared_table(rest_pairs(left, sizes, votes, share)), found, votes, share))
+        before, left = left, shared_table(grouped(left.select("word", "image", "many"), shared_table(connected_components(links))), "zstd")
+        drop_table(before)
+    more = shared_table(linked(rest_pairs(left, sizes, votes, share), found, votes, share))
     return connected_components(links.unionByName(more))
 
 
