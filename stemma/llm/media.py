@@ -381,7 +381,7 @@ def near_pairs(fps: np.ndarray, p: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _words(p: int):
-    """(word, image, many): a word's images, and how many descriptors of the image it has."""
+    """(word, image, hub, many): a word's images, the first of them, and how many descriptors of the image it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, images = [], []
@@ -412,17 +412,17 @@ def _words(p: int):
         word, images = word[new], images[new]
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else new
         size = np.diff(np.append(first, len(word)))
-        keep = np.repeat(size, size) > 1
+        hub, keep = np.repeat(images[first], size), np.repeat(size, size) > 1
         name = (fps[word] ^ np.uint64(0x9E3779B97F4A7C15 * (p + 1) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-        columns = [name[keep], images[keep], many[keep].astype(np.int32)]
+        columns = [name[keep], images[keep], hub[keep], many[keep].astype(np.int32)]
         for at in range(0, len(columns[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["word", "image", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["word", "image", "hub", "many"])
 
     return run
 
 
 def visual_words(found: DataFrame) -> DataFrame:
-    """(word, image, many) of (no, n_features, bits): one block table after the other, each in PARTS, so that little is on disk at a time."""
+    """(word, image, hub, many) of (no, n_features, bits): one block table after the other, each in PARTS, so that little is on disk at a time."""
     spark = found.sparkSession
     n = found.agg(F.sum("n_features")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (PARTS << 21)), 1)
@@ -431,7 +431,7 @@ def visual_words(found: DataFrame) -> DataFrame:
     for p in range(4):
         for part in range(PARTS):
             dealt = own.mapInArrow(_packed(p, part, buckets), "bucket int, bits binary, images binary").repartition(buckets, "bucket")
-            tables.append(shared_table(dealt.mapInArrow(_words(p), "word long, image long, many int"), "zstd"))
+            tables.append(shared_table(dealt.mapInArrow(_words(p), "word long, image long, hub long, many int"), "zstd"))
     out = tables[0]
     for x in tables[1:]:
         out = out.unionByName(x)
@@ -496,14 +496,12 @@ def linked(pairs: DataFrame, found: DataFrame, votes: int = VOTES, share: float
     return map_rows(both, inputs, [T.StructField("ok", T.BooleanType())], make, ["a", "b"], "ok")
 
 
-def star_pairs(words: DataFrame, sizes: DataFrame, seed: int, votes: int = VOTES, share: float = SHARE) -> DataFrame:
-    """(a, b): each image with the image of another group that most of its descriptors' words have for their first, in an order that the seed gives.
+def star_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
+    """(a, b): each image with the one that most of its descriptors' words have for their hub, if that is of another group.
 
-    Only where these alone could be enough votes. words: (word, image, many, group).
+    Only where these alone could be enough votes. words: (word, image, hub, many, group, hub_group).
     """
-    place = F.xxhash64(F.lit(seed), "image")
-    first = words.groupBy("word").agg(F.min(F.struct(place, F.col("image").alias("hub"), F.col("group").alias("hub_group"))).alias("h")).select("word", "h.hub", "h.hub_group")
-    met = words.join(first, "word").where(F.col("group") != F.col("hub_group")).groupBy("image", "hub").agg(F.sum("many").alias("m")).where(F.col("m") >= votes)
+    met = words.where(F.col("group") != F.col("hub_group")).groupBy("image", "hub").agg(F.sum("many").alias("m")).where(F.col("m") >= votes)
     best = met.groupBy("image").agg(F.max(F.struct("m", "hub")).alias("s")).select("image", "s.hub", "s.m")
     few = best.count() <= BROADCAST_PAIRS
     size = lambda k: (F.broadcast if few else lambda x: x)(sizes).select(F.col("no").alias(k), F.col("n_features").alias(f"n_{k}"))
@@ -511,13 +509,18 @@ def star_pairs(words: DataFrame, sizes: DataFrame, seed: int, votes: int = VOTES
     return able.select(F.col("hub").alias("a"), F.col("image").alias("b"))
 
 
-def grouped(words: DataFrame, parts: DataFrame) -> DataFrame:
-    """The words' images with their ``group``, and only words whose images are in several groups."""
+def grouped(words: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
+    """Of (word, image, hub, many) the words whose images are in several groups, with ``group``, and with another hub and its group: the first in an order of images that the seed gives."""
     few = parts.count() <= BROADCAST_PAIRS
-    named = parts.select(F.col("node").alias("image"), F.col("root").alias("g"))
-    x = words.select("word", "image", "many").join(F.broadcast(named) if few else named, "image", "left").withColumn("group", F.coalesce("g", "image")).drop("g")
-    apart = x.groupBy("word").agg(F.min("group").alias("l"), F.max("group").alias("m")).where("l < m").select("word")
-    return x.join(apart, "word", "left_semi")
+    named = lambda node, root: (F.broadcast if few else lambda x: x)(parts.select(F.col("node").alias(node), F.col("root").alias(root)))
+    x = words.select("word", "image", "hub", "many").join(named("image", "g"), "image", "left").withColumn("group", F.coalesce("g", "image")).drop("g")
+    x = x.join(named("hub", "h"), "hub", "left").withColumn("of", F.coalesce("h", "hub"))
+    # an image outside the group of its word's hub shows that the word has several
+    apart = shared_table(x.where(F.col("group") != F.col("of")).select("word").distinct())
+    few = apart.count() <= BROADCAST_PAIRS
+    x = x.select("word", "image", "many", "group").join(F.broadcast(apart) if few else apart, "word", "left_semi")
+    first = x.groupBy("word").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "image"), F.col("image").alias("hub"), F.col("group").alias("hub_group"))).alias("h"))
+    return x.join(first.select("word", "h.hub", "h.hub_group"), "word")
 
 
 def rest_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
@@ -549,14 +552,14 @@ def image_groups(found: DataFrame, votes: int = VOTES, share: float = SHARE) ->
     """(node, root): each linked image with the first of its group; found: (no, n_features, bits, xs, ys, levels)."""
     words = visual_words(found)
     sizes = found.select("no", "n_features")
-    left = words.withColumn("group", F.col("image"))
+    left = words.withColumns({"group": F.col("image"), "hub_group": F.col("hub")})
     links = found.sparkSession.createDataFrame([], "a long, b long")
     for seed in range(STARS):
-        new = shared_table(linked(shared_table(star_pairs(left, sizes, seed, votes, share)), found, votes, share))
+        new = shared_table(linked(shared_table(star_pairs(left, sizes, votes, share)), found, votes, share))
         if not new.head(1):
             continue
         links = links.unionByName(new)
-        before, left = left, shared_table(grouped(left.select("word", "image", "many"), shared_table(connected_components(links))), "zstd")
+        before, left = left, shared_table(grouped(left, shared_table(connected_components(links)), seed), "zstd")
         drop_table(before)
     more = shared_table(linked(rest_pairs(left, sizes, votes, share), found, votes, share))
     return connected_components(links.unionByName(more))

@@ -682,7 +682,7 @@ def test_image_groups_are_those_of_brute_force(spark, stars, monkeypatch):
 
 
 def test_a_common_part_is_no_copy(spark):
-    """A word in all images: no pair of them is a link, and no pair of them is even compared."""
+    """A word in all images: no pair of them is a link, and few of the 435 are even compared."""
     rng = np.random.default_rng(9)
     common = np.kron(rng.integers(0, 256, (8, 40)), np.ones((3, 3))).astype(np.uint8)
     images = [media.encode(np.concatenate((common, np.kron(rng.integers(0, 256, (80, 40)), np.ones((3, 3))).astype(np.uint8)))) for _ in range(30)]
@@ -691,7 +691,7 @@ def test_a_common_part_is_no_copy(spark):
     found = media.with_features(d, ["id", "key"]).withColumn("no", F.monotonically_increasing_id()).cache()
     words = media.visual_words(found)
     assert words.groupBy("word").count().agg(F.max("count")).first()[0] == 30
-    assert media.rest_pairs(words.withColumn("group", F.col("image")), found).count() == 0
+    assert media.rest_pairs(words.withColumn("group", F.col("image")), found).count() < 100
     assert {r["component_id"] for r in media.find_copies(d, "id").collect()} == set(range(30))
 
 
@@ -707,7 +707,7 @@ def test_every_near_pair_of_descriptors_has_a_word_in_common(spark):
     held: dict = {}
     for r in words.collect():
         held.setdefault(r["image"], set()).add(r["word"])
-        assert r["many"] == 1
+        assert r["many"] == 1 and r["hub"] <= r["image"]
     for i in range(len(fps)):
         for j in range(i):
             if (fps[i] ^ fps[j]).bit_count() <= 3:
