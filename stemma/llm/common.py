@@ -121,7 +121,8 @@ def shared_table(df: DataFrame, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     with _without_old_shuffles(spark):
-        df.write.option("compression", codec).parquet(path)
+        # small row groups, so that writers of wide rows hold little
+        df.write.option("compression", codec).option("parquet.block.size", str(32 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
