@@ -129,10 +129,18 @@ def _underscored(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, "_+", "_"), "^_|_$", "")
 
 
+def _named(body, **values: Column) -> Column:
+    """An expression of a struct of values each of which is worked out once a row, however often the expression uses it."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def fragment(f: Column) -> Column:
     """A fragment's normal form: an article, an annex, a plain id, or what is left of it."""
     low = F.lower(squish(F.coalesce(f, F.lit(""))))
-    art = F.regexp_extract(low, P.FRAGMENT_ARTICLE, 1)
+    return _named(lambda x: _fragment(x["low"], x["art"]), low=low, art=F.regexp_extract(low, P.FRAGMENT_ARTICLE, 1))
+
+
+def _fragment(low: Column, art: Column) -> Column:
     annex = P.FRAGMENT_ANNEX
     suffix = _underscored(F.regexp_replace(F.trim(F.regexp_extract(low, annex, 1)), r"[.\-\s]+", "_"))
     rest = _underscored(F.regexp_replace(F.regexp_replace(low, r"[\s\.]+", "_"), "[^a-z0-9_]", ""))
@@ -145,14 +153,19 @@ def urn_of(href: Column) -> Column:
     """A reference as a URN with a normal fragment; unknown forms stay as they are."""
     h = F.regexp_replace(F.trim(href), "~", "#")
     parts = F.split(h, "#", 2)
-    base, frag = F.trim(F.get(parts, F.lit(0))), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
-    joined = lambda urn, f: F.concat(urn, F.when(f != "", F.concat(F.lit("#"), f)).otherwise(""))
+    return _named(lambda x: _urn_of(x["h"], x["base"], x["frag"]), h=h, base=F.trim(F.get(parts, F.lit(0))), frag=F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))))
+
+
+def _urn_of(h: Column, base: Column, frag: Column) -> Column:
+    def joined(urn: Column, f: Column) -> Column:
+        return _named(lambda x: F.concat(x["urn"], F.when(x["f"] != "", F.concat(F.lit("#"), x["f"])).otherwise("")), urn=urn, f=fragment(f))
+
     g = lambda p, i: F.regexp_extract(base, p, i)
     urn = F.concat(g(P.URN, 1), F.lit(":"), urn_type(g(P.URN, 2)), F.lit(":"), g(P.URN, 3), F.lit(";"), g(P.URN, 4))
     akn = F.concat(F.lit("urn:nir:stato:"), urn_type(g(P.AKN, 1)), F.lit(":"), g(P.AKN, 3), F.lit(";"), g(P.AKN, 4))
     inner = F.regexp_replace(g(P.AKN, 5), "^!?main/?", "")
-    out = F.when(F.coalesce(h, F.lit("")) == "", None).when(base.rlike(P.URN), joined(urn, fragment(frag))).when(base.startswith("urn:nir"), base)
-    return out.when(base.rlike(P.AKN), joined(akn, fragment(F.when(frag != "", frag).otherwise(inner)))).otherwise(h)
+    out = F.when(F.coalesce(h, F.lit("")) == "", None).when(base.rlike(P.URN), joined(urn, frag)).when(base.startswith("urn:nir"), base)
+    return out.when(base.rlike(P.AKN), joined(akn, F.when(frag != "", frag).otherwise(inner))).otherwise(h)
 
 
 def law_urn(href: Column) -> Column:
