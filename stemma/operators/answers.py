@@ -43,11 +43,39 @@ def history(contexts: DataFrame) -> DataFrame:
 
 
 def all_versions(articles: DataFrame, docs: DataFrame, size: int = 50) -> DataFrame:
-    """The versions of each asked article (qid, number, code, from, to), by date, at most ``size`` a question; several versions of a partition stay."""
+    """The versions of each asked article (qid, number, code, from, to), by date, at most ``size`` a question; several versions of a partition stay.
+
+    Versions never meet all questions of their article. ``to`` only ends a list
+    by date, so questions of one article and ``from`` share theirs. For that list,
+    an article's versions are dealt by how many of its distinct ``from`` they last
+    to; of each range of 1, 2, 4, ... such numbers the first ``size`` suffice, and
+    a ``from`` takes the few ranges that make up its own number and all above.
+    """
+    key, order = ["number", "code"], ["valido_dal_raw", "versione_id"]
     d = docs.withColumnsRenamed({"numero_puro": "number", "codice_breve_atto": "code"})
-    x = d.join(articles, ["number", "code"]).where((F.col("valido_dal_raw") <= F.col("to")) & (F.col("valido_al_raw") >= F.col("from")))
-    w = Window.partitionBy("qid").orderBy("valido_dal_raw", "versione_id")
-    return x.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= size)
+    own, asking = ([c for c in x.columns if c not in key] for x in (d, articles))
+
+    def first(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= size).drop("__r")
+
+    asked = articles.select(*key, "from").where("number is not null and code is not null and `from` is not null").distinct()
+    d = first(d.where("number is not null and code is not null and valido_dal_raw is not null and valido_al_raw is not null"), [*key, "valido_al_raw"])
+    # a version's number: of the article's ``from`` that are not after its end
+    at = lambda x, c, is_from: x.select(*key, F.col(c).alias("__at"), F.lit(is_from).alias("__from"), *[F.col(n) if not is_from else F.lit(None).alias(n) for n in own])
+    w = Window.partitionBy(*key)
+    x = at(d, "valido_al_raw", 0).unionByName(at(asked, "from", 1))
+    x = x.withColumns({"__n": F.sum("__from").over(w.orderBy("__at", F.desc("__from")).rowsBetween(Window.unboundedPreceding, 0)) - 1, "__last": F.sum("__from").over(w) - 1})
+    x = x.where("__from = 0 and __n >= 0").drop("__at", "__from")
+    node = "transform(sequence(0, length(bin(__last)) - 1), l -> struct(l as level, shiftright(__n, l){right} as node))"
+    x = x.select(*key, F.inline(F.expr(node.format(right=""))), *own).where("level = 0 or node % 2 = 1")
+    held = first(x, [*key, "level", "node"])
+    f = asked.withColumns({"__n": F.row_number().over(w.orderBy("from")) - 1, "__last": F.count("*").over(w) - 1})
+    right = F.filter(F.expr(node.format(right=" + 1")), lambda s: s["node"] % 2 == 1)
+    f = f.select(*key, "from", F.inline(F.concat(F.expr("array(struct(0 as level, __n as node))"), right)))
+    hits = first(f.join(held, [*key, "level", "node"]), [*key, "from"]).drop("level", "node")
+    x = hits.join(articles, [*key, "from"]).where(F.col("valido_dal_raw") <= F.col("to"))
+    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)).cast("long"))
+    return x.where(F.col("rank") <= size).select(*key, *own, *asking, "rank")
 
 
 def context_block(contexts: DataFrame, limit: int = 800) -> DataFrame:

@@ -250,3 +250,41 @@ def test_search_in_blocks_is_the_joined_search(spark, monkeypatch):
     assert a == rows(search.bm25(index, qs, 5, indexed=True))
     assert search.bm25(docs.limit(0), qs, 5).collect() == [] and search.bm25(docs, qs.limit(0), 5).collect() == []
     assert search.nearest(vectors, asked.limit(0), 4).collect() == []
+
+
+def rows_of_joins(plan):
+    """The rows that each join of an executed plan has made."""
+    kind = plan.getClass().getSimpleName()
+    inside = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    children = [inside] if inside is not None else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if "Join" in kind else []
+    return own + [n for c in children for n in rows_of_joins(c)]
+
+
+def all_versions_one_by_one(asked, docs, size):
+    out = set()
+    for qid in {q for q, *_ in asked}:
+        own = [(d[3], d[0]) for a in asked if a[0] == qid for d in docs if None not in a + d[1:] and a[1:3] == d[1:3] and d[3] <= a[4] and d[4] >= a[3]]
+        out |= {(qid, v, rank) for rank, (_, v) in enumerate(sorted(own)[:size], 1)}
+    return out
+
+
+@pytest.mark.parametrize("n_docs, n_asked, days, size", [(300, 60, 25, 5), (400, 300, 200, 3), (40, 40, 4, 50), (200, 100, 1000, 1)])
+def test_all_versions_of_articles_with_many_windows(spark, n_docs, n_asked, days, size):
+    rng = random.Random(days)
+    some = lambda v: None if rng.random() < 0.04 else v
+    docs = [(f"v{i}", some(rng.randrange(3)), some(rng.choice("FO")), some(s := rng.randrange(days)), some(s + rng.randrange(-2, days))) for i in range(n_docs)]
+    asked = [(some(rng.randrange(n_asked)), some(rng.randrange(4)), some(rng.choice("FO")), some(s := rng.randrange(days)), some(s + rng.randrange(days))) for _ in range(n_asked)]
+    d = spark.createDataFrame(docs, "versione_id string, numero_puro long, codice_breve_atto string, valido_dal_raw int, valido_al_raw int")
+    a = spark.createDataFrame(asked, "qid long, number long, code string, `from` int, `to` int")
+    got = {(r["qid"], r["versione_id"], r["rank"]) for r in answers.all_versions(a, d, size).collect()}
+    assert got == all_versions_one_by_one([a for a in asked if a[0] is not None], docs, size) | {(None, v, r) for q, v, r in got if q is None}
+
+
+def test_all_versions_do_not_meet_all_questions(spark):
+    """1,000 questions about an article of 2,000 versions: two million pairs, 50,000 rows."""
+    d = spark.range(2000).select(F.col("id").cast("string").alias("versione_id"), F.lit(1).alias("numero_puro"), F.lit("F").alias("codice_breve_atto"), F.col("id").cast("int").alias("valido_dal_raw"), F.lit(99991231).alias("valido_al_raw"))
+    a = spark.range(1000).select(F.col("id").alias("qid"), F.lit(1).alias("number"), F.lit("F").alias("code"), (F.col("id") % 40).cast("int").alias("from"), F.lit(20001231).alias("to"))
+    x = answers.all_versions(a, d).select("qid", "rank")
+    assert len(x.collect()) == 50_000
+    assert max(rows_of_joins(x._jdf.queryExecution().executedPlan())) <= 50_000
