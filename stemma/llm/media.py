@@ -381,7 +381,7 @@ def near_pairs(fps: np.ndarray, p: int) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def _words(p: int):
-    """(word, image, hub, many): a word's images, the first of them, and how many descriptors of the image it has."""
+    """(word, image, hub, many, own): a word's images, the first of them, how many descriptors of the image it has, and which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, images = [], []
@@ -406,7 +406,7 @@ def _words(p: int):
         word = label[kind]
         own = np.flatnonzero(held[word])
         order = own[np.lexsort((images[own], word[own]))]
-        word, images = word[order], images[order]
+        word, images, held = word[order], images[order], fps[kind[order]].view(np.int64)
         new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (images[1:] != images[:-1])))) if len(word) else np.zeros(0, np.int64)
         many = np.diff(np.append(new, len(word)))
         word, images = word[new], images[new]
@@ -414,15 +414,16 @@ def _words(p: int):
         size = np.diff(np.append(first, len(word)))
         hub, keep = np.repeat(images[first], size), np.repeat(size, size) > 1
         name = (fps[word] ^ np.uint64(0x9E3779B97F4A7C15 * (p + 1) & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-        columns = [name[keep], images[keep], hub[keep], many[keep].astype(np.int32)]
-        for at in range(0, len(columns[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["word", "image", "hub", "many"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(held)).astype(np.int32)), pa.array(held)).filter(pa.array(keep))
+        columns = [*[pa.array(c[keep]) for c in (name, images, hub, many.astype(np.int32))], lists]
+        for at in range(0, len(lists), 1 << 16):
+            yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in columns], ["word", "image", "hub", "many", "own"])
 
     return run
 
 
 def visual_words(found: DataFrame) -> DataFrame:
-    """(word, image, hub, many) of (no, n_features, bits): one block table after the other, each in PARTS, so that little is on disk at a time."""
+    """(word, image, hub, many, own) of (no, n_features, bits): one block table after the other, each in PARTS, so that little is on disk at a time."""
     spark = found.sparkSession
     n = found.agg(F.sum("n_features")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (PARTS << 21)), 1)
@@ -431,7 +432,7 @@ def visual_words(found: DataFrame) -> DataFrame:
     for p in range(4):
         for part in range(PARTS):
             dealt = own.mapInArrow(_packed(p, part, buckets), "bucket int, bits binary, images binary").repartition(buckets, "bucket")
-            tables.append(shared_table(dealt.mapInArrow(_words(p), "word long, image long, hub long, many int"), "zstd"))
+            tables.append(shared_table(dealt.mapInArrow(_words(p), "word long, image long, hub long, many int, own array<long>"), "zstd"))
     out = tables[0]
     for x in tables[1:]:
         out = out.unionByName(x)
@@ -445,14 +446,16 @@ def _steps(x: np.ndarray) -> np.ndarray:
     return (np.sign(x) * np.floor(np.abs(x) / 4 + 0.5)).astype(np.int64)
 
 
-def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> int:
-    """The most descriptors of both images that agree on one scale and shift, brought onto either of them; images as (bits, xs, ys, levels)."""
+def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float = 0) -> int:
+    """The most descriptors of both images that agree on one scale and shift, brought onto either of them; images as (bits, xs, ys, levels). 0 as soon as they can't be ``least``."""
     found = []
     step = max(1, CELLS // max(1, len(b[0])))
     for at in range(0, len(a[0]), step):
         i, j = np.nonzero(np.bitwise_count(a[0][at : at + step, None] ^ b[0][None, :]) <= RADIUS)
         found.append((i + at, j))
     i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+    if min(np.count_nonzero(np.bincount(i)), np.count_nonzero(np.bincount(j))) < least:
+        return 0
     best = 0
     for (u, iu), (v, jv) in (((a, i), (b, j)), ((b, j), (a, i))):
         if not len(iu):
@@ -460,7 +463,9 @@ def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> int:
         up = u[3][iu].astype(np.int64) - v[3][jv]
         scale = 2.0**up
         shift = ((up + SCALES) << 56) + ((_steps(u[1][iu] - v[1][jv] * scale) & 0xFFFFFFF) << 28) + (_steps(u[2][iu] - v[2][jv] * scale) & 0xFFFFFFF)
-        shifts, which = np.unique(shift, return_inverse=True)
+        shifts, which, n = np.unique(shift, return_inverse=True, return_counts=True)
+        if n.max() < least:
+            continue
         counts = []
         for bits in (u[0][iu], v[0][jv]):
             order = np.lexsort((bits, which))
@@ -487,7 +492,8 @@ def linked(pairs: DataFrame, found: DataFrame, votes: int = VOTES, share: float
             out = []
             for row in zip(*[c.to_pylist() for c in columns]):
                 a, b = (tuple(np.frombuffer(x, k) for x, k in zip(row[s : s + 4], kinds)) for s in (0, 4))
-                out.append(votes_between(a, b) >= max(votes, share * min(len(a[0]), len(b[0]))))
+                least = max(votes, share * min(len(a[0]), len(b[0])))
+                out.append(votes_between(a, b, least) >= least)
             return (out,)
 
         return fn
@@ -510,39 +516,44 @@ def star_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: fl
 
 
 def grouped(words: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
-    """Of (word, image, hub, many) the words whose images are in several groups, with ``group``, and with another hub and its group: the first in an order of images that the seed gives."""
+    """Of (word, image, hub, many, own) the words whose images are in several groups, with ``group``, and with another hub and its group: the first in an order of images that the seed gives."""
     few = parts.count() <= BROADCAST_PAIRS
     named = lambda node, root: (F.broadcast if few else lambda x: x)(parts.select(F.col("node").alias(node), F.col("root").alias(root)))
-    x = words.select("word", "image", "hub", "many").join(named("image", "g"), "image", "left").withColumn("group", F.coalesce("g", "image")).drop("g")
+    x = words.select("word", "image", "hub", "many", "own").join(named("image", "g"), "image", "left").withColumn("group", F.coalesce("g", "image")).drop("g")
     x = x.join(named("hub", "h"), "hub", "left").withColumn("of", F.coalesce("h", "hub"))
     # an image outside the group of its word's hub shows that the word has several
     apart = shared_table(x.where(F.col("group") != F.col("of")).select("word").distinct())
     few = apart.count() <= BROADCAST_PAIRS
-    x = x.select("word", "image", "many", "group").join(F.broadcast(apart) if few else apart, "word", "left_semi")
+    x = x.select("word", "image", "many", "own", "group").join(F.broadcast(apart) if few else apart, "word", "left_semi")
     first = x.groupBy("word").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "image"), F.col("image").alias("hub"), F.col("group").alias("hub_group"))).alias("h"))
     return x.join(first.select("word", "h.hub", "h.hub_group"), "word")
 
 
 def rest_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
-    """(a, b): images of different groups that could be links; words (word, image, many, group).
+    """(a, b): images of different groups that could be links; words (word, image, many, own, group).
 
-    The smaller image of a link has so many descriptors in words that both have
-    that ``votes`` lie beyond its most frequent words, which together hold as many
-    too few. So only words beyond these are asked who else has them, and only
-    images that meet in ``votes`` descriptors of these go on.
+    Each image of a link has as many different descriptors in words that both have
+    as the smaller one's need is. ``votes`` of them lie beyond its most frequent
+    words, which together hold that need less ``votes`` of its descriptors, each
+    counted in the most frequent of its words. So words within these are asked by
+    neither, and only images that meet in ``votes`` descriptors of either go on.
     """
     need = F.ceil(F.greatest(F.lit(votes), share * F.col("n_features"))).cast("long")
-    counted = words.join(words.groupBy("word").agg(F.count("*").alias("images")), "word")
-    own = counted.join(sizes.select(F.col("no").alias("image"), "n_features"), "image").withColumn("need", need)
+    counted = words.select("word", "image", "group", "own").join(words.groupBy("word").agg(F.count("*").alias("images")), "word")
+    each = counted.repartition("image").select("image", "group", "word", "images", F.explode("own").alias("bits"))
     of = Window.partitionBy("image")
-    most_first = of.orderBy(F.desc("images"), "word").rowsBetween(Window.unboundedPreceding, 0)
-    # in all words of the rest both need as many as a link of the smaller takes
-    own = own.withColumns({"all": F.sum("many").over(of), "up_to": F.sum("many").over(most_first)})
-    own = shared_table(own.withColumn("rare", (F.col("up_to") > F.col("need") - votes) & (F.col("all") >= F.col("need"))).drop("up_to", "images"), "zstd")
-    side = lambda x, rows, *names: rows.select("word", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "group", "n_features")], *names)
+    most_first = [F.desc("images"), "word"]
+    each = each.withColumn("fresh", (F.row_number().over(Window.partitionBy("image", "bits").orderBy(*most_first)) == 1).cast("int"))
+    own = each.groupBy("image", "group", "word", "images").agg(F.count("*").cast("int").alias("many"), F.sum("fresh").alias("fresh"))
+    # in all words of the rest both need as many as a link of the smaller takes; the larger one's own need may be more
+    own = own.withColumns({"all": F.sum("fresh").over(of), "up_to": F.sum("fresh").over(of.orderBy(*most_first).rowsBetween(Window.unboundedPreceding, 0))})
+    own = own.join(sizes.select(F.col("no").alias("image"), "n_features"), "image").withColumn("need", need).where(F.col("all") >= votes)
+    own = shared_table(own.select("word", "image", "group", "n_features", "many", "need", "all", "up_to"), "zstd")
+    side = lambda x, rows, *names: rows.select("word", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "group", "n_features", "many", "up_to")], *names)
     larger = (F.col("a_n_features") < F.col("b_n_features")) | (F.col("a_n_features") == F.col("b_n_features")) & (F.col("a_image") < F.col("b_image"))
-    met = side("a", own.where("rare"), "many", "need").join(side("b", own, "all"), "word").where(larger & (F.col("a_group") != F.col("b_group")) & (F.col("all") >= F.col("need")))
-    met = met.groupBy("a_image", "b_image").agg(F.sum("many").alias("m")).where(F.col("m") >= votes)
+    asking = side("a", own.where((F.col("all") >= F.col("need")) & (F.col("up_to") > F.col("need") - votes)), "need")
+    met = asking.join(side("b", own, "all"), "word").where(larger & (F.col("a_group") != F.col("b_group")) & (F.col("all") >= F.col("need")) & (F.col("b_up_to") > F.col("need") - votes))
+    met = met.groupBy("a_image", "b_image").agg(F.sum("a_many").alias("m"), F.sum("b_many").alias("n")).where((F.col("m") >= votes) | (F.col("n") >= votes))
     pairs = shared_table(met.select(F.col("a_image").alias("a"), F.col("b_image").alias("b")))
     drop_table(own)
     return pairs

@@ -695,6 +695,15 @@ def test_a_common_part_is_no_copy(spark):
     assert {r["component_id"] for r in media.find_copies(d, "id").collect()} == set(range(30))
 
 
+def test_a_descriptor_of_several_words_counts_once(spark):
+    """Two images share five descriptors, each in four words: too few for a link that takes six, which image 3 is, though image 4 itself would need more."""
+    few, six = list(range(5)), list(range(10, 16))
+    rows = [(100 * t + d, i, i, 1, [d]) for t in range(4) for i, own in ((1, few), (2, few), (3, six), (4, six)) for d in own]
+    words = spark.createDataFrame(rows, "word long, image long, group long, many int, own array<long>")
+    sizes = spark.createDataFrame([(1, 20), (2, 20), (3, 20), (4, 200)], "no long, n_features int")
+    assert {(r["a"], r["b"]) for r in media.rest_pairs(words, sizes).collect()} == {(3, 4)}
+
+
 def test_every_near_pair_of_descriptors_has_a_word_in_common(spark):
     rng = np.random.default_rng(7)
     fps = []
