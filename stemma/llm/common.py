@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,7 +162,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hub_links
     while before[0]:
         most = max(hub_links, int(2 * before[0] * HUB_SHARE))
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        most = most if before[0] > most else 0  # else no node can be a hub
+        if before[0] <= most:  # no node can be a hub; in one partition no step shuffles, and each exchange costs the driver a thread and memory that it keeps
+            both, most = both.coalesce(1), 0
         large = _with_least(both, most).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         near = _with_least(large, most)
         small = near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
@@ -178,7 +179,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hub_links
 def _with_least(links: DataFrame, most: int) -> DataFrame:
     """The links (u, v) with ``m``, the smallest v of each u; those of hubs (of more than ``most`` links, if that isn't 0) stay where they are."""
     if not most:
-        return links.join(links.groupBy("u").agg(F.min("v").alias("m")), "u")
+        return links.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     hubs = F.broadcast(least.where(F.col("n") > most).select("u", "m"))
     marked = links.join(hubs.withColumnRenamed("m", "hub"), "u", "left")

@@ -7,9 +7,10 @@ multiplied by its goal over its sum. It ends when none is multiplied by a number
 further than RESIDUAL from 1, or after ROUNDS. The factors are scaled to the
 token budget, with no probability above 1, and each document is kept with its
 cell's probability by a number drawn from its id. Only DataFrame functions run.
-What is raked is the table of cells, a row for each combination that occurs;
-every sum over it is a grouping with partial sums, and only single numbers come
-to the driver.
+What is raked is the table of cells, a row for each combination that occurs. Up
+to ``CELLS`` of them are read into one partition, where a round needs no shuffle;
+of more, every sum is a grouping with partial sums. Only single numbers come to
+the driver.
 
 Defined results: null sources, languages and topics are each a category of
 their own ("?"); a null or empty text counts one token; a null id draws from
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.llm.common import col, shared_table, without
@@ -37,6 +38,8 @@ TARGETS: dict[str, dict[str, float]] = {
 }
 #: Rounds of raking at most, the change of factors at which it ends, rounds of fitting the budget, and the share of all tokens to keep.
 ROUNDS, RESIDUAL, FITS, BUDGET = 14, 1e-12, 8, 0.6
+#: Cells up to which one partition has them all and documents stay in place; beyond it both are shuffled.
+CELLS = 200_000
 
 
 def token_estimate(text: Column) -> Column:
@@ -64,28 +67,43 @@ def weight(category: Column, weights: Mapping[str, float]) -> Column:
     return out
 
 
+def gathered(cells: DataFrame) -> DataFrame:
+    """The cells in one partition, if they are few."""
+    return cells.coalesce(1) if cells.count() <= CELLS else cells
+
+
+def _with_sums(cells: DataFrame, m: str, few: bool) -> DataFrame:
+    """The cells with ``now``, the tokens by factors of their category of a margin."""
+    own = F.sum(F.col("tokens") * F.col("factor"))
+    if few:
+        return cells.withColumn("now", own.over(Window.partitionBy(m)))
+    return cells.join(cells.groupBy(m).agg(own.alias("now")).hint("merge"), m)
+
+
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, rounds: int = ROUNDS, residual: float = RESIDUAL) -> DataFrame:
     """Cells (the targets' margins and ``tokens``) with ``factor``: tokens * factor has the target shares and sums to 1.
 
     A category whose cells all have factor 0 through other margins keeps 0. A
-    round is one plan, written and read again. The sums of a margin are sorted
-    and merged with its cells: broadcasts of so many small tables would fill the
-    driver.
+    round is one plan, written and read again. Each exchange of a plan costs the
+    driver a thread and memory that it keeps, and each broadcast still more: few
+    cells are summed by windows in one partition, more are merged with sorted sums.
     """
     margins = list(targets)
+    few = cells.count() <= CELLS
+    held = lambda x: x.coalesce(1) if few else x
+    out = first = held(cells)
     for m in margins:
-        own = cells.select(m).distinct().withColumn("w", weight(F.col(m), targets[m]))
+        own = first.select(m).distinct().withColumn("w", weight(F.col(m), targets[m]))
         every = own.agg(F.sum("w")).first()[0] or 0.0
-        cells = cells.join(own.select(m, (F.col("w") / every if every else F.lit(0.0)).alias(f"goal_{m}")).hint("merge"), m)
-    cells = shared_table(cells.withColumn("factor", F.lit(1.0)))
+        out = out.join(own.select(m, (F.col("w") / every if every else F.lit(0.0)).alias(f"goal_{m}")).hint("merge"), m)
+    cells = held(shared_table(out.withColumn("factor", F.lit(1.0))))
     names = cells.columns
     for _ in range(rounds):
         now = cells
         for m in margins:
-            sums = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now"))
-            now = now.join(sums.hint("merge"), m).withColumn(f"by_{m}", F.when(F.col("now") > 0, F.col(f"goal_{m}") / F.col("now")).otherwise(1.0))
+            now = _with_sums(now, m, few).withColumn(f"by_{m}", F.when(F.col("now") > 0, F.col(f"goal_{m}") / F.col("now")).otherwise(1.0))
             now = now.withColumn("factor", F.col("factor") * F.col(f"by_{m}")).drop("now")
-        now = shared_table(now)
+        now = held(shared_table(now))
         moved = now.agg(F.max(F.greatest(*[F.abs(F.col(f"by_{m}") - 1) for m in margins]))).first()[0]
         cells = now.select(*names)
         if (moved or 0.0) <= residual:
@@ -121,9 +139,8 @@ def sampled(docs: DataFrame, budget: float = BUDGET, targets: Mapping[str, Mappi
     """(row, topic, tokens, probability, kept) of every document."""
     rows = with_cells(docs)
     cells = shared_table(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    cells = shared_table(probabilities(shared_table(rake(cells, {m: targets[m] for m in MARGINS})), budget)).select(*MARGINS, "probability")
-    # categories that occur: documents stay in place up to this many cells, else both sides are shuffled
-    joined = rows.join(F.broadcast(cells) if cells.count() <= 200_000 else cells, list(MARGINS))
+    cells = shared_table(probabilities(gathered(shared_table(rake(cells, {m: targets[m] for m in MARGINS}))), budget)).select(*MARGINS, "probability")
+    joined = rows.join(F.broadcast(cells) if cells.count() <= CELLS else cells, list(MARGINS))
     p = F.round("probability", 6)
     return joined.select("row", "topic", F.col("tokens").cast("long").alias("tokens"), p.alias("probability"), (F.col("draw") < p).alias("kept"))
 

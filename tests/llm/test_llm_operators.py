@@ -498,6 +498,44 @@ def test_margins(spark):
         assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in shares.items())
 
 
+def plans_of(monkeypatch, module, name):
+    """The plans of what a module writes to cut lineage, as it writes it."""
+    plans, write = [], getattr(module, name)
+
+    def record(df, *options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *options)
+
+    monkeypatch.setattr(module, name, record)
+    return plans
+
+
+def test_few_cells_are_raked_without_exchanges(spark, monkeypatch):
+    cells = spark.range(200).selectExpr("concat('s', id % 40) AS source", "concat('l', id % 7) AS lang", "concat('t', id % 5) AS topic", "(1 + id * 37 % 101)::double AS tokens").repartition(5)
+    goal = {"source": {"*": 1.0, "s1": 3.0}, "lang": {"*": 1.0, "l2": 2.0}, "topic": {"*": 1.0, "t3": 0.0}}
+    plans = plans_of(monkeypatch, mixing, "shared_table")
+    of = lambda: {tuple(r[m] for m in goal): r["factor"] for r in mixing.rake(cells.cache(), goal).collect()}
+    few = of()
+    # each round is one task of its own; the driver ran out of memory over rounds of eight exchanges and more
+    assert len(plans) > 2 and not any("Exchange" in p or "Broadcast" in p for p in plans[1:])
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    many = of()
+    assert few.keys() == many.keys() and all(few[k] == pytest.approx(many[k], rel=1e-9) for k in few)
+
+
+def test_few_links_are_joined_without_exchanges(spark, monkeypatch):
+    from stemma.llm import common
+
+    rng = np.random.default_rng(8)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 400, (250, 2))]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    plans = plans_of(monkeypatch, common, "shared_checkpoint")
+    found = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    assert len(plans) > 2 and not any("Exchange" in p or "Broadcast" in p for p in plans[1:])
+    root = components(400, pairs)
+    assert found == {x: root[x] for p in pairs for x in p if p[0] != p[1]}
+
+
 def test_query_meets_its_targets(spark):
     p = queries.op3_source_mix(spark, SF.replace("0.001", "0.1")).toPandas()
     assert p.probability.max() <= 1 and (p.probability < 1).all()  # no cell is full, so all shares are met
