@@ -17,7 +17,8 @@ compared with the one that most of its words have for their first, in an order
 of images that changes from round to round; what belongs together by then needs
 no further comparison. For what is left, an image asks only its rarer words who
 else has them: the more frequent ones hold, all together, some descriptors too few
-for a link (prefix filter). So neither a group of copies nor a word that a third
+for a link (prefix filter); and a pair goes on only if the signatures of both
+images' words, then a count of near descriptors, leave room for a link. So neither a group of copies nor a word that a third
 of all images have gives pairs, and no link is lost.
 
 Defined results: null, empty and unreadable images have no features and a group
@@ -53,10 +54,13 @@ VOTES, SHARE = 6, 0.2
 PIXELS = 1 << 17
 #: Pairs or images up to which they are broadcast (16 bytes each).
 BROADCAST_PAIRS = 1_000_000
-#: Rounds in which each image is compared with one other, before pairs of images of different groups are.
-STARS = 2
+#: Rounds in which each image is compared with one other, before pairs of images of different groups are; images of a word, as its rows see it on average, up to which no further round is worth it.
+STARS, SHARED = 2, 64
 #: Descriptors that a task hands on at once, in how many parts a block table is gone through, descriptors compared one by one, pairs of descriptors at once.
 CHUNK, PARTS, WINDOW, CELLS = 1 << 19, 2, 2048, 1 << 22
+#: Bits of an image's signature, a power of two, and the columns of ranked words.
+SIGNATURE = 512
+RANKED = ["word", "image", "group", "n_features", "need", "all", "up_to", "spare", *[f"mark{k}" for k in range(SIGNATURE // 64)]]
 _ANGLES, _TESTS = 16, 64
 
 
@@ -189,7 +193,7 @@ def _arcs() -> np.ndarray:
 
 
 _ARC = _arcs()
-_DISC = [(dy, dx) for dy in range(-HALF, HALF + 1) for dx in range(-HALF, HALF + 1) if dy * dy + dx * dx <= HALF * HALF]
+_DISC = np.array([(dy, dx) for dy in range(-HALF, HALF + 1) for dx in range(-HALF, HALF + 1) if dy * dy + dx * dx <= HALF * HALF], np.int32)
 
 
 def _tests() -> np.ndarray:
@@ -212,39 +216,50 @@ def _corners(x: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     h, w = x.shape[0] - 2 * b, x.shape[1] - 2 * b
     if h <= 0 or w <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = x.astype(np.int16)
-    mid = x[b : b + h, b : b + w]
-    up, down = np.zeros((h, w), np.uint16), np.zeros((h, w), np.uint16)
-    strength = np.zeros((h, w), np.int16)
+    mid = np.ascontiguousarray(x[b : b + h, b : b + w])
+    above, below = np.minimum(mid, 255 - STEP) + np.uint8(STEP), np.maximum(mid, STEP) - np.uint8(STEP)
+    # eight bits of a circle at a time
+    up, down = ([np.zeros((h, w), np.uint8) for _ in range(2)] for _ in range(2))
+    # sixteen steps of at most 15 each
+    strength = np.zeros((h, w), np.uint8)
     for k, (dy, dx) in enumerate(_CIRCLE):
-        d = x[b + dy : b + dy + h, b + dx : b + dx + w] - mid
-        up |= (d > STEP).astype(np.uint16) << k
-        down |= (d < -STEP).astype(np.uint16) << k
-        strength += np.abs(d) >> 4
-    corner = (_ARC[up] | _ARC[down]) & inside[b : b + h, None]
-    ys, xs = np.nonzero(corner)
-    near = np.pad(np.where(corner, strength, 0), AROUND)
-    s, best = strength[ys, xs], np.ones(len(ys), bool)
-    for dy in range(2 * AROUND + 1):
-        for dx in range(2 * AROUND + 1):
-            if (dy, dx) != (AROUND, AROUND):
-                other = near[ys + dy, xs + dx]
-                best &= (s > other) | (s == other) & ((dy, dx) > (AROUND, AROUND))
+        c = x[b + dy : b + dy + h, b + dx : b + dx + w]
+        up[k >> 3] |= (c > above).view(np.uint8) << np.uint8(k & 7)
+        down[k >> 3] |= (c < below).view(np.uint8) << np.uint8(k & 7)
+        d = np.maximum(c, mid)
+        d -= np.minimum(c, mid)
+        d >>= np.uint8(4)
+        strength += d
+    up, down = (x[0] | x[1].astype(np.uint16) << 8 for x in (up, down))
+    # nine in a row are nine at least
+    ys, xs = np.nonzero(((np.bitwise_count(up) > 8) | (np.bitwise_count(down) > 8)) & inside[b : b + h, None])
+    corner = _ARC[up[ys, xs]] | _ARC[down[ys, xs]]
+    ys, xs = ys[corner], xs[corner]
+    # the strongest of its surrounding, of equal ones the first
+    kind, room = (np.int32, 22) if h * w < 1 << 22 else (np.int64, 48)
+    own = (strength[ys, xs].astype(kind) << room) + np.arange(len(ys), 0, -1, dtype=kind)
+    most = np.zeros((h + 2 * AROUND, w + 2 * AROUND), kind)
+    most[ys + AROUND, xs + AROUND] = own
+    span = 1
+    while span <= 2 * AROUND:
+        more = min(span, 2 * AROUND + 1 - span)
+        most = np.maximum(most[more:], most[:-more])
+        most = np.maximum(most[:, more:], most[:, :-more])
+        span += more
+    best = most[ys, xs] == own
     return ys[best] + b, xs[best] + b
 
 
 def _bits(x: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
     flat, w = x.ravel(), x.shape[1]
     at = ys * w + xs
-    my, mx = np.zeros(len(ys)), np.zeros(len(ys))
-    for dy, dx in _DISC:
-        v = flat[at + dy * w + dx].astype(np.float64)
-        my += dy * v
-        mx += dx * v
+    my, mx = (flat.take(at[:, None] + _DISC @ (w, 1)).astype(np.int32) @ _DISC).T
     angle = np.rint(np.arctan2(my, mx) / (2 * np.pi) * _ANGLES).astype(np.int64) % _ANGLES
     off = _TEST[angle]
     off = off[..., 0] * w + off[..., 1]
-    ones = flat[at[:, None] + off[:, :, 0]] < flat[at[:, None] + off[:, :, 1]]
+    off += at[:, None, None]
+    ends = flat.take(off)
+    ones = ends[..., 0] < ends[..., 1]
     return np.packbits(ones, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
@@ -252,19 +267,24 @@ def features(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, ...]]:
     """(x, y, level, bits) of each image; images of a width are stacked and described together."""
     none = tuple(np.zeros(0, t) for t in (np.int32, np.int32, np.int32, np.int64))
     out: list[list] = [[] for _ in images]
-    pad = HALF + 2
+    pad, small = HALF + 2, list(images)
     for level in range(SCALES):
         by: dict[int, list[int]] = {}
         for i, x in enumerate(images):
             if x is not None and min(x.shape) >> level >= 4:
                 by.setdefault(x.shape[1], []).append(i)
         for own in by.values():
-            tall = np.concatenate([np.pad(_shrunk(images[i], level), pad, "symmetric") for i in own])
-            ends = np.cumsum([(images[i].shape[0] >> level) + 2 * pad for i in own])
-            starts = np.concatenate(([0], ends[:-1]))
-            image = np.repeat(np.arange(len(own)), ends - starts)
-            row = np.arange(len(tall)) - starts[image] - pad
-            ys, xs = _corners(tall, (row >= 0) & (row < (ends - starts)[image] - 2 * pad))
+            for i in own if level else ():
+                small[i] = _shrunk(small[i], 1)
+            heights = np.array([len(small[i]) for i in own])
+            image = np.repeat(np.arange(len(own)), heights + 2 * pad)
+            row = np.arange(len(image)) - (np.cumsum(heights + 2 * pad) - heights - 2 * pad)[image] - pad
+            inner = (row >= 0) & (row < heights[image])
+            # each image in a border of its own pixels, mirrored
+            tall = np.concatenate([small[i] for i in own])
+            tall = tall[(np.cumsum(heights) - heights)[image] + _mirrored(row, heights[image])]
+            tall = tall[:, _mirrored(np.arange(-pad, tall.shape[1] + pad), tall.shape[1])]
+            ys, xs = _corners(tall, inner)
             which, inside = image[ys], row[ys]
             bits = _bits(tall, ys, xs).view(np.int64)
             at = np.searchsorted(which, np.arange(len(own) + 1))
@@ -274,6 +294,12 @@ def features(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, ...]]:
     return [tuple(np.concatenate(c) for c in zip(*o)) if o else none for o in out]
 
 
+def _mirrored(at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Places before 0 and from n on as those that a mirror at either end shows."""
+    at = at % (2 * n)
+    return np.where(at < n, at, 2 * n - 1 - at)
+
+
 def _shrunk(x: np.ndarray, level: int) -> np.ndarray:
     for _ in range(level):
         h, w = x.shape[0] // 2 * 2, x.shape[1] // 2 * 2
@@ -353,10 +379,11 @@ def near_pairs(fps: np.ndarray, p: int) -> Iterator[tuple[np.ndarray, np.ndarray
     """
     low = np.uint64((1 << (16 * p)) - 1)
     rest = (fps & low) | ((fps >> np.uint64(16)) & ~low)
-    block = _block(fps, p)
+    block, places = _block(fps, p), np.arange(len(fps), dtype=np.uint64)
     for q in range(4):
         key = block << np.uint64(12) | ((rest >> np.uint64(12 * q)) & np.uint64(0xFFF))
-        order = np.argsort(key, kind="stable")
+        # the 28 bits of a key and a place sort faster as one number
+        order = (np.sort(key << np.uint64(36) | places) & np.uint64((1 << 36) - 1)).view(np.int64)
         key, own = key[order], fps[order]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(starts, len(key)))
@@ -397,8 +424,14 @@ def _words(p: int):
         once = np.concatenate(([True], (kind[1:] != kind[:-1]) | (images[1:] != images[:-1])))
         kind, images = kind[once], images[once]
         label = np.arange(len(fps))
+        held, n = [], 0
         for x, y in near_pairs(fps, p):
-            label = _merge(label, x, y)
+            held.append((x, y))
+            n += len(x)
+            if n >= CHUNK:
+                label, held, n = _merge(label, *map(np.concatenate, zip(*held))), [], 0
+        if held:
+            label = _merge(label, *map(np.concatenate, zip(*held)))
         # in the first table equal descriptors are a word too; in the others only near ones bring something new
         held = np.bincount(label, minlength=len(fps)) > 1
         if p == 0:
@@ -447,7 +480,7 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: float = 0) -> int:
-    """The most descriptors of both images that agree on one scale and shift, brought onto either of them; images as (bits, xs, ys, levels). 0 as soon as they can't be ``least``."""
+    """The most descriptors of both images that agree on one scale and shift, brought onto either of them; images as (bits, xs, ys, levels). 0 as soon as they can't be ``least``, and no more than shows that they are."""
     found = []
     step = max(1, CELLS // max(1, len(b[0])))
     for at in range(0, len(a[0]), step):
@@ -461,6 +494,8 @@ def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: f
         if not len(iu):
             break
         up = u[3][iu].astype(np.int64) - v[3][jv]
+        if u is b and not up.any():  # of one scale, the same shifts again
+            break
         scale = 2.0**up
         shift = ((up + SCALES) << 56) + ((_steps(u[1][iu] - v[1][jv] * scale) & 0xFFFFFFF) << 28) + (_steps(u[2][iu] - v[2][jv] * scale) & 0xFFFFFFF)
         shifts, which, n = np.unique(shift, return_inverse=True, return_counts=True)
@@ -472,6 +507,8 @@ def votes_between(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], least: f
             w, x = which[order], bits[order]
             counts.append(np.bincount(w[np.concatenate(([True], (w[1:] != w[:-1]) | (x[1:] != x[:-1])))], minlength=len(shifts)))
         best = max(best, int(np.minimum(*counts).max()))
+        if 0 < least <= best:
+            break
     return best
 
 
@@ -515,63 +552,132 @@ def star_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: fl
     return able.select(F.col("hub").alias("a"), F.col("image").alias("b"))
 
 
-def grouped(words: DataFrame, parts: DataFrame, seed: int) -> DataFrame:
-    """Of (word, image, hub, many, own) the words whose images are in several groups, with ``group``, and with another hub and its group: the first in an order of images that the seed gives."""
+def grouped(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """Of (word, image, many, own) the words whose images are in several groups, with ``group`` and ``images``, how many of them."""
     few = parts.count() <= BROADCAST_PAIRS
-    named = lambda node, root: (F.broadcast if few else lambda x: x)(parts.select(F.col("node").alias(node), F.col("root").alias(root)))
-    x = words.select("word", "image", "hub", "many", "own").join(named("image", "g"), "image", "left").withColumn("group", F.coalesce("g", "image")).drop("g")
-    x = x.join(named("hub", "h"), "hub", "left").withColumn("of", F.coalesce("h", "hub"))
-    # an image outside the group of its word's hub shows that the word has several
-    apart = shared_table(x.where(F.col("group") != F.col("of")).select("word").distinct())
-    few = apart.count() <= BROADCAST_PAIRS
-    x = x.select("word", "image", "many", "own", "group").join(F.broadcast(apart) if few else apart, "word", "left_semi")
-    first = x.groupBy("word").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "image"), F.col("image").alias("hub"), F.col("group").alias("hub_group"))).alias("h"))
-    return x.join(first.select("word", "h.hub", "h.hub_group"), "word")
+    x = words.select("word", "image", "many", "own").join((F.broadcast if few else lambda x: x)(parts.select(F.col("node").alias("image"), F.col("root").alias("g"))), "image", "left")
+    x = x.withColumn("group", F.coalesce("g", "image")).drop("g")
+    of = x.groupBy("word").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").cast("int").alias("images"))
+    apart = shared_table(of.where("low < high").select("word", "images"), "zstd")
+    return x.join(F.broadcast(apart) if apart.count() <= BROADCAST_PAIRS else apart, "word")
+
+
+def with_hubs(words: DataFrame, seed: int) -> DataFrame:
+    """The words with another hub and its group: the first in an order of images that the seed gives."""
+    first = words.groupBy("word").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "image"), F.col("image").alias("hub"), F.col("group").alias("hub_group"))).alias("h"))
+    return words.join(first.select("word", "h.hub", "h.hub_group"), "word")
+
+
+def _ranked(votes: int, share: float):
+    """Of (image, word, group, many, images, n_features, own), an image's rows together: the rows with need, all, up_to, spare and the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if rows is None or not rows.num_rows:
+            return
+        image, word, group, many, images, n = (rows.column(c).to_numpy() for c in ("image", "word", "group", "many", "images", "n_features"))
+        order = np.lexsort((word, -images, image))
+        image, word, group, many, n = (x[order] for x in (image, word, group, many, n))
+        lists = rows.column("own").combine_chunks().take(pa.array(order))
+        bits, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(order)), many)
+        start = np.flatnonzero(np.concatenate(([True], image[1:] != image[:-1])))
+        size = np.diff(np.append(start, len(image)))
+        no = np.repeat(np.arange(len(start)), size)
+        # a descriptor counts in the most frequent of its words
+        by = np.lexsort((of, bits, no[of]))
+        d, o = bits[by], no[of][by]
+        fresh = np.bincount(of[by[np.concatenate(([True], (d[1:] != d[:-1]) | (o[1:] != o[:-1])))]], minlength=len(image))
+        total = np.add.reduceat(fresh, start)
+        up_to = np.cumsum(fresh) - np.repeat(np.cumsum(total) - total, size)
+        place = word.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SIGNATURE.bit_length() + 1)
+        marks = [np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == k, np.uint64(1) << (place & np.uint64(63)), np.uint64(0)), start) for k in range(SIGNATURE // 64)]
+        spare = np.add.reduceat(many, start) - sum(np.bitwise_count(m).astype(np.int64) for m in marks)
+        need = np.ceil(np.maximum(votes, share * n)).astype(np.int32)
+        # nobody needs less than votes
+        keep = np.flatnonzero(up_to >= votes)
+        wide = lambda x: x[no[keep]]
+        columns = [word[keep], image[keep], group[keep], n[keep], need[keep], wide(total).astype(np.int32), up_to[keep].astype(np.int32), wide(spare).astype(np.int32), *[wide(m).view(np.int64) for m in marks]]
+        for at in range(0, len(keep), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], RANKED)
+
+    return run
 
 
 def rest_pairs(words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
-    """(a, b): images of different groups that could be links; words (word, image, many, own, group).
+    """(a, b): images of different groups that could be links; words (word, image, many, own, group), maybe with ``images``, how many a word has.
 
     Each image of a link has as many different descriptors in words that both have
     as the smaller one's need is. ``votes`` of them lie beyond its most frequent
     words, which together hold that need less ``votes`` of its descriptors, each
     counted in the most frequent of its words. So words within these are asked by
     neither, and only images that meet in ``votes`` descriptors of either go on.
+
+    Images share single words by chance, the more of them the larger the table, so
+    each row has its image's signature: all its words, a bit each. Descriptors of a
+    link that share words share bits, a bit each but for those (``spare``) that fall
+    on a bit of another. So pairs with fewer bits in common are no links, and are
+    dropped where they meet.
     """
-    need = F.ceil(F.greatest(F.lit(votes), share * F.col("n_features"))).cast("long")
-    counted = words.select("word", "image", "group", "own").join(words.groupBy("word").agg(F.count("*").alias("images")), "word")
-    each = counted.repartition("image").select("image", "group", "word", "images", F.explode("own").alias("bits"))
-    of = Window.partitionBy("image")
-    most_first = [F.desc("images"), "word"]
-    each = each.withColumn("fresh", (F.row_number().over(Window.partitionBy("image", "bits").orderBy(*most_first)) == 1).cast("int"))
-    own = each.groupBy("image", "group", "word", "images").agg(F.count("*").cast("int").alias("many"), F.sum("fresh").alias("fresh"))
-    # in all words of the rest both need as many as a link of the smaller takes; the larger one's own need may be more
-    own = own.withColumns({"all": F.sum("fresh").over(of), "up_to": F.sum("fresh").over(of.orderBy(*most_first).rowsBetween(Window.unboundedPreceding, 0))})
-    own = own.join(sizes.select(F.col("no").alias("image"), "n_features"), "image").withColumn("need", need).where(F.col("all") >= votes)
-    own = shared_table(own.select("word", "image", "group", "n_features", "many", "need", "all", "up_to"), "zstd")
-    side = lambda x, rows, *names: rows.select("word", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "group", "n_features", "many", "up_to")], *names)
+    if "images" not in words.columns:
+        words = words.join(words.groupBy("word").agg(F.count("*").alias("images")), "word")
+    few = sizes.count() <= BROADCAST_PAIRS
+    named = sizes.select(F.col("no").alias("image"), "n_features")
+    dealt = words.join(F.broadcast(named) if few else named, "image").select("image", "word", "group", "many", "images", "n_features", "own").repartition("image")
+    kinds = ["long"] * 3 + ["int"] * 5 + ["long"] * (SIGNATURE // 64)
+    own = shared_table(dealt.mapInArrow(_ranked(votes, share), ", ".join(f"`{n}` {k}" for n, k in zip(RANKED, kinds))), "zstd")
+    marks = RANKED[8:]
+    side = lambda x, rows, *names: rows.select("word", *[F.col(c).alias(f"{x}_{c}") for c in ("image", "group", "n_features", "up_to", "spare", *marks)], *names)
     larger = (F.col("a_n_features") < F.col("b_n_features")) | (F.col("a_n_features") == F.col("b_n_features")) & (F.col("a_image") < F.col("b_image"))
-    asking = side("a", own.where((F.col("all") >= F.col("need")) & (F.col("up_to") > F.col("need") - votes)), "need")
-    met = asking.join(side("b", own, "all"), "word").where(larger & (F.col("a_group") != F.col("b_group")) & (F.col("all") >= F.col("need")) & (F.col("b_up_to") > F.col("need") - votes))
-    met = met.groupBy("a_image", "b_image").agg(F.sum("a_many").alias("m"), F.sum("b_many").alias("n")).where((F.col("m") >= votes) | (F.col("n") >= votes))
-    pairs = shared_table(met.select(F.col("a_image").alias("a"), F.col("b_image").alias("b")))
+    asking = side("a", own.where((F.col("all") >= F.col("need")) & (F.col("up_to") >= F.col("need"))), "need")
+    common = sum((F.bit_count(F.col(f"a_{m}").bitwiseAND(F.col(f"b_{m}"))) for m in marks), F.lit(0))
+    able = (F.col("all") >= F.col("need")) & (F.col("b_up_to") >= F.col("need")) & (common + F.least("a_spare", "b_spare") >= F.col("need"))
+    met = asking.join(side("b", own, "all"), "word").where((F.col("a_group") != F.col("b_group")) & larger & able)
+    pairs = shared_table(met.select(F.col("a_image").alias("a"), F.col("b_image").alias("b")).distinct())
     drop_table(own)
-    return pairs
+    return sharing(pairs, words, sizes, votes, share)
+
+
+def sharing(pairs: DataFrame, words: DataFrame, sizes: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
+    """The pairs of which as many descriptors in words as a link takes, of either image, are near one of the other."""
+    held = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda x: x
+    met = pairs.select(F.col("a").alias("image")).unionByName(pairs.select(F.col("b").alias("image"))).distinct()
+    named = (F.broadcast if sizes.count() <= BROADCAST_PAIRS else lambda x: x)(sizes.select(F.col("no").alias("image"), "n_features"))
+    own = words.select("image", "own").join(held(met), "image", "left_semi").groupBy("image").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("bits")).join(named, "image")
+    own = shared_table(own, "zstd")
+    left = own.select(F.col("image").alias("a"), F.col("bits").alias("a_bits"), "n_features").join(held(pairs), "a")
+    both = left.join(own.select(F.col("image").alias("b"), F.col("bits").alias("b_bits")), "b")
+
+    def make():
+        def fn(n: pa.Array, a: pa.ListArray, b: pa.ListArray):
+            parts = lambda x: np.split(x.flatten().to_numpy().view(np.uint64), np.cumsum(x.value_lengths().to_numpy())[:-1])
+            out = []
+            for need, u, v in zip(np.maximum(votes, share * n.to_numpy()), parts(a), parts(b)):
+                near = np.bitwise_count(u[:, None] ^ v) <= RADIUS
+                out.append(min(np.count_nonzero(near.any(0)), np.count_nonzero(near.any(1))) >= need)
+            return (out,)
+
+        return fn
+
+    return shared_table(map_rows(both, {c: F.col(c) for c in ("n_features", "a_bits", "b_bits")}, [T.StructField("ok", T.BooleanType())], make, ["a", "b"], "ok"))
 
 
 def image_groups(found: DataFrame, votes: int = VOTES, share: float = SHARE) -> DataFrame:
     """(node, root): each linked image with the first of its group; found: (no, n_features, bits, xs, ys, levels)."""
     words = visual_words(found)
     sizes = found.select("no", "n_features")
-    left = words.withColumns({"group": F.col("image"), "hub_group": F.col("hub")})
+    left, met = words, words.withColumns({"group": F.col("image"), "hub_group": F.col("hub")})
     links = found.sparkSession.createDataFrame([], "a long, b long")
     for seed in range(STARS):
-        new = shared_table(linked(shared_table(star_pairs(left, sizes, votes, share)), found, votes, share))
+        new = shared_table(linked(shared_table(star_pairs(met, sizes, votes, share)), found, votes, share))
         if not new.head(1):
             continue
         links = links.unionByName(new)
-        before, left = left, shared_table(grouped(left, shared_table(connected_components(links)), seed), "zstd")
+        before, left = left, shared_table(grouped(left, shared_table(connected_components(links))), "zstd")
         drop_table(before)
+        if left.agg(F.coalesce(F.avg("images"), F.lit(0))).first()[0] <= SHARED:
+            break
+        met = with_hubs(left, seed)
+    left = left if "group" in left.columns else left.withColumn("group", F.col("image"))
     more = shared_table(linked(rest_pairs(left, sizes, votes, share), found, votes, share))
     return connected_components(links.unionByName(more))
 

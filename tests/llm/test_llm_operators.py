@@ -742,6 +742,16 @@ def test_a_descriptor_of_several_words_counts_once(spark):
     assert {(r["a"], r["b"]) for r in media.rest_pairs(words, sizes).collect()} == {(3, 4)}
 
 
+def test_images_that_share_too_little_of_much_are_not_compared(spark):
+    """Each two of images 1 to 4 share eight descriptors, which all four have enough of for a link of 20 in sum; 5 and 6 share 20."""
+    together = [(a, b, 8) for a in range(1, 5) for b in range(a + 1, 5)] + [(5, 6, 20)]
+    held = [(images, 100 * k + i) for k, (*images, n) in enumerate(together) for i in range(n)]
+    rows = [(word, image, image, 1, [word]) for images, word in held for image in images]
+    words = spark.createDataFrame(rows, "word long, image long, group long, many int, own array<long>")
+    sizes = spark.createDataFrame([(i, 100) for i in range(1, 7)], "no long, n_features int")
+    assert {(r["a"], r["b"]) for r in media.rest_pairs(words, sizes).collect()} == {(5, 6)}
+
+
 def test_every_near_pair_of_descriptors_has_a_word_in_common(spark):
     rng = np.random.default_rng(7)
     fps = []
